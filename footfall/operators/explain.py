@@ -89,7 +89,7 @@ def cp_profile(model: PipelineModel, rows: DataFrame, feature: str, grid: Column
     """
     base = rows.withColumns({"baseline_value": F.col(f"`{feature}`").cast("double"), "baseline_p": F.col("p")}).drop("p")
     own = base.agg(F.collect_set("baseline_value")).scalar()
-    full = F.array_sort(F.array_union(grid, own))
+    full = F.sort_array(F.array_union(grid, own))
     swept = score(model, sweep(base, full, feature))
     return swept.select("profile", ID, F.col(f"`{feature}`").alias("value"), "p", "baseline_value", "baseline_p")
 
