@@ -706,6 +706,14 @@ ORACLES: dict[str, str] = {
     "sensitivity_specificity": sql(
         f"SELECT {r6('n11 / (n10 + n11)', 'sensitivity')}, {r6('n00 / (n00 + n01)', 'specificity')} FROM cells", "cells"
     ),
+    "all_measures": sql(
+        f"""SELECT {r6('avg(CASE WHEN CAST(p >= 0.5 AS INTEGER) = label THEN 1 ELSE 0 END)', 'accuracy')},
+             {r6('(SELECT n11 / (n10 + n11) FROM cells)', 'sensitivity')}, {r6('(SELECT n00 / (n00 + n01) FROM cells)', 'specificity')},
+             {r6('avg(power(p - label, 2))', 'brier')}, {r6('(SELECT sum(pos * (tp / (tp + fp))) / sum(pos) FROM curve)', 'average_precision')},
+             {r6('(SELECT sum(neg * (tp - pos / 2)) / (sum(pos) * sum(neg)) FROM curve)', 'roc_auc')}, {r6('avg(p)', 'mean_p')} FROM scores""",
+        "cells",
+        "curve",
+    ),
     "mean_score": sql(f"SELECT {r6('avg(p)', 'mean_p')} FROM scores", "scores"),
     # series preparation
     "warm_started_series": sql(

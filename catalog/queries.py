@@ -849,19 +849,19 @@ def padded_arrays(spark, sf_dir):
 @query
 def snapshot_features(spark, sf_dir):
     events = log(spark, sf_dir)
-    return journeys.snapshot_features(events, labels(events), NAMES)
+    return journeys.snapshot_features(events, NAMES, TARGET, DAYS)
 
 
 @query
 def snapshot_features_by_length(spark, sf_dir):
     events = log(spark, sf_dir)
-    return journeys.snapshot_features(events, labels(events), NAMES, by="journey_us", seed=13)
+    return journeys.snapshot_features(events, NAMES, TARGET, DAYS, by="journey_us", seed=13)
 
 
 @query
 def single_snapshot_features(spark, sf_dir):
     events = log(spark, sf_dir)
-    return journeys.single_snapshot_features(events, labels(events), NAMES)
+    return journeys.single_snapshot_features(events, NAMES, TARGET, DAYS)
 
 
 @query
@@ -922,6 +922,12 @@ def sensitivity_specificity(spark, sf_dir):
     return metrics.sensitivity_specificity(score_table(log(spark, sf_dir)))
 
 
+@query
+def all_measures(spark, sf_dir):
+    """Every measure from one pass over the scores."""
+    return metrics.evaluate(score_table(log(spark, sf_dir)))
+
+
 @query
 def mean_score(spark, sf_dir):
     return metrics.mean_probability(score_table(log(spark, sf_dir)))

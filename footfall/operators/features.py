@@ -14,9 +14,9 @@ from footfall.operators.spread import order_columns, with_event_number, with_pre
 from footfall.schema import FEATURE_EVENTS, ID, LEAKY_COLUMNS, NAME, TS
 
 
-def with_gaps(events: DataFrame, name: str = "gap_s") -> DataFrame:
+def with_gaps(events: DataFrame, name: str = "gap_s", days: DataFrame | None = None) -> DataFrame:
     """Whole seconds since the previous event of the journey, null for the first."""
-    timed = with_previous_ts(events, "_prev_ts")
+    timed = with_previous_ts(events, "_prev_ts", days)
     return timed.withColumn(name, epoch_seconds(TS) - epoch_seconds("_prev_ts")).drop("_prev_ts")
 
 
@@ -45,7 +45,7 @@ def flatten_journeys(
     """
     if "gap_s" not in events.columns:
         events = with_gaps(events)
-    cut = F.max(cutoff) if isinstance(cutoff, str) else F.max(cutoff)
+    cut = F.max(cutoff)
     wide = events.groupBy(*by).agg(
         F.min(TS).alias("first_action_ts"),
         F.max(TS).alias("last_action_ts"),

@@ -116,10 +116,25 @@ def mean_probability(df: DataFrame, p: str = "p") -> DataFrame:
     return df.agg(F.avg(p).alias("mean_p"))
 
 
-def evaluate(df: DataFrame, label: str = "label", p: str = "p") -> DataFrame:
-    """Brier score, average precision and mean probability in one row."""
-    return df.agg(F.avg(F.pow(F.col(p) - F.col(label), 2)).alias("brier"), F.avg(p).alias("mean_p")).withColumn(
-        "average_precision", average_precision(df, label, p).scalar()
+def evaluate(df: DataFrame, label: str = "label", p: str = "p", t: float = 0.5) -> DataFrame:
+    """All measures in one row, from one pass over the scored table.
+
+    Every measure is a sum over distinct scores with their positives and
+    negatives, so the score curve is all that is needed.
+    """
+    s, pos, neg = F.col("score"), F.col("pos"), F.col("neg")
+    yes = s >= F.lit(t)
+    hit, calm = F.sum(F.when(yes, pos).otherwise(0)), F.sum(F.when(yes, 0).otherwise(neg))
+    all_pos, all_neg = F.sum(pos), F.sum(neg)
+    rows = all_pos + all_neg
+    return score_curve(df, label, p).agg(
+        ((hit + calm) / rows).alias("accuracy"),
+        _ratio(hit, all_pos).alias("sensitivity"),
+        _ratio(calm, all_neg).alias("specificity"),
+        (F.sum(pos * F.pow(s - 1, 2) + neg * F.pow(s, 2)) / rows).alias("brier"),
+        (F.sum(pos * F.col("tp") / (F.col("tp") + F.col("fp"))) / all_pos).alias("average_precision"),
+        (F.sum(neg.cast("double") * (F.col("tp") - pos / 2)) / (all_pos.cast("double") * all_neg)).alias("roc_auc"),
+        (F.sum((pos + neg) * s) / rows).alias("mean_p"),
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from footfall.functions.scalars import to_class
 from footfall.operators.clean import numeric_columns
-from footfall.operators.metrics import accuracy, average_precision, brier, mean_probability, roc_auc, sensitivity_specificity
+from footfall.operators.metrics import brier, evaluate
 from footfall.schema import LEAKY_COLUMNS
 
 NOT_FEATURES = ("id", "snapshot_id", "final_outcome", "label", "fold", "is_valid", "p")
@@ -78,20 +78,6 @@ def importances(model: PipelineModel, spark, k: int = 20) -> DataFrame:
     )
 
 
-def fold_metrics(scored: DataFrame, label: str = "label") -> DataFrame:
-    """All evaluation measures of one scored set in one row."""
-    both = sensitivity_specificity(scored, label)
-    return both.withColumns(
-        {
-            "accuracy": accuracy(scored, label).scalar(),
-            "brier": brier(scored, label).scalar(),
-            "average_precision": average_precision(scored, label).scalar(),
-            "roc_auc": roc_auc(scored, label).scalar(),
-            "mean_p": mean_probability(scored).scalar(),
-        }
-    )
-
-
 def cross_validate(
     fit: Callable[[DataFrame], PipelineModel], df: DataFrame, k: int = 5, label: str = "label"
 ) -> DataFrame:
@@ -102,7 +88,7 @@ def cross_validate(
     parts = []
     for i in range(k):
         model = fit(df.where(F.col("fold") != i))
-        parts.append(fold_metrics(score(model, df.where(F.col("fold") == i)), label).withColumn("fold", F.lit(i)))
+        parts.append(evaluate(score(model, df.where(F.col("fold") == i)), label).withColumn("fold", F.lit(i)))
     folds = parts[0]
     for p in parts[1:]:
         folds = folds.unionByName(p)

@@ -37,8 +37,22 @@ def journey_status(events: DataFrame, target: str = TARGET_EVENT, as_of: Column
     ).withColumn("days_inactive", whole_days_between("as_of", "last_ts"))
 
 
-def label_outcomes(status: DataFrame, inactivity_days: int = INACTIVITY_DAYS, rule: str = "elapsed") -> DataFrame:
-    """``id, final_outcome`` from :func:`journey_status`.
+def status_from_days(days: DataFrame) -> DataFrame:
+    """:func:`journey_status` from the journey-day table."""
+    as_of = days.agg(F.max("last_ts")).scalar()
+    per_journey = days.groupBy(ID).agg(
+        F.sum("n").alias("total_actions"),
+        F.min("first_ts").alias("first_ts"),
+        F.max("last_ts").alias("last_ts"),
+        F.min("first_target_ts").alias("first_target_ts"),
+    )
+    return per_journey.withColumns(
+        {"has_shipped": F.col("first_target_ts").isNotNull(), "as_of": as_of}
+    ).withColumn("days_inactive", whole_days_between("as_of", "last_ts"))
+
+
+def outcome_column(inactivity_days: int = INACTIVITY_DAYS, rule: str = "elapsed") -> Column:
+    """The outcome of a :func:`journey_status` row.
 
     ``elapsed``: failure from ``inactivity_days`` whole elapsed days on.
     ``dates``: failure when the calendar dates lie more than that apart.
@@ -49,8 +63,12 @@ def label_outcomes(status: DataFrame, inactivity_days: int = INACTIVITY_DAYS, ru
         "dates": F.datediff("as_of", "last_ts") > inactivity_days,
         "window": F.col("last_ts") < shift_days("as_of", -inactivity_days),
     }[rule]
-    outcome = F.when(F.col("has_shipped"), "success").when(quiet, "failure").otherwise("incomplete")
-    return status.select(ID, outcome.alias("final_outcome"))
+    return F.when(F.col("has_shipped"), "success").when(quiet, "failure").otherwise("incomplete")
+
+
+def label_outcomes(status: DataFrame, inactivity_days: int = INACTIVITY_DAYS, rule: str = "elapsed") -> DataFrame:
+    """``id, final_outcome`` from :func:`journey_status`; rules as in :func:`outcome_column`."""
+    return status.select(ID, outcome_column(inactivity_days, rule).alias("final_outcome"))
 
 
 def is_open(status: DataFrame, inactivity_days: int = INACTIVITY_DAYS) -> DataFrame:

@@ -28,14 +28,16 @@ def magnitude_bucket(c) -> Column:
 
 
 def value_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """One row per distinct value: its count ``n`` and ``below``, the rows under it."""
+    """One row per distinct value: its count ``n``, the rows ``below`` it and all ``rows``."""
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*by, value)
         .agg(F.count("*").alias("n"))
         .withColumn("_bucket", magnitude_bucket(value))
     )
-    ranked = running_totals(counts, {"below": F.col("n")}, "_bucket", [F.col(value)], by, inclusive=False)
+    ranked = running_totals(
+        counts, {"below": F.col("n")}, "_bucket", [F.col(value)], by, inclusive=False, whole={"rows": "below"}
+    )
     return ranked.drop("_bucket")
 
 
@@ -54,12 +56,7 @@ def quantiles(
     if method not in ("linear", "nearest"):
         raise ValueError(f"unknown method {method!r}")
     by = list(by)
-    ranked = value_ranks(df, value, by)
-    sizes = ranked.groupBy(*by).agg(F.sum("n").alias("_rows"))
-    if by:
-        ranked = ranked.join(sizes, by)
-    else:
-        ranked = ranked.withColumn("_rows", sizes.scalar())
+    ranked = value_ranks(df, value, by).withColumnRenamed("rows", "_rows")
     picks = []
     for name, q in probs.items():
         h = (F.col("_rows") - 1) * F.lit(float(q))

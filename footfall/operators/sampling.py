@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -58,7 +58,7 @@ def hash_bars(df: DataFrame, quota: DataFrame, by: str, key: str, seed: int) ->
     )
     within = Window.partitionBy(by).orderBy("_h", key)
     return (
-        keyed.join(edges, [by, "_prefix"])
+        keyed.join(edges, [by, "_prefix"])  # one prefix per class
         .withColumn("_rn", F.row_number().over(within))
         .where(F.col("_rn") <= F.col("_left"))
         .groupBy(by)
@@ -66,19 +66,33 @@ def hash_bars(df: DataFrame, quota: DataFrame, by: str, key: str, seed: int) ->
     )
 
 
-def take_quota(df: DataFrame, quota: DataFrame, by: str, key: str, seed: int = 42) -> DataFrame:
-    """Exactly ``n_take`` rows per class (or the whole class), lowest hashes first."""
+def within_quota(df: DataFrame, quota: DataFrame, by: str, key: str, seed: int) -> Column:
+    """True for rows up to their class's last kept (hash, key).
+
+    The bars are one entry per class and travel as a scalar map, so the rows are
+    filtered where they are, without a join on a column of two or three values.
+    """
     bars = hash_bars(df, quota, by, key, seed)
-    marked = df.join(bars, by)
-    return marked.where(F.struct(hash_number(key, seed).alias("_h"), F.col(key)) <= F.col("_bar")).select(*df.columns)
+    entries = bars.agg(F.map_from_entries(F.collect_list(F.struct(by, "_bar")))).scalar()
+    bar = F.try_element_at(entries, F.col(by))
+    row = F.struct(hash_number(key, seed).alias("_h"), F.col(key))
+    return F.coalesce(row <= bar, F.lit(False))
+
+
+def take_quota(df: DataFrame, quota: DataFrame, by: str, key: str, seed: int = 42) -> DataFrame:
+    """Exactly ``n_take`` rows per class (or the whole class), lowest hashes first.
+
+    ``by`` is a class column with a handful of values.
+    """
+    return df.where(within_quota(df, quota, by, key, seed))
 
 
 def balance_quota(df: DataFrame, by: str, max_rows: int) -> DataFrame:
-    sizes = class_sizes(df, by)
-    smallest = sizes.agg(F.min("n_rows")).scalar()
-    total = sizes.agg(F.sum("n_rows")).scalar()
-    equal = F.least(F.lit(max_rows // 2).cast("long"), smallest)
-    return sizes.select(by, F.when(total > max_rows, equal).otherwise(F.col("n_rows")).alias("n_take"))
+    # One row per class, so the window over all classes is a handful of rows.
+    every = Window.partitionBy()
+    equal = F.least(F.lit(max_rows // 2).cast("long"), F.min("n_rows").over(every))
+    take = F.when(F.sum("n_rows").over(every) > max_rows, equal).otherwise(F.col("n_rows"))
+    return class_sizes(df, by).select(by, take.alias("n_take"))
 
 
 def balance_classes(df: DataFrame, by: str, max_rows: int, key: str = ID, seed: int = 42) -> DataFrame:
@@ -129,9 +143,7 @@ def stratified_fraction(df: DataFrame, by: str, fraction: float, key: str, seed:
 def stratified_split(df: DataFrame, label: str, holdout: float = 0.25, key: str = ID, seed: int = 42) -> DataFrame:
     """Add ``is_valid``: the holdout share of each class."""
     quota = class_sizes(df, label).select(label, F.round(F.col("n_rows") * F.lit(holdout)).cast("long").alias("n_take"))
-    bars = hash_bars(df, quota, label, key, seed)
-    mark = F.struct(hash_number(key, seed).alias("_h"), F.col(key)) <= F.col("_bar")
-    return df.join(bars, label, "left").select(*df.columns, F.coalesce(mark, F.lit(False)).alias("is_valid"))
+    return df.withColumn("is_valid", within_quota(df, quota, label, key, seed))
 
 
 def group_folds(df: DataFrame, label: str, k: int = 5, key: str = ID, seed: int = 42) -> DataFrame:

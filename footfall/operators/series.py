@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from footfall.functions.times import day_start, is_weekday, month_index, month_start, week_start, year_start, year_week_start
 from footfall.operators.clean import between_dates
-from footfall.operators.outcomes import days_to_event, journey_status, label_outcomes
+from footfall.operators.outcomes import journey_status, outcome_column
 from footfall.operators.quantiles import quantiles
 from footfall.schema import ID, INACTIVITY_DAYS, NAME, TARGET_EVENT, TS
 
@@ -113,9 +113,13 @@ def cohort_rate(
     target plus the inactivity days left before the log ends.
     """
     status = journey_status(events, target, as_of)
-    labels = label_outcomes(status, inactivity_days, "dates")
-    lag = quantiles(days_to_event(events, target), "days_to_buy", {"d": q}).scalar()
-    closed = status.join(labels, ID).where(F.col("final_outcome") != "incomplete")
+    waits = status.where("has_shipped").select(
+        F.datediff(F.to_date("first_target_ts"), F.to_date("first_ts")).alias("days")
+    )
+    lag = quantiles(waits, "days", {"d": q}).scalar()
+    closed = status.withColumn("final_outcome", outcome_column(inactivity_days, "dates")).where(
+        F.col("final_outcome") != "incomplete"
+    )
     safe = F.date_sub(F.to_date("as_of"), (F.bround(lag) + inactivity_days).cast("int"))
     return (
         closed.where(F.to_date("first_ts") <= safe)

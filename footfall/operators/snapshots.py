@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions.scalars import hash_uniform
@@ -29,8 +31,7 @@ def snapshot_k(bounds: DataFrame, by: str = "total_actions", buckets: int = 5) -
     neither sorted globally nor shuffled.
     """
     ranked = value_ranks(bounds, by)
-    total = ranked.agg(F.sum("n")).scalar()
-    cuts = [F.floor(total * k / buckets) for k in range(1, buckets)]
+    cuts = [F.floor(F.col("rows") * k / buckets) for k in range(1, buckets)]
     bars = ranked.agg(
         F.struct(
             *[F.max(F.when(F.col("below") <= c - 1, F.col(by))).alias(f"k{k}") for k, c in enumerate(cuts, start=1)]
@@ -43,27 +44,37 @@ def snapshot_k(bounds: DataFrame, by: str = "total_actions", buckets: int = 5) -
     return marked.withColumn("K", sum(above, F.lit(1))).drop("_bars")
 
 
-def _cut(start: str, end: str, u) -> "F.Column":
+def bounds_from_days(days: DataFrame) -> DataFrame:
+    """:func:`journey_bounds` from the journey-day table."""
+    return (
+        days.groupBy(ID)
+        .agg(F.sum("n").alias("total_actions"), F.min("first_ts").alias("start_ts"), F.max("last_ts").alias("end_ts"))
+        .withColumn("journey_us", micros("end_ts") - micros("start_ts"))
+    )
+
+
+def _cut(start: str, end: str, u: Column) -> Column:
     return F.timestamp_micros(micros(start) + F.floor(u * (micros(end) - micros(start)).cast("double")).cast("long"))
 
 
-def single_cutoff(bounds: DataFrame, seed: int = 42) -> DataFrame:
+def single_cutoff(bounds: DataFrame, seed: int = 42, keep: Sequence[str] = ()) -> DataFrame:
     """One uniform cutoff per journey between its first and last event."""
-    return bounds.select(ID, _cut("start_ts", "end_ts", hash_uniform(ID, 1, seed)).alias("cutoff_time"))
+    return bounds.select(ID, *keep, _cut("start_ts", "end_ts", hash_uniform(ID, 1, seed)).alias("cutoff_time"))
 
 
-def k_cutoffs(bounds_k: DataFrame, seed: int = 42) -> DataFrame:
+def k_cutoffs(bounds_k: DataFrame, seed: int = 42, keep: Sequence[str] = ()) -> DataFrame:
     """``K`` uniform cutoffs per journey with ``snapshot_id = <id>_<k>``."""
     exploded = bounds_k.select("*", F.explode(F.sequence(F.lit(1), F.col("K"))).alias("k_no"))
     return exploded.select(
         ID,
+        *keep,
         "k_no",
         F.concat_ws("_", ID, F.col("k_no").cast("string")).alias("snapshot_id"),
         _cut("start_ts", "end_ts", hash_uniform(ID, "k_no", seed)).alias("cutoff_time"),
     )
 
 
-def expand_snapshots(events: DataFrame, cutoffs: DataFrame) -> DataFrame:
+def expand_snapshots(events: DataFrame, cutoffs: DataFrame, days: DataFrame | None = None) -> DataFrame:
     """Events visible at each cutoff: ids equal and ``ts <= cutoff_time``.
 
     Cutoffs are first matched to the active days of their journey, which drops
@@ -71,7 +82,7 @@ def expand_snapshots(events: DataFrame, cutoffs: DataFrame) -> DataFrame:
     the cutoff's own day still needs the time comparison row by row.
     """
     events = with_day(events)
-    days = events.select(ID, DAY).distinct()
+    days = events.select(ID, DAY).distinct() if days is None else days.select(ID, DAY)
     routed = days.join(cutoffs, ID).where(F.col(DAY) <= F.to_date("cutoff_time"))
     return events.join(routed, [ID, DAY]).where(F.col(TS) <= F.col("cutoff_time")).drop(DAY)
 

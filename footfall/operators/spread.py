@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from footfall.schema import ID, ORDER, TS
+from footfall.schema import ID, NAME, ORDER, TARGET_EVENT, TS
 
 DAY = "_day"
 
@@ -27,6 +27,25 @@ def with_day(events: DataFrame) -> DataFrame:
     return events if DAY in events.columns else events.withColumn(DAY, F.to_date(TS))
 
 
+def journey_days(events: DataFrame, target: str = TARGET_EVENT) -> DataFrame:
+    """One row per journey and active day: events, first, last and first target time.
+
+    Status, outcomes, bounds, cutoffs and the previous time of a day's first
+    event all follow from this small table, so a flow that needs several of them
+    reads the full log once for it. Flows write it to the shared folder.
+    """
+    return (
+        with_day(events)
+        .groupBy(ID, DAY)
+        .agg(
+            F.count("*").alias("n"),
+            F.min(TS).alias("first_ts"),
+            F.max(TS).alias("last_ts"),
+            F.min(F.when(F.col(NAME) == target, F.col(TS))).alias("first_target_ts"),
+        )
+    )
+
+
 def order_columns(events: DataFrame) -> list[Column]:
     return [F.col(c) for c in ORDER if c in events.columns]
 
@@ -80,25 +99,25 @@ def with_previous(events: DataFrame, columns: Mapping[str, str]) -> DataFrame:
             "_inner": F.lag(F.struct(*[F.col(c).alias(n) for n, c in columns.items()])).over(order),
         }
     )
-    out = lagged.join(carried, [ID, DAY]).withColumn("_prev", F.coalesce("_inner", "_carry"))
+    out = lagged.join(carried, [ID, DAY], "left").withColumn("_prev", F.coalesce("_inner", "_carry"))
     out = out.withColumns({n: F.col("_prev").getField(n) for n in columns})
     out = out.drop("_inner", "_carry", "_prev")
     return out if had_day else out.drop(DAY)
 
 
-def with_previous_ts(events: DataFrame, name: str = "prev_ts") -> DataFrame:
-    """Add the previous event's time: the last time of the day before suffices."""
+def with_previous_ts(events: DataFrame, name: str = "prev_ts", days: DataFrame | None = None) -> DataFrame:
+    """Add the previous event's time: the last time of the day before suffices.
+
+    ``days`` is a ready :func:`journey_days` table of the same events.
+    """
     had_day = DAY in events.columns
     events = with_day(events)
     by_day = Window.partitionBy(ID).orderBy(DAY)
-    carried = (
-        events.groupBy(ID, DAY)
-        .agg(F.max(TS).alias("_last_ts"))
-        .select(ID, DAY, F.lag("_last_ts").over(by_day).alias("_carry_ts"))
-    )
+    ends = events.groupBy(ID, DAY).agg(F.max(TS).alias("last_ts")) if days is None else days
+    carried = ends.select(ID, DAY, F.lag("last_ts").over(by_day).alias("_carry_ts"))
     out = (
         events.withColumn("_inner_ts", F.lag(TS).over(day_window(events)))
-        .join(carried, [ID, DAY])
+        .join(carried, [ID, DAY], "left")
         .withColumn(name, F.coalesce("_inner_ts", "_carry_ts"))
         .drop("_inner_ts", "_carry_ts")
     )
@@ -112,20 +131,28 @@ def running_totals(
     order: Sequence[Column],
     by: Sequence[str] = (),
     inclusive: bool = True,
+    whole: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Running sums over a long order, computed part by part.
 
     ``part`` is a coarse, monotone piece of ``order`` with few distinct values
     per group (a day, a score bucket, a hash prefix). Sums inside a part run in
     parallel; the sums of all earlier parts come from a table with one row per
-    part. With ``inclusive=False`` the current row is left out.
+    part. With ``inclusive=False`` the current row is left out. ``whole`` adds
+    the group's full sum of a total under another name.
     """
-    by = list(by)
+    by, whole = list(by), dict(whole or {})
+    all_parts = Window.partitionBy(*by)
     earlier_parts = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         rows.groupBy(*by, part)
         .agg(*[F.sum(c).alias(f"_sum_{n}") for n, c in totals.items()])
-        .select(*by, part, *[F.coalesce(F.sum(f"_sum_{n}").over(earlier_parts), F.lit(0)).alias(f"_off_{n}") for n in totals])
+        .select(
+            *by,
+            part,
+            *[F.coalesce(F.sum(f"_sum_{n}").over(earlier_parts), F.lit(0)).alias(f"_off_{n}") for n in totals],
+            *[F.sum(f"_sum_{n}").over(all_parts).alias(w) for w, n in whole.items()],
+        )
     )
     inside = (
         Window.partitionBy(*by, part)
@@ -133,7 +160,7 @@ def running_totals(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     )
     out = rows.withColumns({f"_in_{n}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in totals.items()})
-    out = out.join(offsets, [*by, part])
+    out = out.join(offsets, [*by, part], "left")
     out = out.withColumns({n: F.col(f"_off_{n}") + F.col(f"_in_{n}") for n in totals})
     return out.drop(*[f"_{k}_{n}" for n in totals for k in ("in", "off")])
 

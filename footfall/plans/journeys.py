@@ -17,12 +17,14 @@ from footfall.operators.outcomes import (
     label_outcomes,
     latest,
     restrict_events,
+    status_from_days,
     visible_before_first,
-    with_outcome,
 )
 from footfall.operators.sampling import balance_classes
-from footfall.operators.snapshots import expand_snapshots, journey_bounds, k_cutoffs, single_cutoff, snapshot_k
+from footfall.operators.snapshots import bounds_from_days, expand_snapshots, k_cutoffs, single_cutoff, snapshot_k
+from footfall.operators.spread import journey_days
 from footfall.schema import FEATURE_EVENTS, ID, INACTIVITY_DAYS, TARGET_EVENT
+from footfall.session import materialize
 
 
 def clean_and_label(
@@ -39,31 +41,46 @@ def clean_and_label(
 
 def snapshot_features(
     events: DataFrame,
-    outcomes: DataFrame,
     names: Sequence[str],
+    target: str = TARGET_EVENT,
+    inactivity_days: int = INACTIVITY_DAYS,
     by: str = "total_actions",
     seed: int = 42,
 ) -> DataFrame:
     """Features of up to five random past moments per closed journey, with its outcome.
 
-    Gaps are computed once per event before the cut: an event's predecessor is
+    The log is read twice: once for the journey-day table, which is written and
+    yields outcomes, bounds, cutoffs and day links, and once for the features.
+    Gaps are computed per event before the cut, since an event's predecessor is
     visible whenever the event is. The exploded events feed the aggregation
     directly and are never stored.
     """
-    closed = outcomes.where(F.col("final_outcome") != "incomplete").select(ID)
-    bounds = journey_bounds(events).join(closed, ID, "left_semi")
-    cutoffs = k_cutoffs(snapshot_k(bounds, by), seed)
-    visible = expand_snapshots(with_gaps(events), cutoffs.select(ID, "snapshot_id", "cutoff_time"))
-    return with_outcome(flatten_journeys(visible, names, by=(ID, "snapshot_id")), outcomes)
+    days = materialize(journey_days(events, target), "journey-days")
+    closed = closed_outcomes(days, inactivity_days)
+    bounds = bounds_from_days(days).join(closed, ID)
+    cutoffs = k_cutoffs(snapshot_k(bounds, by), seed, keep=("final_outcome",))
+    visible = expand_snapshots(with_gaps(events, days=days), cutoffs.drop("k_no"), days)
+    return flatten_journeys(visible, names, by=(ID, "snapshot_id", "final_outcome"))
+
+
+def closed_outcomes(days: DataFrame, inactivity_days: int = INACTIVITY_DAYS) -> DataFrame:
+    """Outcomes of journeys that are not open any more."""
+    return label_outcomes(status_from_days(days), inactivity_days).where(F.col("final_outcome") != "incomplete")
 
 
 def single_snapshot_features(
-    events: DataFrame, outcomes: DataFrame, names: Sequence[str], seed: int = 42
+    events: DataFrame,
+    names: Sequence[str],
+    target: str = TARGET_EVENT,
+    inactivity_days: int = INACTIVITY_DAYS,
+    seed: int = 42,
 ) -> DataFrame:
     """Features of one random past moment per closed journey, with its outcome."""
-    closed = outcomes.where(F.col("final_outcome") != "incomplete").select(ID)
-    cutoffs = single_cutoff(journey_bounds(events).join(closed, ID, "left_semi"), seed)
-    return with_outcome(flatten_journeys(expand_snapshots(with_gaps(events), cutoffs), names), outcomes)
+    days = materialize(journey_days(events, target), "journey-days")
+    bounds = bounds_from_days(days).join(closed_outcomes(days, inactivity_days), ID)
+    cutoffs = single_cutoff(bounds, seed, keep=("final_outcome",))
+    visible = expand_snapshots(with_gaps(events, days=days), cutoffs, days)
+    return flatten_journeys(visible, names, by=(ID, "final_outcome"))
 
 
 def open_features(events: DataFrame, outcomes: DataFrame, names: Sequence[str]) -> DataFrame:
