@@ -65,7 +65,8 @@ def hour_log(spark, sf_dir) -> DataFrame:
 
 
 def labels(events: DataFrame) -> DataFrame:
-    return oc.label_outcomes(oc.journey_status(events, TARGET), DAYS)
+    """The outcome table, written once per query as every flow would."""
+    return materialize(oc.label_outcomes(oc.journey_status(events, TARGET), DAYS), "outcomes")
 
 
 def closed(events: DataFrame) -> DataFrame:
@@ -237,7 +238,7 @@ def aligned_columns(spark, sf_dir):
 @query
 def filled_medians(spark, sf_dir):
     """Gap medians with single-event journeys filled by the overall median."""
-    flat = _open_flat(spark, sf_dir).select(ID, "median_gap_sec", "max_gap_sec")
+    flat = materialize(_open_flat(spark, sf_dir).select(ID, "median_gap_sec", "max_gap_sec"), "flat")
     return features.fill_zero(features.fill_median(flat, ["median_gap_sec"], flat), ["max_gap_sec"])
 
 
@@ -485,7 +486,9 @@ def length_by_outcome(spark, sf_dir):
 @query
 def gap_by_outcome(spark, sf_dir):
     events = log(spark, sf_dir)
-    known = oc.with_outcome_events(funnel.gaps(events), labels(events))
+    days = materialize(spread.journey_days(events, TARGET), "journey-days")
+    outcomes = oc.label_outcomes(oc.status_from_days(days), DAYS)
+    known = oc.with_outcome_events(funnel.gaps(spread.with_day(events), days), outcomes, days=days)
     return funnel.stats_by_outcome(known, "gap_us").select(
         "final_outcome", "n", *[(F.col(c) / 1e6).alias(f"{c}_s") for c in ("mean", "sd", "median")]
     )
@@ -733,12 +736,12 @@ def _snapshots(events):
     """One snapshot per closed journey with its last visible action."""
     cuts = snapshots.k_cutoffs(snapshots.snapshot_k(snapshots.journey_bounds(events)))
     last = snapshots.expand_snapshots(events, cuts).groupBy(ID, "snapshot_id").agg(F.max(TS).alias("last_action_ts"))
-    return last.join(closed(events), ID)
+    return materialize(last.join(closed(events), ID), "snapshots")
 
 
 def _snapshot_keys(events):
     cuts = snapshots.k_cutoffs(snapshots.snapshot_k(snapshots.journey_bounds(events)))
-    return cuts.select("snapshot_id", ID).join(closed(events), ID)
+    return materialize(cuts.select("snapshot_id", ID).join(closed(events), ID), "snapshot-keys")
 
 
 @query

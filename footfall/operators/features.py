@@ -72,13 +72,13 @@ def first_last(events: DataFrame) -> DataFrame:
     )
 
 
-def per_event_name(events: DataFrame) -> DataFrame:
+def per_event_name(events: DataFrame, by: Sequence[str] = (ID,)) -> DataFrame:
     """Counts, time range and latest position per journey and event name.
 
     At most one row per name of the vocabulary and journey, which is what the
     feature builders reduce instead of the events.
     """
-    return events.groupBy(ID, NAME).agg(
+    return events.groupBy(*by, NAME).agg(
         F.count("*").alias("n"),
         F.min(TS).alias("first_ts"),
         F.max(TS).alias("last_ts"),
@@ -86,9 +86,14 @@ def per_event_name(events: DataFrame) -> DataFrame:
     )
 
 
-def baseline_features(events: DataFrame, names: Sequence[str] = FEATURE_EVENTS) -> DataFrame:
-    """Counts, distinct names, duration, last-event flags and per-event counts."""
-    per = per_event_name(events).groupBy(ID).agg(
+def baseline_features(
+    events: DataFrame, names: Sequence[str] = FEATURE_EVENTS, by: Sequence[str] = (ID,)
+) -> DataFrame:
+    """Counts, distinct names, duration, last-event flags and per-event counts.
+
+    ``by`` may carry facts of the journey, such as its label, along with the id.
+    """
+    per = per_event_name(events, by).groupBy(*by).agg(
         F.sum("n").alias("n_events"),
         F.count("*").alias("n_unique_events"),
         days_between(F.max("last_ts"), F.min("first_ts")).alias("journey_duration_days"),
@@ -96,7 +101,7 @@ def baseline_features(events: DataFrame, names: Sequence[str] = FEATURE_EVENTS)
         *[F.sum(F.when(F.col(NAME) == n, F.col("n")).otherwise(0)).alias(f"n_{n}") for n in names],
     )
     return per.select(
-        ID,
+        *by,
         "n_events",
         "n_unique_events",
         "journey_duration_days",

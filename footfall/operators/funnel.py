@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from footfall.functions.scalars import plain_name
-from footfall.functions.times import days_between, micros, minutes_between
+from footfall.functions.times import MICROS_PER_DAY, days_between, micros, minutes_between
 from footfall.operators.clean import top_k
 from footfall.operators.features import first_last
-from footfall.operators.quantiles import quantiles
+from footfall.operators.quantiles import distribution, quantiles
 from footfall.operators.spread import order_columns, with_event_number, with_previous, with_previous_ts
 from footfall.schema import ID, NAME, TARGET_EVENT, TS
 
@@ -53,52 +53,45 @@ def journey_lengths(events: DataFrame) -> DataFrame:
 
 def journey_length_stats(events: DataFrame) -> DataFrame:
     """Mean and median of minutes and actions over all journeys."""
-    lengths = journey_lengths(events)
-    means = lengths.agg(
-        F.struct(F.avg("minutes").alias("mean_minutes"), F.avg("total_actions").alias("mean_actions")).alias("m")
-    ).scalar()
-    return (
-        quantiles(lengths, "length_us", {"_us": 0.5})
-        .withColumn("_m", means)
-        .select(
-            F.col("_m.mean_minutes").alias("mean_minutes"),
-            (F.col("_us") / 6e7).alias("median_minutes"),
-            F.col("_m.mean_actions").alias("mean_actions"),
-            quantiles(lengths, "total_actions", {"x": 0.5}).scalar().alias("median_actions"),
-        )
+    both = stacked(journey_lengths(events), {"minutes": "length_us", "actions": "total_actions"})
+    found = distribution(both, "value", {"median": 0.5}, ["measure"])
+
+    def of(measure: str, stat: str, unit: float = 1.0):
+        return (F.max(F.when(F.col("measure") == measure, F.col(stat))) / unit).alias(f"{stat}_{measure}")
+
+    return found.agg(
+        of("minutes", "mean", 6e7), of("minutes", "median", 6e7), of("actions", "mean"), of("actions", "median")
     )
 
 
+def stacked(df: DataFrame, measures: dict[str, str]) -> DataFrame:
+    """``measure, value`` rows of several columns, so one pass summarises them all."""
+    cells = [F.struct(F.lit(m).alias("measure"), F.col(c).cast("long").alias("value")) for m, c in measures.items()]
+    return df.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
+
+
 def six_numbers(df: DataFrame, column: str) -> DataFrame:
     """Minimum, quartiles, mean and maximum."""
-    cuts = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
-    return quantiles(df, column, cuts).withColumn("mean", df.agg(F.avg(column)).scalar())
+    return distribution(df, column, {"q1": 0.25, "median": 0.5, "q3": 0.75}).select(
+        "min", "q1", "median", "mean", "q3", "max"
+    )
 
 
-def gaps(events: DataFrame) -> DataFrame:
+def gaps(events: DataFrame, days: DataFrame | None = None) -> DataFrame:
     """Events that have a predecessor, with the gap in microseconds."""
-    timed = with_previous_ts(events, "_prev")
+    timed = with_previous_ts(events, "_prev", days)
     return timed.where(F.col("_prev").isNotNull()).withColumn("gap_us", micros(TS) - micros("_prev")).drop("_prev")
 
 
 def gap_stats(events: DataFrame) -> DataFrame:
     """Mean, median, p90 and p99 of the time between events, in seconds."""
-    g = gaps(events).select("gap_us")
-    cuts = quantiles(g, "gap_us", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
-    return cuts.select(
-        (g.agg(F.avg("gap_us")).scalar() / 1e6).alias("mean_s"),
-        *[(F.col(c) / 1e6).alias(f"{c}_s") for c in ("p50", "p90", "p99")],
-    )
+    found = distribution(gaps(events).select("gap_us"), "gap_us", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
+    return found.select(*[(F.col(c) / 1e6).alias(f"{c}_s") for c in ("mean", "p50", "p90", "p99")])
 
 
 def stats_by_outcome(values: DataFrame, column: str, by: str = "final_outcome") -> DataFrame:
     """Count, mean, deviation and median of a column per outcome."""
-    moments = values.groupBy(by).agg(
-        F.count(column).alias("n"),
-        F.avg(column).alias("mean"),
-        F.stddev_samp(column).alias("sd"),
-    )
-    return moments.join(quantiles(values, column, {"median": 0.5}, [by]), by)
+    return distribution(values, column, {"median": 0.5}, [by]).select(by, "n", "mean", "sd", "median")
 
 
 def dropout_events(events: DataFrame, k: int = 12, target: str = TARGET_EVENT) -> DataFrame:
@@ -115,12 +108,14 @@ def dropout_events(events: DataFrame, k: int = 12, target: str = TARGET_EVENT) -
         .where(~F.col("_hit"))
     )
     counts = top_k(ended.groupBy("last_event_name").agg(F.count("*").alias("journeys")), "journeys", k, "last_event_name")
-    return counts.select(
-        "last_event_name",
-        "journeys",
-        (quantiles(ended, "length_us", {"x": 0.5}).scalar() / (86400 * 1e6)).alias("median_duration_days"),
-        quantiles(ended, "n_events", {"x": 0.5}).scalar().alias("median_events"),
+    both = stacked(ended, {"length": "length_us", "events": "n_events"})
+    medians = quantiles(both, "value", {"x": 0.5}, ["measure"]).agg(
+        F.struct(
+            (F.max(F.when(F.col("measure") == "length", F.col("x"))) / MICROS_PER_DAY).alias("median_duration_days"),
+            F.max(F.when(F.col("measure") == "events", F.col("x"))).alias("median_events"),
+        ).alias("m")
     )
+    return counts.withColumn("_m", medians.scalar()).select("last_event_name", "journeys", "_m.*")
 
 
 def stage_counts(events: DataFrame, definitions: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions.scalars import to_class
-from footfall.operators.quantiles import magnitude_bucket, quantiles
+from footfall.operators.quantiles import distribution, magnitude_bucket
 from footfall.operators.spread import running_totals
 
 
@@ -140,13 +140,7 @@ def evaluate(df: DataFrame, label: str = "label", p: str = "p", t: float = 0.5)
 
 def prediction_summary(df: DataFrame, p: str = "p") -> DataFrame:
     """Mean, deviation, extremes, median and count of predictions."""
-    return df.agg(
-        F.avg(p).alias("mean"),
-        F.stddev_samp(p).alias("sd"),
-        F.min(p).alias("min"),
-        F.max(p).alias("max"),
-        F.count(p).alias("n"),
-    ).withColumn("median", quantiles(df, p, {"median": 0.5}).scalar())
+    return distribution(df, p, {"median": 0.5})
 
 
 def class_share(df: DataFrame, p: str = "p", t: float = 0.5) -> DataFrame:

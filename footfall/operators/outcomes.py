@@ -93,9 +93,11 @@ def with_outcome(df: DataFrame, outcomes: DataFrame, how: str = "inner") -> Data
     return df.join(outcomes.select(ID, "final_outcome"), ID, how)
 
 
-def with_outcome_events(events: DataFrame, outcomes: DataFrame, how: str = "inner") -> DataFrame:
+def with_outcome_events(
+    events: DataFrame, outcomes: DataFrame, how: str = "inner", days: DataFrame | None = None
+) -> DataFrame:
     """Attach the true outcome to every event."""
-    return attach_journey(events, outcomes.select(ID, "final_outcome"), how)
+    return attach_journey(events, outcomes.select(ID, "final_outcome"), how, days)
 
 
 def with_first_target(events: DataFrame, target: str = TARGET_EVENT, name: str = "first_target_ts") -> DataFrame:

@@ -41,39 +41,67 @@ def value_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     return ranked.drop("_bucket")
 
 
-def quantiles(
+def distribution(
     df: DataFrame,
     value: str,
-    probs: dict[str, float],
+    probs: dict[str, float] | None = None,
     by: Sequence[str] = (),
     method: str = "linear",
 ) -> DataFrame:
-    """Exact quantiles, one row per group, one column per entry of ``probs``.
+    """``n, mean, sd, min, max`` and exact quantiles, one row per group.
 
-    ``linear`` interpolates between the two neighbouring order statistics;
-    ``nearest`` takes the value at position ``round(q * (n - 1))``.
+    One aggregation over the ranked value counts yields everything, so the input
+    is read once. ``linear`` interpolates between the two neighbouring order
+    statistics; ``nearest`` takes the value at position ``round(q * (n - 1))``.
     """
     if method not in ("linear", "nearest"):
         raise ValueError(f"unknown method {method!r}")
-    by = list(by)
-    ranked = value_ranks(df, value, by).withColumnRenamed("rows", "_rows")
+    by, probs = list(by), dict(probs or {})
+    v, n = F.col(value).cast("double"), F.col("n")
     picks = []
     for name, q in probs.items():
-        h = (F.col("_rows") - 1) * F.lit(float(q))
+        h = (F.col("rows") - 1) * F.lit(float(q))
         lo, hi = (F.round(h), F.round(h)) if method == "nearest" else (F.floor(h), F.ceil(h))
         picks += [
-            F.max(F.when(F.col("below") <= lo, F.col(value))).alias(f"_lo_{name}"),
-            F.max(F.when(F.col("below") <= hi, F.col(value))).alias(f"_hi_{name}"),
+            F.max(F.when(F.col("below") <= lo, v)).alias(f"_lo_{name}"),
+            F.max(F.when(F.col("below") <= hi, v)).alias(f"_hi_{name}"),
         ]
-    found = ranked.groupBy(*by).agg(F.max("_rows").alias("_rows"), *picks)
-    out = []
+    found = value_ranks(df, value, by).groupBy(*by).agg(
+        F.sum("n").alias("_n"),
+        F.sum(n * v).alias("_sum"),
+        F.sum(n * v * v).alias("_squares"),
+        F.min(v).alias("_min"),
+        F.max(v).alias("_max"),
+        *picks,
+    )
+    size = F.col("_n")
+    spread = F.greatest(F.col("_squares") - F.col("_sum") * F.col("_sum") / size, F.lit(0.0))
+    out = [
+        size.alias("n"),
+        (F.col("_sum") / size).alias("mean"),
+        F.when(size > 1, F.sqrt(spread / (size - 1))).alias("sd"),
+        F.col("_min").alias("min"),
+        F.col("_max").alias("max"),
+    ]
     for name, q in probs.items():
-        lo, hi = F.col(f"_lo_{name}").cast("double"), F.col(f"_hi_{name}").cast("double")
-        h = (F.col("_rows") - 1) * F.lit(float(q))
+        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        h = (size - 1) * F.lit(float(q))
         out.append((lo if method == "nearest" else lo + (hi - lo) * (h - F.floor(h))).alias(name))
     return found.select(*by, *out)
 
 
+def quantiles(
+    df: DataFrame,
+    value: str,
+    probs: dict[str, float],
+    by: Sequence[str] = (),
+    method: str = "linear",
+) -> DataFrame:
+    """Exact quantiles, one row per group and one column per entry of ``probs``."""
+    taken = {f"_q_{name}": q for name, q in probs.items()}
+    return distribution(df, value, taken, by, method).select(*by, *[F.col(f"_q_{n}").alias(n) for n in probs])
+
+
 def approx_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (), accuracy: int = 10_000) -> DataFrame:
     """One-pass approximate quantiles for interactive use."""
     return df.groupBy(*by).agg(

@@ -55,26 +55,35 @@ def day_window(events: DataFrame):
     return Window.partitionBy(ID, DAY).orderBy(*order_columns(events))
 
 
-def attach(rows: DataFrame, per_key: DataFrame, key: Sequence[str], part: Sequence[str], how: str = "inner") -> DataFrame:
+def attach(
+    rows: DataFrame,
+    per_key: DataFrame,
+    key: Sequence[str],
+    part: Sequence[str],
+    how: str = "inner",
+    pairs: DataFrame | None = None,
+) -> DataFrame:
     """Join a table with one row per key to rows whose keys may be very uneven.
 
     ``per_key`` is first joined to the distinct (key, part) pairs of the rows, so
     the join that moves the rows themselves runs on the finer pair. Left, inner,
     semi and anti joins are supported. ``rows`` and ``per_key`` share only the
-    key columns.
+    key columns. ``pairs`` is a ready table with one row per pair.
     """
     key, part = list(key), list(part)
-    pairs = rows.select(*key, *part).distinct()
+    pairs = rows.select(*key, *part).distinct() if pairs is None else pairs.select(*key, *part)
     if how in ("left_semi", "left_anti"):
         return rows.join(pairs.join(per_key.select(*key), key, "left_semi"), key + part, how)
     routed = pairs.join(per_key, key, how)
     return rows.join(routed, key + part, how)
 
 
-def attach_journey(events: DataFrame, per_journey: DataFrame, how: str = "inner") -> DataFrame:
+def attach_journey(
+    events: DataFrame, per_journey: DataFrame, how: str = "inner", days: DataFrame | None = None
+) -> DataFrame:
     """Join facts with one row per journey to the events, spread over days."""
     had_day = DAY in events.columns
-    out = attach(with_day(events), per_journey, [ID], [DAY], how)
+    out = attach(with_day(events), per_journey, [ID], [DAY], how, days)
     return out if had_day else out.drop(DAY)
 
 

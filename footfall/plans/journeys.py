@@ -5,25 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions.scalars import clip
 from footfall.functions.times import shift_days
 from footfall.operators.clean import dedup_events
 from footfall.operators.features import align_columns, baseline_features, fill_zero, flatten_journeys, with_gaps
-from footfall.operators.outcomes import (
-    journey_status,
-    label_outcomes,
-    latest,
-    restrict_events,
-    status_from_days,
-    visible_before_first,
-)
+from footfall.operators.outcomes import journey_status, label_outcomes, latest, restrict_events, status_from_days
 from footfall.operators.sampling import balance_classes
 from footfall.operators.snapshots import bounds_from_days, expand_snapshots, k_cutoffs, single_cutoff, snapshot_k
-from footfall.operators.spread import journey_days
-from footfall.schema import FEATURE_EVENTS, ID, INACTIVITY_DAYS, TARGET_EVENT
+from footfall.operators.spread import attach_journey, journey_days
+from footfall.schema import FEATURE_EVENTS, ID, INACTIVITY_DAYS, TARGET_EVENT, TS
 from footfall.session import materialize
 
 
@@ -91,17 +84,13 @@ def open_features(events: DataFrame, outcomes: DataFrame, names: Sequence[str])
     return flat.withColumn("final_outcome", F.lit("incomplete"))
 
 
-def training_labels(
-    events: DataFrame,
-    target: str = TARGET_EVENT,
-    inactivity_days: int = INACTIVITY_DAYS,
-    as_of: Column | None = None,
-) -> DataFrame:
-    """``id, label``: 1 for journeys with the target, 0 for those quiet since before
-    the open window; all others are left out."""
-    status = journey_status(events, target, as_of)
+def training_labels(status: DataFrame, inactivity_days: int = INACTIVITY_DAYS) -> DataFrame:
+    """``id, label, first_target_ts``: 1 for journeys with the target, 0 for those
+    quiet since before the open window; all others are left out."""
     quiet = F.col("last_ts") < shift_days("as_of", -inactivity_days)
-    return status.where(F.col("has_shipped") | quiet).select(ID, F.col("has_shipped").cast("int").alias("label"))
+    return status.where(F.col("has_shipped") | quiet).select(
+        ID, F.col("has_shipped").cast("int").alias("label"), "first_target_ts"
+    )
 
 
 def training_snapshots(
@@ -111,16 +100,19 @@ def training_snapshots(
     inactivity_days: int = INACTIVITY_DAYS,
     max_rows: int = 200_000,
     seed: int = 123,
-    as_of: Column | None = None,
 ) -> DataFrame:
     """Baseline features and labels as known before the target.
 
     Positives are cut before their first target event, so journeys that start
-    with it have no visible event and drop out.
+    with it have no visible event and drop out. The log is read twice: for the
+    journey-day table, which decides labels, sample and cut, and for the features.
     """
-    labels = balance_classes(training_labels(events, target, inactivity_days, as_of), "label", max_rows, ID, seed)
-    visible = visible_before_first(restrict_events(events, labels), target)
-    return baseline_features(visible, names).join(labels, ID)
+    days = materialize(journey_days(events, target), "journey-days")
+    labels = training_labels(status_from_days(days), inactivity_days)
+    chosen = balance_classes(labels, "label", max_rows, ID, seed)
+    known = attach_journey(events, chosen, days=days)
+    visible = known.where(F.col("first_target_ts").isNull() | (F.col(TS) < F.col("first_target_ts")))
+    return baseline_features(visible, names, by=(ID, "label"))
 
 
 def score_open(model: PipelineModel, events: DataFrame, ids: DataFrame, names: Sequence[str] = FEATURE_EVENTS) -> DataFrame:
