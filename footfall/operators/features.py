@@ -180,13 +180,21 @@ def fill_zero(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
 
 def fill_median(df: DataFrame, columns: Sequence[str], reference: DataFrame) -> DataFrame:
-    """Replace nulls by the column's median in ``reference``, or 0 if it has none."""
-    return df.withColumns(
+    """Replace nulls by the column's median in ``reference``, or 0 if it has none.
+
+    The columns are stacked so that one pass finds all medians.
+    """
+    cells = [F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in columns]
+    stacked = reference.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
+    found = quantiles(stacked, "value", {"median": 0.5}, ["measure"])
+    medians = found.agg(F.map_from_entries(F.collect_list(F.struct("measure", "median")))).scalar()
+    filled = df.withColumn("_medians", medians)
+    return filled.withColumns(
         {
-            c: F.coalesce(F.col(c).cast("double"), quantiles(reference, c, {"median": 0.5}).scalar(), F.lit(0.0))
+            c: F.coalesce(F.col(c).cast("double"), F.try_element_at("_medians", F.lit(c)), F.lit(0.0))
             for c in columns
         }
-    )
+    ).drop("_medians")
 
 
 def to_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
