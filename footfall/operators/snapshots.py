@@ -6,11 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from footfall.functions.scalars import hash_uniform
-from footfall.functions.times import micros
+from footfall.functions.times import epoch_seconds, micros
 from footfall.operators.quantiles import value_ranks
-from footfall.operators.spread import DAY, with_day
+from footfall.operators.spread import DAY, day_window, with_day
 from footfall.schema import ID, TS
 
 
@@ -44,12 +45,15 @@ def snapshot_k(bounds: DataFrame, by: str = "total_actions", buckets: int = 5) -
     return marked.withColumn("K", sum(above, F.lit(1))).drop("_bars")
 
 
-def bounds_from_days(days: DataFrame) -> DataFrame:
-    """:func:`journey_bounds` from the journey-day table."""
-    return (
-        days.groupBy(ID)
-        .agg(F.sum("n").alias("total_actions"), F.min("first_ts").alias("start_ts"), F.max("last_ts").alias("end_ts"))
-        .withColumn("journey_us", micros("end_ts") - micros("start_ts"))
+def bounds_from_status(status: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """:func:`journey_bounds` from a journey status table."""
+    return status.select(
+        ID,
+        "total_actions",
+        F.col("first_ts").alias("start_ts"),
+        F.col("last_ts").alias("end_ts"),
+        (micros("last_ts") - micros("first_ts")).alias("journey_us"),
+        *keep,
     )
 
 
@@ -87,6 +91,23 @@ def expand_snapshots(events: DataFrame, cutoffs: DataFrame, days: DataFrame | No
     return events.join(routed, [ID, DAY]).where(F.col(TS) <= F.col("cutoff_time")).drop(DAY)
 
 
+def expand_with_gaps(events: DataFrame, cutoffs: DataFrame, days: DataFrame) -> DataFrame:
+    """:func:`expand_snapshots` with ``gap_s``, the whole seconds since the previous event.
+
+    The journey-day table carries both the last time of the day before and the
+    cutoffs, so the events meet it in a single join. A gap needs no second look
+    after the cut: the predecessor of a visible event is visible too.
+    """
+    by_day = Window.partitionBy(ID).orderBy(DAY)
+    linked = days.select(ID, DAY, F.lag("last_ts").over(by_day).alias("_carry_ts"))
+    routed = linked.join(cutoffs, ID).where(F.col(DAY) <= F.to_date("cutoff_time"))
+    events = with_day(events)
+    inside = events.withColumn("_inner_ts", F.lag(TS).over(day_window(events)))
+    visible = inside.join(routed, [ID, DAY]).where(F.col(TS) <= F.col("cutoff_time"))
+    before = F.coalesce("_inner_ts", "_carry_ts")
+    return visible.withColumn("gap_s", epoch_seconds(TS) - epoch_seconds(before)).drop("_inner_ts", "_carry_ts", DAY)
+
+
 def truncate_at(events: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """The single-cutoff case of :func:`expand_snapshots`."""
     return expand_snapshots(events, cutoffs.select(ID, "cutoff_time"))

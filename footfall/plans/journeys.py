@@ -11,10 +11,17 @@ from pyspark.sql import functions as F
 from footfall.functions.scalars import clip
 from footfall.functions.times import shift_days
 from footfall.operators.clean import dedup_events
-from footfall.operators.features import align_columns, baseline_features, fill_zero, flatten_journeys, with_gaps
-from footfall.operators.outcomes import journey_status, label_outcomes, latest, restrict_events, status_from_days
+from footfall.operators.features import align_columns, baseline_features, fill_zero, flatten_journeys
+from footfall.operators.outcomes import (
+    journey_status,
+    label_outcomes,
+    latest,
+    outcome_column,
+    restrict_events,
+    status_from_days,
+)
 from footfall.operators.sampling import balance_classes
-from footfall.operators.snapshots import bounds_from_days, expand_snapshots, k_cutoffs, single_cutoff, snapshot_k
+from footfall.operators.snapshots import bounds_from_status, expand_with_gaps, k_cutoffs, single_cutoff, snapshot_k
 from footfall.operators.spread import attach_journey, journey_days
 from footfall.schema import FEATURE_EVENTS, ID, INACTIVITY_DAYS, TARGET_EVENT, TS
 from footfall.session import materialize
@@ -44,21 +51,19 @@ def snapshot_features(
 
     The log is read twice: once for the journey-day table, which is written and
     yields outcomes, bounds, cutoffs and day links, and once for the features.
-    Gaps are computed per event before the cut, since an event's predecessor is
-    visible whenever the event is. The exploded events feed the aggregation
-    directly and are never stored.
+    The exploded events feed the aggregation directly and are never stored.
     """
     days = materialize(journey_days(events, target), "journey-days")
-    closed = closed_outcomes(days, inactivity_days)
-    bounds = bounds_from_days(days).join(closed, ID)
-    cutoffs = k_cutoffs(snapshot_k(bounds, by), seed, keep=("final_outcome",))
-    visible = expand_snapshots(with_gaps(events, days=days), cutoffs.drop("k_no"), days)
+    bounds = closed_bounds(days, inactivity_days)
+    cutoffs = k_cutoffs(snapshot_k(bounds, by), seed, keep=("final_outcome",)).drop("k_no")
+    visible = expand_with_gaps(events, cutoffs, days)
     return flatten_journeys(visible, names, by=(ID, "snapshot_id", "final_outcome"))
 
 
-def closed_outcomes(days: DataFrame, inactivity_days: int = INACTIVITY_DAYS) -> DataFrame:
-    """Outcomes of journeys that are not open any more."""
-    return label_outcomes(status_from_days(days), inactivity_days).where(F.col("final_outcome") != "incomplete")
+def closed_bounds(days: DataFrame, inactivity_days: int = INACTIVITY_DAYS) -> DataFrame:
+    """Bounds and outcomes of journeys that are not open any more."""
+    status = status_from_days(days).withColumn("final_outcome", outcome_column(inactivity_days))
+    return bounds_from_status(status.where(F.col("final_outcome") != "incomplete"), ("final_outcome",))
 
 
 def single_snapshot_features(
@@ -70,9 +75,8 @@ def single_snapshot_features(
 ) -> DataFrame:
     """Features of one random past moment per closed journey, with its outcome."""
     days = materialize(journey_days(events, target), "journey-days")
-    bounds = bounds_from_days(days).join(closed_outcomes(days, inactivity_days), ID)
-    cutoffs = single_cutoff(bounds, seed, keep=("final_outcome",))
-    visible = expand_snapshots(with_gaps(events, days=days), cutoffs, days)
+    cutoffs = single_cutoff(closed_bounds(days, inactivity_days), seed, keep=("final_outcome",))
+    visible = expand_with_gaps(events, cutoffs, days)
     return flatten_journeys(visible, names, by=(ID, "final_outcome"))
 
 
