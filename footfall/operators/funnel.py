@@ -11,7 +11,7 @@ from footfall.functions.times import MICROS_PER_DAY, days_between, micros, minut
 from footfall.operators.clean import top_k
 from footfall.operators.features import first_last
 from footfall.operators.quantiles import distribution, quantiles
-from footfall.operators.spread import order_columns, with_event_number, with_previous, with_previous_ts
+from footfall.operators.spread import order_columns, small_side, with_event_number, with_previous, with_previous_ts
 from footfall.schema import ID, NAME, TARGET_EVENT, TS
 
 NO_STAGE = "NA"
@@ -21,14 +21,14 @@ def with_stage(events: DataFrame, definitions: DataFrame, code: str | None = Non
     """Attach ``milestone_number`` and ``stage``; unknown events keep nulls.
 
     Joined on the event code where the log has one, otherwise on the name with
-    parentheses removed. The dimension has one row per event, so Spark's own
-    size check decides on a broadcast.
+    parentheses removed. The dimension has one row per event name and is
+    broadcast after a check of its size.
     """
     if code is not None:
         dim = definitions.select(F.col("event_definition_id").alias("_code"), "milestone_number", "stage")
-        return events.join(dim, F.col(code) == F.col("_code"), "left").drop("_code")
+        return events.join(small_side(dim), F.col(code) == F.col("_code"), "left").drop("_code")
     dim = definitions.select(plain_name(NAME).alias("_plain"), "milestone_number", "stage")
-    return events.withColumn("_plain", plain_name(NAME)).join(dim, "_plain", "left").drop("_plain")
+    return events.withColumn("_plain", plain_name(NAME)).join(small_side(dim), "_plain", "left").drop("_plain")
 
 
 def event_frequency(events: DataFrame) -> DataFrame:

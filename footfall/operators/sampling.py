@@ -34,6 +34,16 @@ def class_sizes(df: DataFrame, by: str) -> DataFrame:
     return df.groupBy(by).agg(F.count("*").alias("n_rows"))
 
 
+def _per_class(table: DataFrame, by: str, value: Column) -> Column:
+    """Look up a value of a table with one row per class, as a scalar map.
+
+    ``by`` is a class column with a handful of values. Rows are compared where
+    they are, without a join on a column that only has two or three values.
+    """
+    entries = table.agg(F.map_from_entries(F.collect_list(F.struct(F.col(by), value)))).scalar()
+    return F.try_element_at(entries, F.col(by))
+
+
 def hash_bars(df: DataFrame, quota: DataFrame, by: str, key: str, seed: int) -> DataFrame:
     """Per class the (hash, key) of the last row within its quota.
 
@@ -51,39 +61,28 @@ def hash_bars(df: DataFrame, quota: DataFrame, by: str, key: str, seed: int) ->
         .join(quota.select(by, "n_take"), by)
         .where(F.col("_before") < F.col("n_take"))
         .groupBy(by)
-        .agg(
-            F.max("_prefix").alias("_prefix"),
-            F.max_by(F.col("n_take") - F.col("_before"), "_prefix").alias("_left"),
-        )
+        .agg(F.max(F.struct("_prefix", (F.col("n_take") - F.col("_before")).alias("_left"))).alias("_edge"))
     )
     within = Window.partitionBy(by).orderBy("_h", key)
     return (
-        keyed.join(edges, [by, "_prefix"])  # one prefix per class
+        keyed.withColumn("_edge", _per_class(edges, by, F.col("_edge")))
+        .where(F.col("_prefix") == F.col("_edge._prefix"))
         .withColumn("_rn", F.row_number().over(within))
-        .where(F.col("_rn") <= F.col("_left"))
+        .where(F.col("_rn") <= F.col("_edge._left"))
         .groupBy(by)
         .agg(F.max(F.struct("_h", key)).alias("_bar"))
     )
 
 
 def within_quota(df: DataFrame, quota: DataFrame, by: str, key: str, seed: int) -> Column:
-    """True for rows up to their class's last kept (hash, key).
-
-    The bars are one entry per class and travel as a scalar map, so the rows are
-    filtered where they are, without a join on a column of two or three values.
-    """
-    bars = hash_bars(df, quota, by, key, seed)
-    entries = bars.agg(F.map_from_entries(F.collect_list(F.struct(by, "_bar")))).scalar()
-    bar = F.try_element_at(entries, F.col(by))
+    """True for rows up to their class's last kept (hash, key)."""
+    bar = _per_class(hash_bars(df, quota, by, key, seed), by, F.col("_bar"))
     row = F.struct(hash_number(key, seed).alias("_h"), F.col(key))
     return F.coalesce(row <= bar, F.lit(False))
 
 
 def take_quota(df: DataFrame, quota: DataFrame, by: str, key: str, seed: int = 42) -> DataFrame:
-    """Exactly ``n_take`` rows per class (or the whole class), lowest hashes first.
-
-    ``by`` is a class column with a handful of values.
-    """
+    """Exactly ``n_take`` rows per class (or the whole class), lowest hashes first."""
     return df.where(within_quota(df, quota, by, key, seed))
 
 

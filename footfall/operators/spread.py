@@ -46,6 +46,18 @@ def journey_days(events: DataFrame, target: str = TARGET_EVENT) -> DataFrame:
     )
 
 
+def small_side(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """A broadcast copy of a dimension, if it turns out to have few rows.
+
+    At most ``max_rows + 1`` rows are fetched to find out. A larger table comes
+    back unchanged and is joined by shuffle.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def order_columns(events: DataFrame) -> list[Column]:
     return [F.col(c) for c in ORDER if c in events.columns]
 
