@@ -379,6 +379,11 @@ def log_profile(spark, sf_dir):
     return clean.profile(dt.event_log(spark, sf_dir, ["user_id"]), [ID, "user_id"])
 
 
+@query
+def approximate_profile(spark, sf_dir):
+    return clean.approx_profile(dt.event_log(spark, sf_dir, ["user_id"]), [ID, "user_id"])
+
+
 @query
 def key_pairs(spark, sf_dir):
     return clean.pair_count(dt.table(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority")
@@ -512,6 +517,12 @@ def order_value_quantiles(spark, sf_dir):
     return qn.quantiles(dt.table(spark, sf_dir, "orders"), "o_totalprice", cuts, ["o_orderpriority"])
 
 
+@query
+def approximate_quantiles(spark, sf_dir):
+    cuts = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
+    return qn.approx_quantiles(dt.table(spark, sf_dir, "orders"), "o_totalprice", cuts, ["o_orderpriority"])
+
+
 @query
 def daily_series(spark, sf_dir):
     return daily(spark, sf_dir)
