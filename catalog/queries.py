@@ -83,6 +83,11 @@ def daily(spark, sf_dir) -> DataFrame:
     return series.daily_counts(dt.order_log(spark, sf_dir))
 
 
+def written_daily(spark, sf_dir) -> DataFrame:
+    """The daily series as a table, for flows that use it several times."""
+    return materialize(daily(spark, sf_dir), "daily")
+
+
 # --- sources and sinks -------------------------------------------------------
 
 
@@ -1164,7 +1169,7 @@ def picked_journey(spark, sf_dir):
 
 
 def _additive(spark, sf_dir):
-    d = series.warm_start(daily(spark, sf_dir), 71)
+    d = series.warm_start(written_daily(spark, sf_dir), 71)
     train = series.training_series(d, "day")
     dates = series.future_frame(train, "2002-12-01", "day")
     days = forecast.fixed_date_holidays(dates, {"new year": (1, 1), "independence": (7, 4), "christmas": (12, 25)})
@@ -1203,14 +1208,14 @@ def forecast_summary(spark, sf_dir):
 
 @query
 def weekly_forecast(spark, sf_dir):
-    weeks = series.training_series(series.warm_start(daily(spark, sf_dir), 71), "week")
+    weeks = series.training_series(series.warm_start(written_daily(spark, sf_dir), 71), "week")
     fit = forecast.fit_additive(weeks, weekly=0)
     return forecast.forecast_additive(fit, series.future_frame(weeks, "2002-12-01", "week"))
 
 
 @query
 def gentle_monthly_forecast(spark, sf_dir):
-    months = series.training_series(daily(spark, sf_dir), "month", "1995-01-01", "2001-11-01")
+    months = series.training_series(written_daily(spark, sf_dir), "month", "1995-01-01", "2001-11-01")
     fit = forecast.fit_additive(months, yearly=2, weekly=0, changepoints=3, ridge=0.1)
     cap = 1.5 * months.agg(F.max("y")).first()[0]
     return forecast.forecast_additive(fit, series.future_frame(months, "2003-10-01", "month"), floor=0.0, cap=cap)
@@ -1225,7 +1230,7 @@ def cohort_forecast(spark, sf_dir):
 
 
 def _poisson(spark, sf_dir):
-    months = series.fill_calendar(series.monthly_counts(daily(spark, sf_dir), "1995-01-01", "2001-11-01"))
+    months = series.fill_calendar(series.monthly_counts(written_daily(spark, sf_dir), "1995-01-01", "2001-11-01"))
     return months, forecast.fit_poisson(months)
 
 

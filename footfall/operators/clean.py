@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from footfall.functions.times import is_weekday
 from footfall.operators.spread import attach
@@ -218,11 +217,5 @@ def largest_moves(df: DataFrame, column: str, k: int, *ties: str) -> DataFrame:
     return df.orderBy(F.desc(F.abs(F.col(column))), *[F.asc(t) for t in ties]).limit(k)
 
 
-def first_row(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """First row of each group; map tasks keep one row per group before the shuffle."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-
-
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]

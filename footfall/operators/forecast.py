@@ -20,6 +20,7 @@ from footfall.functions.scalars import clip, hash_normal
 from footfall.functions.times import align_to_year
 from footfall.operators.features import fill_median
 from footfall.operators.series import seasonal_design
+from footfall.session import materialize
 
 SEASONAL_TERMS = ("trend_month", "sin_annual", "cos_annual", "sin_semiannual", "cos_semiannual")
 Z95 = 1.959963984540054
@@ -58,7 +59,12 @@ def _dot(xs: Sequence[Column], values) -> Column:
 
 
 def fit_poisson(series: DataFrame, start=None) -> PoissonFit:
-    """Log-linear Poisson fit of ``y`` on trend and two seasonal waves, HC0 covariance."""
+    """Log-linear Poisson fit of ``y`` on trend and two seasonal waves, HC0 covariance.
+
+    The fit makes several passes, so the short series is written first and the
+    log behind it is read once.
+    """
+    series = materialize(series.select("ds", "y"), "series")
     start = series.agg(F.min("ds")).first()[0] if start is None else start
     design = seasonal_design(series, F.lit(start))
     assembled = VectorAssembler(inputCols=list(SEASONAL_TERMS), outputCol="_x").transform(
@@ -183,7 +189,12 @@ def fit_additive(
     holidays: DataFrame | None = None,
     ridge: float = 0.01,
 ) -> AdditiveFit:
-    """Ridge fit of trend with hinges, yearly and weekly waves and holiday effects."""
+    """Ridge fit of trend with hinges, yearly and weekly waves and holiday effects.
+
+    The fit makes several passes, so the short series is written first.
+    """
+    series = materialize(series.select("ds", "y"), "series")
+    holidays = None if holidays is None else materialize(holidays.select("ds", "holiday"), "holidays")
     span = series.agg(F.min("ds"), F.max("ds")).first()
     start, days = span[0], float(max((span[1] - span[0]).days, 1))
     # Hinges lie in the first 80 percent of the series.

@@ -57,7 +57,8 @@ def distribution(
     if method not in ("linear", "nearest"):
         raise ValueError(f"unknown method {method!r}")
     by, probs = list(by), dict(probs or {})
-    v, n = F.col(value).cast("double"), F.col("n")
+    df = df.select(*by, F.col(value).alias("_value"))
+    v, n = F.col("_value").cast("double"), F.col("n")
     picks = []
     for name, q in probs.items():
         h = (F.col("rows") - 1) * F.lit(float(q))
@@ -66,7 +67,7 @@ def distribution(
             F.max(F.when(F.col("below") <= lo, v)).alias(f"_lo_{name}"),
             F.max(F.when(F.col("below") <= hi, v)).alias(f"_hi_{name}"),
         ]
-    found = value_ranks(df, value, by).groupBy(*by).agg(
+    found = value_ranks(df, "_value", by).groupBy(*by).agg(
         F.sum("n").alias("_n"),
         F.sum(n * v).alias("_sum"),
         F.sum(n * v * v).alias("_squares"),

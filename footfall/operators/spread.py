@@ -23,8 +23,13 @@ DAY = "_day"
 
 
 def with_day(events: DataFrame) -> DataFrame:
-    """Add the calendar day that splits journeys into parts."""
-    return events if DAY in events.columns else events.withColumn(DAY, F.to_date(TS))
+    """Add the calendar day that splits journeys into parts.
+
+    Events without a time share one early day, so joins on the day keep them.
+    """
+    if DAY in events.columns:
+        return events
+    return events.withColumn(DAY, F.coalesce(F.to_date(TS), F.to_date(F.lit("0001-01-01"))))
 
 
 def journey_days(events: DataFrame, target: str = TARGET_EVENT) -> DataFrame:
@@ -160,7 +165,7 @@ def running_totals(
     per group (a day, a score bucket, a hash prefix). Sums inside a part run in
     parallel; the sums of all earlier parts come from a table with one row per
     part. With ``inclusive=False`` the current row is left out. ``whole`` adds
-    the group's full sum of a total under another name.
+    the group's full sum of a total under another name. Group columns are not null.
     """
     by, whole = list(by), dict(whole or {})
     all_parts = Window.partitionBy(*by)

@@ -177,6 +177,14 @@ def test_restrict_and_exclude_split_the_log(log, rows):
     assert {r["id"] for r in inside.select("id").distinct().collect()} == {"hot 1", "j 3"}
 
 
+def test_events_without_a_time_are_kept(log):
+    df = log([("a", "x", 0), ("a", "y", 5), ("b", "x", 9)])
+    df = df.withColumn("event_timestamp", F.when(F.col("event_name") != "y", F.col("event_timestamp")))
+    assert oc.restrict_events(df, df.where("id = 'a'").select("id")).count() == 2
+    assert features.with_gaps(df).count() == 3
+    assert timeline.timeline_features(df, NAMES).count() == 3
+
+
 def test_training_rows_drop_journeys_that_start_with_the_target(log):
     df = log(
         [("a", "order_shipped", 0), ("b", "x", 0), ("b", "order_shipped", 5), ("c", "x", 3), ("d", "x", 100 * DAY)]

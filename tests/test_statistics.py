@@ -34,6 +34,11 @@ def test_distribution(values):
             assert r[name] == pytest.approx(np.quantile(xs, q))
 
 
+def test_column_named_like_a_result(spark):
+    df = spark.createDataFrame([(1,), (2,), (4,)], "n int")
+    assert quantiles(df, "n", {"min": 0.5}).first().asDict() == {"min": 2.0}
+
+
 def test_nearest_rank(values):
     rows, df = values
     xs = sorted(x for _, x, _ in rows)
