@@ -17,7 +17,9 @@ MODULES = (
     "simhash",
     "forest",
     "suffixes",
-
+    "pii",
+    "chat",
+    "licences",
 )
 
 for _name in MODULES:

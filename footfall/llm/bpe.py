@@ -16,7 +16,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import re
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,7 +24,7 @@ from footfall.llm.common import map_columns
 
 LONG = 2_048
 CELLS = 1_000_000
-CACHED = 250_000
+CACHED = 400_000
 NONE = np.iinfo(np.int32).max
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -187,48 +186,32 @@ class Bpe:
 
 
 class TextCoder:
-    """Encodes whole texts; what a piece of text encodes to is remembered."""
+    """Encodes whole texts; what a pre-token encodes to is remembered."""
 
     def __init__(self, bpe: Bpe, pattern: str):
         import regex
 
         self.bpe, self.split = bpe, regex.compile(pattern).findall
-        # A blank after white space: there, the blank may belong to a longer run.
-        self.run = re.compile(r"\s ").search
-        self.words: dict[str, tuple[bytes, bytes]] = {}
-        self.pieces: dict[str, tuple[bytes, bytes]] = {}
-
-    def parts(self, text: str) -> list[str]:
-        """Cuts of the text at which a pre-token surely ends: before a single blank."""
-        if "\0" in text or self.run(text):
-            return self.split(text)
-        return text.replace(" ", "\0 ").split("\0")
-
-    def learn(self, parts: set[str]) -> None:
-        if len(self.pieces) > CACHED:
-            self.pieces.clear()
-            self.words.clear()
-        new = [p for p in parts if p not in self.pieces]
-        tokens = [self.split(p) for p in new]
-        words = list({w for ws in tokens for w in ws if w not in self.words})
+        self.decimal = {i: b"%d" % i for i in bpe.tokens}
+        self.ids: dict[str, bytes] = {}
+        self.decoded: dict[str, bytes] = {}
+
+    def learn(self, words: list[str]) -> None:
+        text = self.decimal.__getitem__
         for w, ids in zip(words, self.bpe.encode_words([w.encode() for w in words])):
-            self.words[w] = (" ".join(map(str, ids)).encode(), self.bpe.decode(ids))
-        for p, ws in zip(new, tokens):
-            got = [self.words[w] for w in ws]
-            self.pieces[p] = (b" ".join(g[0] for g in got), b"".join(g[1] for g in got))
+            self.ids[w] = b" ".join(map(text, ids))
+            self.decoded[w] = self.bpe.decode(ids)
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
         """Per text: its decimal ids joined by blanks, and the bytes decoded from them."""
-        cut = [[p for p in self.parts(t) if p] if t else [] for t in texts]
-        wanted = set().union(*cut) - self.pieces.keys()
-        if wanted:
-            kept = self.pieces
-            self.learn(wanted if len(kept) <= CACHED else set().union(*cut))
-        out = []
-        for ps in cut:
-            got = [self.pieces[p] for p in ps]
-            out.append((b" ".join([g[0] for g in got]), b"".join([g[1] for g in got])))
-        return out
+        cut = [self.split(t) if t else [] for t in texts]
+        words = set().union(*cut)
+        if len(self.ids) > CACHED:
+            self.ids.clear()
+            self.decoded.clear()
+        self.learn(list(words - self.ids.keys()))
+        ids, decoded = self.ids.__getitem__, self.decoded.__getitem__
+        return [(b" ".join(map(ids, ws)), b"".join(map(decoded, ws))) for ws in cut]
 
 
 def token_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

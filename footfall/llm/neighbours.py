@@ -117,15 +117,43 @@ def votes(vectors: np.ndarray, known: np.ndarray, labels: np.ndarray, voters: in
     return ((weight * labels[top]).sum(axis=1) + 5e-7) / (weight.sum(axis=1) + 1e-6)
 
 
-def scored(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, voters: int = VOTERS) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every text."""
+def _voters(docs: DataFrame, labels: DataFrame, per_class: int):
+    """Model, labelled vectors and labels; None without labelled rows."""
     shares, marks = labelled_sample(docs, labels, per_class)
     if not len(marks):
+        return None
+    model = Latent(shares)
+    return model, model.vectors(shares), marks
+
+
+def kept_good(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, voters: int = VOTERS) -> DataFrame:
+    """The rows whose score reaches ``THRESHOLD``, all columns unchanged.
+
+    Without any labelled row nothing is rejected.
+    """
+    found = _voters(docs, labels, per_class)
+    if found is None:
+        return docs
+    held = docs.sparkSession.sparkContext.broadcast(found)
+
+    def step(batches):
+        model, known, marks = held.value
+        for b in batches:
+            score = votes(model.vectors(np.array([term_shares(t) for t in b["text"]])), known, marks, voters)
+            on = np.flatnonzero(score >= THRESHOLD).tolist()
+            yield {k: [v[i] for i in on] for k, v in b.items()}
+
+    return map_columns(docs, step, ", ".join(f"`{n}` {k}" for n, k in docs.dtypes))
+
+
+def scored(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, voters: int = VOTERS) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` for every text."""
+    found = _voters(docs, labels, per_class)
+    if found is None:
         return docs.select(
             "doc_id", held_out().alias("held_out"), F.lit(0.5).alias("score"), F.lit(0).alias("predicted")
         )
-    model = Latent(shares)
-    held = docs.sparkSession.sparkContext.broadcast((model, model.vectors(shares), marks))
+    held = docs.sparkSession.sparkContext.broadcast(found)
 
     def step(batches):
         model, known, marks = held.value

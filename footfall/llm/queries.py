@@ -5,10 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from footfall.llm import bpe, forest, neighbours, packing, rules, simhash, suffixes
+import corpus_pipeline
+from footfall.llm import bpe, chat, forest, licences, neighbours, packing, pii, rules, simhash, suffixes
 from footfall.llm.common import read
 
 
+def op1_personal_data(spark, sf_dir):
+    return pii.found_spans(read(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark, sf_dir):
     return rules.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -32,6 +37,10 @@ def op6_simhash(spark, sf_dir):
     )
 
 
+def op7_role_repair(spark, sf_dir):
+    return chat.repaired(read(spark, sf_dir, "conversations"))
+
+
 def op8_byte_bpe(spark, sf_dir):
     return bpe.token_digests(
         read(spark, sf_dir, "documents"),
@@ -44,13 +53,22 @@ def op9_best_fit(spark, sf_dir):
     return packing.packed_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_licences(spark, sf_dir):
+    return licences.matched(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
+    op1_personal_data,
     op2_quality_rules,
     op3_neighbour_quality,
     op4_projection_forest,
     op5_suffix_dedup,
     op6_simhash,
+    op7_role_repair,
     op8_byte_bpe,
     op9_best_fit,
-)}
-ORACLES: dict[str, str] = {}
+    op10_licences,
+)} | {"pipeline": corpus_pipeline.run}
+ORACLES = {"op10_licences": licences.matched_sql()}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

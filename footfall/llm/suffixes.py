@@ -435,11 +435,13 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     return spans.groupBy("id", "code").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry=()) -> DataFrame:
+def deduplicated(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry=(), as_text: bool = False
+) -> DataFrame:
     """Every document with what is kept of its bytes.
 
-    ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, with ``carry``, the
-    kept bytes as ``kept`` and the carried columns.
+    ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, the carried columns and,
+    with ``as_text``, the kept bytes as ``text`` without broken characters.
     """
     spans = removed_spans(docs, length, gram)
     named = [f"c{i}" for i in range(len(carry))]
@@ -467,7 +469,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry=
         import zstandard
 
         for b in batches:
-            out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
+            out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")}
             for doc, packed, spans in zip(b["doc_id"], b["packed"], b["spans"]):
                 raw = zstandard.decompress(packed)
                 gone = merged_spans((s["start"], s["stop"]) for s in spans or ())
@@ -481,11 +483,11 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry=
                 out["n_removed"].append(len(raw) - len(left))
                 out["n_spans"].append(len(gone))
                 out["kept_sha256"].append(hashlib.sha256(left).hexdigest())
-                if named:
-                    out["kept"].append(left)
+                if as_text:
+                    out["text"].append(left.decode(errors="ignore"))
             yield out | {n: b[n] for n in named}
 
-    result = map_columns(rows, cut, schema + (", kept binary" + more if named else ""))
+    result = map_columns(rows, cut, schema + ", text string" * as_text + more)
     for c, n in zip(carry, named):
         result = result.withColumnRenamed(n, c)
     return result
