@@ -1,8 +1,9 @@
 """Quality scores by votes of similar labelled texts.
 
 A text becomes a latent-semantic vector: counts of hashed byte trigrams and of a
-few repetition terms, as square roots of shares, centred, scaled and projected
-on the leading right singular vectors of the labelled sample. The labelled
+few repetition terms, as shares drawn towards the sample's mean by the weight of
+``PRIOR`` terms (so that short texts are not all noise), as square roots, centred,
+scaled and projected on the leading right singular vectors of the sample. The labelled
 vectors are broadcast; every text is compared with all of them by exact cosines
 in blocks, and the nearest ones vote with a weight that grows with similarity.
 
@@ -28,6 +29,9 @@ from footfall.llm.common import held_out, map_columns
 
 TERMS = 2_048
 EXTRA = 3
+PRIOR = (150.0, 15.0)
+# Votes of the base rate, which decide where no neighbour is similar.
+BASE_VOTES = 2.0
 LATENT = 48
 PER_CLASS = 1_500
 VOTERS = 21
@@ -36,20 +40,23 @@ SCORES = "doc_id long, held_out boolean, score double, predicted int"
 
 
 def term_shares(text: str | None) -> np.ndarray:
-    """Square roots of the shares of hashed trigrams and of repetition terms."""
-    out = np.zeros(TERMS + EXTRA, np.float32)
+    """Shares of hashed trigrams and of repetition terms, then the numbers of
+    trigrams and of words they are shares of."""
+    out = np.zeros(TERMS + EXTRA + 2, np.float32)
     raw = (text or "").encode()
     if len(raw) >= 3:
         b = np.frombuffer(raw, np.uint8).astype(np.uint32)
         code = b[:-2] * np.uint32(0x9E3779B1) ^ b[1:-1] * np.uint32(0x85EBCA77) ^ b[2:] * np.uint32(0xC2B2AE3D)
         code = (code * np.uint32(0x27D4EB2F)) >> np.uint32(21)
-        out[:TERMS] = np.sqrt(np.bincount(code, minlength=TERMS) / len(code))
+        out[:TERMS] = np.bincount(code, minlength=TERMS) / len(code)
+        out[-2] = len(code)
     words = raw.split()
     if words:
         lines = [x for x in raw.split(b"\n") if x.strip()]
-        out[TERMS] = np.sqrt(sum(map(operator.eq, words, words[1:])) / len(words))
-        out[TERMS + 1] = np.sqrt(1 - len(set(lines)) / max(1, len(lines)))
-        out[TERMS + 2] = np.sqrt(sum(map(bytes.isupper, words)) / len(words))
+        out[TERMS] = sum(map(operator.eq, words, words[1:])) / len(words)
+        out[TERMS + 1] = 1 - len(set(lines)) / max(1, len(lines))
+        out[TERMS + 2] = sum(map(bytes.isupper, words)) / len(words)
+        out[-1] = len(words)
     return out
 
 
@@ -62,7 +69,8 @@ def _features(docs: DataFrame) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS):
-    """Term shares and labels of the bounded sample: at most ``2 * per_class`` rows."""
+    """Term shares and labels of the bounded sample, at most ``2 * per_class`` rows,
+    and the share of label 1 among all labelled rows outside the held-out fold."""
     marked = (
         labels.where("quality in (0, 1) and doc_id is not null")
         .where(~held_out())
@@ -82,14 +90,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
         .orderBy("doc_id")
         .collect()
     )
-    shares = np.array([np.frombuffer(r["shares"], np.float32) for r in rows]).reshape(len(rows), TERMS + EXTRA)
-    return shares, np.array([r["quality"] for r in rows], float)
+    shares = np.array([np.frombuffer(r["shares"], np.float32) for r in rows]).reshape(len(rows), TERMS + EXTRA + 2)
+    rate = marked.agg(F.avg("quality")).first()[0]
+    return shares, np.array([r["quality"] for r in rows], float), rate
 
 
 class Latent:
     """Centring, scaling and projection learned from the sample."""
 
     def __init__(self, shares: np.ndarray, latent: int = LATENT):
+        self.prior = shares[:, :-2].mean(axis=0)
+        shares = self.drawn(shares)
         self.mean = shares.mean(axis=0)
         spread = shares.std(axis=0)
         self.scale = 1 / (spread + np.float32(0.01))
@@ -103,27 +114,36 @@ class Latent:
         rotate = np.linalg.svd(held @ q, full_matrices=False)[2]
         self.axes = (q @ rotate.T)[:, :latent].astype(np.float32)
 
+    def drawn(self, shares: np.ndarray) -> np.ndarray:
+        """Square roots of the shares after adding the prior's terms."""
+        n = np.repeat(shares[:, -2:], (TERMS, EXTRA), axis=1)
+        weight = np.repeat(np.array(PRIOR, np.float32), (TERMS, EXTRA))
+        return np.sqrt((shares[:, :-2] * n + self.prior * weight) / (n + weight))
+
     def vectors(self, shares: np.ndarray) -> np.ndarray:
-        v = ((shares - self.mean) * self.scale) @ self.axes
+        v = ((self.drawn(shares) - self.mean) * self.scale) @ self.axes
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
 
-def votes(vectors: np.ndarray, known: np.ndarray, labels: np.ndarray, voters: int = VOTERS) -> np.ndarray:
-    """Similarity-weighted share of label 1 among the nearest labelled vectors."""
+def votes(
+    vectors: np.ndarray, known: np.ndarray, labels: np.ndarray, rate: float, voters: int = VOTERS
+) -> np.ndarray:
+    """Similarity-weighted share of label 1 among the nearest labelled vectors,
+    with ``BASE_VOTES`` votes for the base rate."""
     near = vectors @ known.T
     k = min(voters, len(known))
     top = np.argpartition(near, len(known) - k, axis=1)[:, len(known) - k :]
     weight = np.maximum(np.take_along_axis(near, top, axis=1), 0).astype(float) ** 4
-    return ((weight * labels[top]).sum(axis=1) + 5e-7) / (weight.sum(axis=1) + 1e-6)
+    return ((weight * labels[top]).sum(axis=1) + BASE_VOTES * rate) / (weight.sum(axis=1) + BASE_VOTES)
 
 
 def _voters(docs: DataFrame, labels: DataFrame, per_class: int):
-    """Model, labelled vectors and labels; None without labelled rows."""
-    shares, marks = labelled_sample(docs, labels, per_class)
+    """Model, labelled vectors, labels and base rate; None without labelled rows."""
+    shares, marks, rate = labelled_sample(docs, labels, per_class)
     if not len(marks):
         return None
     model = Latent(shares)
-    return model, model.vectors(shares), marks
+    return model, model.vectors(shares), marks, rate
 
 
 def kept_good(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, voters: int = VOTERS) -> DataFrame:
@@ -137,9 +157,9 @@ def kept_good(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, vo
     held = docs.sparkSession.sparkContext.broadcast(found)
 
     def step(batches):
-        model, known, marks = held.value
+        model, known, marks, rate = held.value
         for b in batches:
-            score = votes(model.vectors(np.array([term_shares(t) for t in b["text"]])), known, marks, voters)
+            score = votes(model.vectors(np.array([term_shares(t) for t in b["text"]])), known, marks, rate, voters)
             on = np.flatnonzero(score >= THRESHOLD).tolist()
             yield {k: [v[i] for i in on] for k, v in b.items()}
 
@@ -156,9 +176,9 @@ def scored(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, voter
     held = docs.sparkSession.sparkContext.broadcast(found)
 
     def step(batches):
-        model, known, marks = held.value
+        model, known, marks, rate = held.value
         for b in batches:
-            found = votes(model.vectors(np.array([term_shares(t) for t in b["text"]])), known, marks, voters)
+            found = votes(model.vectors(np.array([term_shares(t) for t in b["text"]])), known, marks, rate, voters)
             yield {
                 "doc_id": b["doc_id"],
                 "held_out": b["held_out"],
