@@ -32,6 +32,7 @@ GROUP = 8_192
 CLOSING_ID = 1
 LENGTH = 4_096
 CACHED = 400_000
+STEMS = 400
 WEIGHTS = (1.0, 0.001, 0.001)
 # A sequence filled to this share is closed after its first group.
 CLOSED_AT = 0.999
@@ -60,12 +61,37 @@ class WordIds:
         words = set().union(*split)
         if len(self.known) > CACHED:
             self.known.clear()
-        new = [w for w in words if w not in self.known]
-        coded = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        self.known.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(new, coded))
+        self.learn(words - self.known.keys())
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 
+    def learn(self, words) -> None:
+        """Letters only, perhaps with a final mark, are one or two pre-tokens: many
+        such stems are encoded as one text. Other words are encoded one by one."""
+        stemmed, other = [], []
+        for w in words:
+            text = w.decode()
+            mark = text[-1] if text[-1] in ",." else ""
+            stem = text[:-1] if mark else text
+            if stem.isalpha():
+                stemmed.append((w, (stem.lower() if stem.isascii() else stem).encode(), mark.encode()))
+            else:
+                other.append(w)
+        stems = list({x for _, stem, mark in stemmed for x in (stem, mark) if x and x not in self.known})
+        for k in range(0, len(stems), STEMS):
+            part = stems[k : k + STEMS]
+            coded = self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False)
+            raw = np.array(coded.ids, "<u4").tobytes()
+            cuts = (4 * (np.flatnonzero(np.diff(coded.word_ids)) + 1)).tolist()
+            if len(cuts) + 1 == len(part):
+                self.known.update((x, raw[a:z]) for x, a, z in zip(part, [0, *cuts], [*cuts, len(raw)]))
+            else:
+                other += part
+        coded = self.tokenizer.encode_batch([w.decode() for w in other], add_special_tokens=False)
+        self.known.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(other, coded))
+        known = self.known
+        known.update((w, known[stem] + known[mark] if mark else known[stem]) for w, stem, mark in stemmed)
+
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFrame:
     """Every text as ids and the closing id, cut into pieces of ``length`` ids."""
