@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from footfall.llm.common import map_columns
 
 KINDS = ("email", "ip", "card", "phone")
-MOST_WORDS = 6
+MOST_WORDS = 8
 SAMPLE = 1_200
 ROUNDS = 8
 # Least posterior log-odds over "no entity" that an added segment needs.
