@@ -170,7 +170,7 @@ def paths_sql(collapse: bool) -> str:
         steps = f"""SELECT * FROM (SELECT *, lag(stage) OVER (PARTITION BY id ORDER BY us, event_id) AS before FROM ({steps}))
                     WHERE before IS NULL OR before <> stage"""
     return sql(
-        """SELECT final_outcome, rank, path, n_steps, n FROM (
+        """SELECT final_outcome, rank, 0::BIGINT AS page, path, n_steps, n FROM (
              SELECT final_outcome, path, n_steps, count(*) AS n,
                     row_number() OVER (PARTITION BY final_outcome ORDER BY count(*) DESC, min(id)) AS rank
              FROM chains JOIN labels USING (id) GROUP BY 1, 2, 3) WHERE rank <= 5""",
@@ -312,7 +312,8 @@ ORACLES: dict[str, str] = {
     "filled_months": sql(
         """SELECT CAST(CAST(ds AS DATE) AS VARCHAR) AS ds, coalesce(y, 0) AS y FROM (SELECT unnest(generate_series(min(ds), max(ds), INTERVAL 1 MONTH)) AS ds FROM m)
            LEFT JOIN m USING (ds)""",
-        m="SELECT date_trunc('month', l_shipdate) AS ds, count(*) AS y FROM lineitem WHERE l_extendedprice > 104000 GROUP BY 1",
+        m="""SELECT date_trunc('month', l_shipdate) AS ds, count(*) AS y FROM lineitem WHERE l_partkey = (
+             SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT date_trunc('month', l_shipdate)) > 1 ORDER BY count(*), 1 LIMIT 1) GROUP BY 1""",
     ),
     # aggregations
     "duplicate_share": sql(
@@ -356,8 +357,9 @@ ORACLES: dict[str, str] = {
     "wide_counts": sql(f"SELECT id, {COUNTS} FROM log GROUP BY id", "log"),
     "baseline_table": sql(BASELINE.format(source="log"), "log"),
     "journey_as_lists": sql(
-        """SELECT id, 0::BIGINT AS page, count(*) AS n_events, string_agg(event_name, ',' ORDER BY us, event_id) AS event_names,
-             string_agg(CAST(us AS VARCHAR), ',' ORDER BY us, event_id) AS event_times FROM log GROUP BY id""",
+        """SELECT id, (rn - 1) // 4096 AS page, count(*) AS n_events, string_agg(event_name, ',' ORDER BY rn) AS event_names,
+             string_agg(CAST(us AS VARCHAR), ',' ORDER BY rn) AS event_times
+           FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY us, event_id) AS rn FROM log) GROUP BY ALL""",
         "log",
     ),
     "list_based_features": sql(
@@ -368,7 +370,7 @@ ORACLES: dict[str, str] = {
         "log",
     ),
     "list_functions": sql(
-        """SELECT id, 0::BIGINT AS page, count(*) AS n_events, count(DISTINCT event_name) AS n_unique_events,
+        """SELECT id, count(*) AS n_events, count(DISTINCT event_name) AS n_unique_events,
              CAST(arg_max(event_name, (us, event_id)) = 'view' AS BIGINT) AS last_is, count(*) FILTER (event_name = 'click') AS n_of,
              CAST(bool_or(event_name = 'click') AS BIGINT) AS has FROM log GROUP BY id""",
         "log",
@@ -557,7 +559,7 @@ ORACLES: dict[str, str] = {
     "balanced_classes": sql(
         TAKE.format(cols="id, final_outcome", h=hashed("id || '_42'"), key="id", source="closed"),
         "closed",
-        quota="""SELECT final_outcome, CASE WHEN sum(n) OVER () > 300 THEN least(150, min(n) OVER ()) ELSE n END AS n_take
+        quota="""SELECT final_outcome, least(150, min(n) OVER ()) AS n_take
                  FROM (SELECT final_outcome, count(*) AS n FROM closed GROUP BY 1)""",
     ),
     "downsampled": sql(
@@ -590,7 +592,12 @@ ORACLES: dict[str, str] = {
         f"""SELECT id, (row_number() OVER (PARTITION BY final_outcome ORDER BY {hashed("id || '_42'")}, id) - 1) % 5 AS fold FROM closed""",
         "closed",
     ),
-    "fold_check": "SELECT 0::BIGINT AS n_overlap",
+    "fold_check": sql(
+        f"""SELECT count(*) AS n_overlap FROM (
+             SELECT k.id FROM snap_keys k JOIN folds f ON f.id = k.id GROUP BY 1 HAVING count(DISTINCT fold) > 1)""",
+        "snap_keys",
+        folds=f"SELECT id, (row_number() OVER (PARTITION BY final_outcome ORDER BY {hashed("id || '_42'")}, id) - 1) % 5 AS fold FROM closed",
+    ),
     "single_cutoffs": sql("SELECT id, cut_us AS cutoff_time FROM one_cut", "one_cut"),
     "several_cutoffs": sql("SELECT id, k_no, snapshot_id, cut_us AS cutoff_time, id AS stripped FROM cuts", "cuts"),
     "id_sets": """SELECT o_custkey, 'common' AS part FROM (SELECT o_custkey FROM orders INTERSECT SELECT o_custkey FROM orders WHERE o_totalprice > 450000)

@@ -15,9 +15,6 @@ from footfall.operators.quantiles import quantiles
 from footfall.operators.timeline import timeline_features, with_delta, with_elapsed
 from footfall.schema import ID, TIE, TS
 
-ICE_ROWS = 100
-
-
 def value_grid(df: DataFrame, feature: str, points: int = 12, digits: int = 6) -> Column:
     """Distinct rounded quantiles of a feature as an array of at most ``points`` values."""
     probs = {f"q{i}": i / (points - 1) for i in range(points)}
@@ -27,13 +24,17 @@ def value_grid(df: DataFrame, feature: str, points: int = 12, digits: int = 6) -
 
 
 def plotted_feature(importance: DataFrame, df: DataFrame, min_distinct: int = 5) -> str:
-    """The most important feature with more than ``min_distinct`` values."""
+    """The most important feature with more than ``min_distinct`` values.
+
+    One row per feature reaches the driver; sketches count the values, exactly
+    for counts as small as these.
+    """
     ranked = [r["feature"] for r in importance.orderBy("rank").collect()]
-    sizes = df.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(f"f{i}") for i, c in enumerate(ranked)]).first()
+    sizes = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`"), 0.01).alias(f"f{i}") for i, c in enumerate(ranked)]).first()
     for i, c in enumerate(ranked):
         if sizes[i] > min_distinct:
             return c
-    return ranked[0]
+    raise ValueError(f"no feature has more than {min_distinct} values")
 
 
 def sweep(sample: DataFrame, grid: Column | Sequence[float], feature: str) -> DataFrame:
@@ -47,19 +48,12 @@ def sweep(sample: DataFrame, grid: Column | Sequence[float], feature: str) -> Da
     return sample.select(*rest, F.explode(values).alias(feature))
 
 
-def ice(model: PipelineModel, sample: DataFrame, feature: str, grid, key: str = ID) -> DataFrame:
+def ice(model: PipelineModel, rows: DataFrame, feature: str, grid, key: str = ID) -> DataFrame:
     """``key, value, p``: the prediction of every row at every grid value."""
-    swept = score(model, sweep(sample, grid, feature))
+    swept = score(model, sweep(rows, grid, feature))
     return swept.select(key, F.col(f"`{feature}`").alias("value"), "p")
 
 
-def ice_sample(df: DataFrame, key: str = ID, rows: int = ICE_ROWS, seed: int = 42) -> DataFrame:
-    """The rows whose curves are drawn, lowest hashes first."""
-    from footfall.functions.scalars import hash_number
-
-    return df.orderBy(hash_number(key, seed), key).limit(rows)
-
-
 def pdp(curves: DataFrame) -> DataFrame:
     """Average of the ICE curves per value."""
     return curves.groupBy("value").agg(F.avg("p").alias("p"), F.count("*").alias("n"))

@@ -151,16 +151,26 @@ def journey_lists(events: DataFrame, page_size: int = 4096) -> DataFrame:
 
 
 def list_row_features(lists: DataFrame, last_of: str, count_of: str) -> DataFrame:
-    """Array functions on one page: length, distinct, last, count, contains."""
+    """Array functions per journey over all its pages: length, distinct, last, count, contains.
+
+    Pages are reduced first; what is gathered per journey is its set of distinct
+    names per page.
+    """
     names = F.col("event_names")
-    return lists.select(
+    pages = lists.select(
         ID,
         "page",
-        F.size(names).alias("n_events"),
-        F.size(F.array_distinct(names)).alias("n_unique_events"),
-        (F.element_at(names, -1) == last_of).cast("int").alias("last_is"),
-        F.size(F.filter(names, lambda x: x == count_of)).alias("n_of"),
-        F.array_contains(names, count_of).alias("has"),
+        F.size(names).alias("n"),
+        F.array_sort(F.array_distinct(names)).alias("distinct_names"),
+        (F.element_at(names, -1) == last_of).cast("int").alias("last"),
+        F.size(F.filter(names, lambda x: x == count_of)).alias("of"),
+    )
+    return pages.groupBy(ID).agg(
+        F.sum("n").alias("n_events"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("distinct_names")))).alias("n_unique_events"),
+        F.max_by("last", "page").alias("last_is"),
+        F.sum("of").alias("n_of"),
+        (F.sum("of") > 0).alias("has"),
     )
 
 

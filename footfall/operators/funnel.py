@@ -11,8 +11,9 @@ from footfall.functions.times import MICROS_PER_DAY, days_between, micros, minut
 from footfall.operators.clean import top_k
 from footfall.operators.features import first_last
 from footfall.operators.quantiles import distribution, quantiles
-from footfall.operators.spread import order_columns, small_side, with_event_number, with_previous, with_previous_ts
+from footfall.operators.spread import join_dimension, order_columns, with_event_number, with_previous, with_previous_ts
 from footfall.schema import ID, NAME, TARGET_EVENT, TS
+from footfall.session import materialize
 
 NO_STAGE = "NA"
 
@@ -21,14 +22,13 @@ def with_stage(events: DataFrame, definitions: DataFrame, code: str | None = Non
     """Attach ``milestone_number`` and ``stage``; unknown events keep nulls.
 
     Joined on the event code where the log has one, otherwise on the name with
-    parentheses removed. The dimension has one row per event name and is
-    broadcast after a check of its size.
+    parentheses removed. The dimension has one row per event name.
     """
     if code is not None:
         dim = definitions.select(F.col("event_definition_id").alias("_code"), "milestone_number", "stage")
-        return events.join(small_side(dim), F.col(code) == F.col("_code"), "left").drop("_code")
+        return join_dimension(events.withColumn("_code", F.col(code)), dim, "_code").drop("_code")
     dim = definitions.select(plain_name(NAME).alias("_plain"), "milestone_number", "stage")
-    return events.withColumn("_plain", plain_name(NAME)).join(small_side(dim), "_plain", "left").drop("_plain")
+    return join_dimension(events.withColumn("_plain", plain_name(NAME)), dim, "_plain").drop("_plain")
 
 
 def event_frequency(events: DataFrame) -> DataFrame:
@@ -159,21 +159,25 @@ def stage_paths(
     outcomes: DataFrame,
     k: int = 10,
     collapse: bool = False,
-    label_steps: int = 1000,
+    page_steps: int = 1000,
 ) -> DataFrame:
     """The ``k`` most frequent stage chains per outcome.
 
     Chains are counted by a 128-bit fingerprint over (position, stage), which
-    aggregates like a sum, so a journey never has to fit into one string. Only
-    the winners are spelled out, up to ``label_steps`` stages; ``n_steps`` is
-    the full length. ``collapse`` drops repeats of the stage just before.
+    aggregates like a sum, so a journey never has to fit into one string. The
+    winners are spelled out in full, in pages of ``page_steps`` stages numbered
+    from 0; ``n_steps`` is the length of the chain. ``collapse`` drops repeats of
+    the stage just before.
     """
-    staged = with_stage(events, definitions).withColumn("stage", F.coalesce("stage", F.lit(NO_STAGE)))
-    if collapse:
-        staged = with_previous(staged, {"_before": "stage"})
-        staged = staged.where(F.col("_before").isNull() | (F.col("_before") != F.col("stage"))).drop("_before")
-    steps = with_event_number(staged, "_pos").select(ID, "_pos", "stage")
-    marks = steps.groupBy(ID).agg(
+
+    def numbered(rows):
+        staged = with_stage(rows, definitions).withColumn("stage", F.coalesce("stage", F.lit(NO_STAGE)))
+        if collapse:
+            staged = with_previous(staged, {"_before": "stage"})
+            staged = staged.where(F.col("_before").isNull() | (F.col("_before") != F.col("stage"))).drop("_before")
+        return with_event_number(staged, "_pos").select(ID, "_pos", "stage")
+
+    marks = numbered(events).groupBy(ID).agg(
         F.count("*").alias("n_steps"),
         F.bit_xor(F.xxhash64("_pos", "stage")).alias("_a"),
         F.bit_xor(F.xxhash64("stage", F.lit("path"), "_pos")).alias("_b"),
@@ -184,12 +188,14 @@ def stage_paths(
         .agg(F.count("*").alias("n"), F.min(ID).alias("_sample"))
     )
     best = Window.partitionBy("final_outcome").orderBy(F.desc("n"), "_sample")
-    winners = counted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    # A few rows per outcome, needed twice: to pick the sample journeys and to name them.
+    winners = materialize(counted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "paths")
+    # Only the sample journeys are numbered again.
+    samples = events.join(winners.select(F.col("_sample").alias(ID)), ID, "left_semi")
     texts = (
-        steps.where(F.col("_pos") <= label_steps)
-        .join(winners.select(F.col("_sample").alias(ID)), ID, "left_semi")
-        .groupBy(F.col(ID).alias("_sample"))
+        numbered(samples)
+        .groupBy(F.col(ID).alias("_sample"), F.floor((F.col("_pos") - 1) / page_steps).cast("int").alias("page"))
         .agg(F.array_sort(F.collect_list(F.struct("_pos", "stage"))).alias("_items"))
-        .select("_sample", F.array_join(F.transform("_items", lambda x: x["stage"]), " > ").alias("path"))
+        .select("_sample", "page", F.array_join(F.transform("_items", lambda x: x["stage"]), " > ").alias("path"))
     )
-    return winners.join(texts, "_sample").select("final_outcome", "rank", "path", "n_steps", "n")
+    return winners.join(texts, "_sample").select("final_outcome", "rank", "page", "path", "n_steps", "n")

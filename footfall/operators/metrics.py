@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions.scalars import to_class
-from footfall.operators.quantiles import distribution, magnitude_bucket
+from footfall.operators.quantiles import distribution, with_rank_bucket
 from footfall.operators.spread import running_totals
 
 
@@ -78,30 +78,30 @@ def brier(df: DataFrame, label: str = "label", p: str = "p") -> DataFrame:
 def score_curve(df: DataFrame, label: str = "label", p: str = "p") -> DataFrame:
     """Per distinct score: positives and negatives at it and above it.
 
-    Scores are merged first; running counts come from fixed score buckets plus
-    the order inside each bucket.
+    Scores are merged first; running counts come from rank buckets plus the order
+    inside each bucket.
     """
     at = df.groupBy(F.col(p).alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
     # Negated so that the highest score comes first.
-    at = at.withColumns({"_down": -F.col("score")}).withColumn("_bucket", magnitude_bucket("_down"))
+    at = with_rank_bucket(at.withColumn("_down", -F.col("score")), "_down")
     return running_totals(at, {"tp": F.col("pos"), "fp": F.col("neg")}, "_bucket", [F.col("_down")]).drop("_bucket", "_down")
 
 
 def average_precision(df: DataFrame, label: str = "label", p: str = "p") -> DataFrame:
-    """Step-wise area under the precision-recall curve over distinct scores."""
+    """Step-wise area under the precision-recall curve over distinct scores; null without positives."""
     curve = score_curve(df, label, p)
     gain = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
-    return curve.agg((gain / F.sum("pos")).alias("average_precision"))
+    return curve.agg(F.try_divide(gain, F.sum("pos")).alias("average_precision"))
 
 
 def roc_auc(df: DataFrame, label: str = "label", p: str = "p") -> DataFrame:
-    """Probability that a positive outranks a negative; ties count half."""
+    """Probability that a positive outranks a negative; ties count half; null for one class only."""
     curve = score_curve(df, label, p)
     # Positives above each negative score, plus half of those at it.
     wins = F.sum(F.col("neg").cast("double") * (F.col("tp") - F.col("pos") / 2))
-    return curve.agg((wins / (F.sum("pos").cast("double") * F.sum("neg"))).alias("roc_auc"))
+    return curve.agg(F.try_divide(wins, F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc"))
 
 
 def sensitivity_specificity(df: DataFrame, label: str = "label", p: str = "p", t: float = 0.5) -> DataFrame:
@@ -128,13 +128,15 @@ def evaluate(df: DataFrame, label: str = "label", p: str = "p", t: float = 0.5)
     all_pos, all_neg = F.sum(pos), F.sum(neg)
     rows = all_pos + all_neg
     return score_curve(df, label, p).agg(
-        ((hit + calm) / rows).alias("accuracy"),
+        F.try_divide(hit + calm, rows).alias("accuracy"),
         _ratio(hit, all_pos).alias("sensitivity"),
         _ratio(calm, all_neg).alias("specificity"),
-        (F.sum(pos * F.pow(s - 1, 2) + neg * F.pow(s, 2)) / rows).alias("brier"),
-        (F.sum(pos * F.col("tp") / (F.col("tp") + F.col("fp"))) / all_pos).alias("average_precision"),
-        (F.sum(neg.cast("double") * (F.col("tp") - pos / 2)) / (all_pos.cast("double") * all_neg)).alias("roc_auc"),
-        (F.sum((pos + neg) * s) / rows).alias("mean_p"),
+        F.try_divide(F.sum(pos * F.pow(s - 1, 2) + neg * F.pow(s, 2)), rows).alias("brier"),
+        F.try_divide(F.sum(pos * F.col("tp") / (F.col("tp") + F.col("fp"))), all_pos).alias("average_precision"),
+        F.try_divide(
+            F.sum(neg.cast("double") * (F.col("tp") - pos / 2)), all_pos.cast("double") * all_neg
+        ).alias("roc_auc"),
+        F.try_divide(F.sum((pos + neg) * s), rows).alias("mean_p"),
     )
 
 

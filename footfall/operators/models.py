@@ -69,12 +69,12 @@ def with_class(df: DataFrame, p: str = "p", t: float = 0.5) -> DataFrame:
     return df.withColumn("predicted", to_class(p, t))
 
 
-def importances(model: PipelineModel, spark, k: int = 20) -> DataFrame:
-    """Impurity-based importance per feature, highest first."""
+def importances(model: PipelineModel, spark) -> DataFrame:
+    """Impurity-based importance of every feature, highest first."""
     values = model.stages[-1].featureImportances.toArray()
     rows = sorted(((n, float(v)) for n, v in zip(model.feature_names, values)), key=lambda r: (-r[1], r[0]))
     return spark.createDataFrame(
-        [(i, n, v) for i, (n, v) in enumerate(rows[:k], start=1)], "rank int, feature string, importance double"
+        [(i, n, v) for i, (n, v) in enumerate(rows, start=1)], "rank int, feature string, importance double"
     )
 
 

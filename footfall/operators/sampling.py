@@ -40,8 +40,13 @@ def _per_class(table: DataFrame, by: str, value: Column) -> Column:
     ``by`` is a class column with a handful of values. Rows are compared where
     they are, without a join on a column that only has two or three values.
     """
-    entries = table.agg(F.map_from_entries(F.collect_list(F.struct(F.col(by), value)))).scalar()
-    return F.try_element_at(entries, F.col(by))
+    entries = table.agg(F.map_from_entries(F.collect_list(F.struct(_class_key(by).alias("k"), value.alias("v"))))).scalar()
+    return F.try_element_at(entries, _class_key(by))
+
+
+def _class_key(by: str) -> Column:
+    """The class as text; null is a class of its own."""
+    return F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit("null"))
 
 
 def hash_bars(df: DataFrame, quota: DataFrame, by: str, key: str, seed: int) -> DataFrame:
@@ -58,7 +63,7 @@ def hash_bars(df: DataFrame, quota: DataFrame, by: str, key: str, seed: int) ->
         keyed.groupBy(by, "_prefix")
         .agg(F.count("*").alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .join(quota.select(by, "n_take"), by)
+        .withColumn("n_take", _per_class(quota, by, F.col("n_take")))
         .where(F.col("_before") < F.col("n_take"))
         .groupBy(by)
         .agg(F.max(F.struct("_prefix", (F.col("n_take") - F.col("_before")).alias("_left"))).alias("_edge"))
@@ -86,17 +91,25 @@ def take_quota(df: DataFrame, quota: DataFrame, by: str, key: str, seed: int = 4
     return df.where(within_quota(df, quota, by, key, seed))
 
 
-def balance_quota(df: DataFrame, by: str, max_rows: int) -> DataFrame:
+def balance_quota(df: DataFrame, by: str, max_rows: int, equal: bool = True) -> DataFrame:
+    """Rows to take per class: as many of each, or the same share of each."""
     # One row per class, so the window over all classes is a handful of rows.
     every = Window.partitionBy()
-    equal = F.least(F.lit(max_rows // 2).cast("long"), F.min("n_rows").over(every))
-    take = F.when(F.sum("n_rows").over(every) > max_rows, equal).otherwise(F.col("n_rows"))
-    return class_sizes(df, by).select(by, take.alias("n_take"))
+    if equal:
+        share = F.floor(F.lit(max_rows) / F.count("*").over(every))
+        take = F.least(share, F.min("n_rows").over(every))
+    else:
+        total = F.sum("n_rows").over(every)
+        take = F.when(total > max_rows, F.floor(F.col("n_rows") * F.lit(max_rows) / total)).otherwise(F.col("n_rows"))
+    return class_sizes(df, by).select(by, take.cast("long").alias("n_take"))
 
 
-def balance_classes(df: DataFrame, by: str, max_rows: int, key: str = ID, seed: int = 42) -> DataFrame:
-    """Equal class sizes, at most ``max_rows`` in total; smaller tables pass unchanged."""
-    return take_quota(df, balance_quota(df, by, max_rows), by, key, seed)
+def balance_classes(
+    df: DataFrame, by: str, max_rows: int, key: str = ID, seed: int = 42, equal: bool = True
+) -> DataFrame:
+    """At most ``max_rows`` rows: equally many of each class, or with ``equal=False``
+    the same share of each, which is all of a smaller table."""
+    return take_quota(df, balance_quota(df, by, max_rows, equal), by, key, seed)
 
 
 def downsample_quota(df: DataFrame, ratio: int = FAILURES_PER_SUCCESS, max_rows: int | None = None) -> DataFrame:

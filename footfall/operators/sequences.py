@@ -11,8 +11,9 @@ from pyspark.sql.window import Window
 from footfall.functions.scalars import pad_left, pad_right
 from footfall.functions.times import epoch_seconds, hours_between
 from footfall.operators.snapshots import expand_snapshots
-from footfall.operators.spread import order_columns, small_side
+from footfall.operators.spread import join_dimension, order_columns
 from footfall.schema import ID, NAME, TS
+from footfall.session import materialize
 
 
 def build_vocab(*logs: DataFrame) -> DataFrame:
@@ -42,10 +43,9 @@ def vocab_from_json(df: DataFrame, column: str = "vocab") -> DataFrame:
 def encode_events(events: DataFrame, vocab: DataFrame, unknown: int | None = 0) -> DataFrame:
     """Add ``event_idx``; names outside the vocabulary get ``unknown``.
 
-    A few names cover all events, so a shuffle by name would be badly skewed; the
-    vocabulary is broadcast after a check of its size.
+    The vocabulary is written first, so that the planner knows its size.
     """
-    out = events.join(small_side(vocab), NAME, "left")
+    out = join_dimension(events, materialize(vocab, "vocabulary"), NAME)
     return out if unknown is None else out.withColumn("event_idx", F.coalesce("event_idx", F.lit(unknown)))
 
 

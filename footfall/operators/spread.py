@@ -12,6 +12,7 @@ move once, on the (journey, day) key.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,16 +52,24 @@ def journey_days(events: DataFrame, target: str = TARGET_EVENT) -> DataFrame:
     )
 
 
-def small_side(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """A broadcast copy of a dimension, if it turns out to have few rows.
+def join_dimension(events: DataFrame, dim: DataFrame, key: str, slices: int = 16) -> DataFrame:
+    """Left join of a table with one row per key value, such as an event name.
 
-    At most ``max_rows + 1`` rows are fetched to find out. A larger table comes
-    back unchanged and is joined by shuffle.
+    A few values hold most events, so every event takes one of ``slices`` by a
+    hash of its journey and time, and the dimension stands in all of them. The
+    planner knows the size of a dimension that is a literal or a stored table and
+    broadcasts a small one; the join of a large one stays even.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    spot = F.pmod(F.xxhash64(*[c for c in (ID, TS) if c in events.columns]), F.lit(slices)).cast("int")
+    spread = dim.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    return events.withColumn("_slice", spot).join(spread, [key, "_slice"], "left").drop("_slice")
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, key: Sequence[str], how: str = "inner") -> DataFrame:
+    """An equi-join on columns of equal names in which null equals null."""
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in key})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in key])
+    return left.join(other, same, how).drop(*[f"_r_{k}" for k in key])
 
 
 def order_columns(events: DataFrame) -> list[Column]:
@@ -84,15 +93,14 @@ def attach(
 
     ``per_key`` is first joined to the distinct (key, part) pairs of the rows, so
     the join that moves the rows themselves runs on the finer pair. Left, inner,
-    semi and anti joins are supported. ``rows`` and ``per_key`` share only the
+    semi and anti joins are supported; a null key equals a null key. ``rows`` and ``per_key`` share only the
     key columns. ``pairs`` is a ready table with one row per pair.
     """
     key, part = list(key), list(part)
     pairs = rows.select(*key, *part).distinct() if pairs is None else pairs.select(*key, *part)
     if how in ("left_semi", "left_anti"):
-        return rows.join(pairs.join(per_key.select(*key), key, "left_semi"), key + part, how)
-    routed = pairs.join(per_key, key, how)
-    return rows.join(routed, key + part, how)
+        return null_safe_join(rows, null_safe_join(pairs, per_key.select(*key), key, "left_semi"), key + part, how)
+    return null_safe_join(rows, null_safe_join(pairs, per_key, key, how), key + part, how)
 
 
 def attach_journey(
@@ -125,7 +133,7 @@ def with_previous(events: DataFrame, columns: Mapping[str, str]) -> DataFrame:
             "_inner": F.lag(F.struct(*[F.col(c).alias(n) for n, c in columns.items()])).over(order),
         }
     )
-    out = lagged.join(carried, [ID, DAY], "left").withColumn("_prev", F.coalesce("_inner", "_carry"))
+    out = null_safe_join(lagged, carried, [ID, DAY], "left").withColumn("_prev", F.coalesce("_inner", "_carry"))
     out = out.withColumns({n: F.col("_prev").getField(n) for n in columns})
     out = out.drop("_inner", "_carry", "_prev")
     return out if had_day else out.drop(DAY)
@@ -142,8 +150,9 @@ def with_previous_ts(events: DataFrame, name: str = "prev_ts", days: DataFrame |
     ends = events.groupBy(ID, DAY).agg(F.max(TS).alias("last_ts")) if days is None else days
     carried = ends.select(ID, DAY, F.lag("last_ts").over(by_day).alias("_carry_ts"))
     out = (
-        events.withColumn("_inner_ts", F.lag(TS).over(day_window(events)))
-        .join(carried, [ID, DAY], "left")
+        null_safe_join(
+            events.withColumn("_inner_ts", F.lag(TS).over(day_window(events))), carried, [ID, DAY], "left"
+        )
         .withColumn(name, F.coalesce("_inner_ts", "_carry_ts"))
         .drop("_inner_ts", "_carry_ts")
     )
@@ -165,7 +174,7 @@ def running_totals(
     per group (a day, a score bucket, a hash prefix). Sums inside a part run in
     parallel; the sums of all earlier parts come from a table with one row per
     part. With ``inclusive=False`` the current row is left out. ``whole`` adds
-    the group's full sum of a total under another name. Group columns are not null.
+    the group's full sum of a total under another name.
     """
     by, whole = list(by), dict(whole or {})
     all_parts = Window.partitionBy(*by)
@@ -186,7 +195,7 @@ def running_totals(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     )
     out = rows.withColumns({f"_in_{n}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in totals.items()})
-    out = out.join(offsets, [*by, part], "left")
+    out = null_safe_join(out, offsets, [*by, part], "left")
     out = out.withColumns({n: F.col(f"_off_{n}") + F.col(f"_in_{n}") for n in totals})
     return out.drop(*[f"_{k}_{n}" for n in totals for k in ("in", "off")])
 

@@ -97,23 +97,22 @@ def with_delta(timeline: DataFrame, column: str, name: str = "probability_delta"
 def pick_journey(
     events: DataFrame,
     labels: DataFrame,
-    n_events: int = 388,
-    n_days: float = 253.0,
-    event_range: tuple[int, int] = (300, 450),
-    day_range: tuple[float, float] = (200.0, 330.0),
+    n_events: int,
+    n_days: float,
+    event_range: tuple[int, int],
+    day_range: tuple[float, float],
 ) -> DataFrame:
     """The failed journey nearest to a wanted number of events and days.
 
-    Journeys inside both ranges come first; where there are none, the 20 longest
-    failed ones are compared instead.
+    Journeys inside both ranges come before all others; then distance decides.
     """
-    sizes = (
+    return (
         events.groupBy(ID)
         .agg(F.count("*").alias("n"), days_between(F.max(TS), F.min(TS)).alias("days"))
         .join(labels.where(F.col("final_outcome") == "failure").select(ID), ID, "left_semi")
         .withColumn("score", F.abs(F.col("n") - n_events) + 0.5 * F.abs(F.col("days") - F.lit(n_days)))
         .withColumn("inside", F.col("n").between(*event_range) & F.col("days").between(*day_range))
+        .orderBy(F.desc("inside"), "score", ID)
+        .limit(1)
+        .select(ID, "n", "days")
     )
-    inside = sizes.where("inside").orderBy("score", ID).limit(1)
-    longest = sizes.where(~F.col("inside")).orderBy(F.desc("n"), ID).limit(20)
-    return inside.unionByName(longest).orderBy(F.desc("inside"), "score", ID).limit(1).select(ID, "n", "days")

@@ -104,16 +104,19 @@ def training_snapshots(
     inactivity_days: int = INACTIVITY_DAYS,
     max_rows: int = 200_000,
     seed: int = 123,
+    equal: bool = False,
 ) -> DataFrame:
     """Baseline features and labels as known before the target.
 
     Positives are cut before their first target event, so journeys that start
     with it have no visible event and drop out. The log is read twice: for the
     journey-day table, which decides labels, sample and cut, and for the features.
+    ``max_rows`` bounds the labelled rows a model is fitted on; ``equal`` takes as
+    many of either label.
     """
     days = materialize(journey_days(events, target), "journey-days")
     labels = training_labels(status_from_days(days), inactivity_days)
-    chosen = balance_classes(labels, "label", max_rows, ID, seed)
+    chosen = balance_classes(labels, "label", max_rows, ID, seed, equal)
     known = attach_journey(events, chosen, days=days)
     visible = known.where(F.col("first_target_ts").isNull() | (F.col(TS) < F.col("first_target_ts")))
     return baseline_features(visible, names, by=(ID, "label"))

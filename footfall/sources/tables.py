@@ -90,16 +90,26 @@ def load_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]
         if covers is None:
             return have
         column, needed = covers
-        reached = have.agg(F.max(column)).first()[0]
-        if reached is not None and str(reached) >= str(needed):
+        # Compared by Spark as the column's type, so 10 is more than 9.
+        if have.agg(F.max(column) >= F.lit(needed)).first()[0]:
             return have
     write_table(build(), path)
     return spark.read.parquet(path)
 
 
 def load_template(spark: SparkSession, path: str, expected_rows: int | None = None) -> DataFrame:
-    """Scoring template CSV: its ids in file order, with a row-count contract."""
-    df = spark.read.option("header", True).csv(path).select(F.col(ID).cast("string"))
+    """Scoring template CSV: each id once, with its ``position`` in the file.
+
+    The position is the start of the file's split plus the row within it, so it
+    grows with the file order however the file is split. Repeated ids and a wrong
+    row count raise an error.
+    """
+    read = spark.read.option("header", True).csv(path)
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
+    df = read.select(F.col(ID).cast("string"), (F.col("_metadata.file_block_start") + within).alias("position"))
+    repeated = df.groupBy(ID).count().where("count > 1").head(1)
+    if repeated:
+        raise ValueError(f"template id {repeated[0][0]!r} occurs more than once")
     return check_rows(df, expected_rows)
 
 

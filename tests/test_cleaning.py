@@ -105,10 +105,34 @@ def test_load_or_build_checks_coverage(spark, tmp_path):
     assert calls == [3, 9]
 
 
+def test_coverage_is_compared_by_value(spark, tmp_path):
+    path = str(tmp_path / "numbers")
+    tables.load_or_build(spark, path, lambda: spark.range(10))
+    assert tables.load_or_build(spark, path, lambda: spark.range(60), ("id", 9)).count() == 10
+    assert tables.load_or_build(spark, path, lambda: spark.range(60), ("id", 50)).count() == 60
+
+
+def test_repeated_rows_with_null_keys(spark):
+    rows = [("a", None, 1), ("a", None, 2), ("b", "x", 3), (None, "x", 4), (None, "x", 5), (None, None, 6)]
+    df = spark.createDataFrame(rows, "k string, name string, n int")
+    assert sorted(r.n for r in clean.duplicate_groups(df, ["k", "name"]).collect()) == [1, 2, 4, 5]
+
+
+def test_repeated_template_id_is_refused(spark, tmp_path):
+    path = tmp_path / "template.csv"
+    path.write_text("id,order_shipped\na b,0\nc d,0\na b,0\n")
+    try:
+        tables.load_template(spark, str(path))
+    except ValueError as e:
+        assert "more than once" in str(e)
+    else:
+        raise AssertionError("a repeated id was accepted")
+
+
 def test_template_rows_are_checked(spark, tmp_path):
     path = tmp_path / "template.csv"
     path.write_text("id,order_shipped\na b,0\nc d,0\n")
-    assert tables.load_template(spark, str(path), 2).count() == 2
+    assert [r["id"] for r in tables.load_template(spark, str(path), 2).orderBy("position").collect()] == ["a b", "c d"]
     try:
         tables.load_template(spark, str(path), 3)
     except ValueError as e:

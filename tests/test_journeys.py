@@ -127,9 +127,40 @@ def test_paths(spark, log, rows):
     counts = defaultdict(int)
     for g in by_journey(rows).values():
         counts[" > ".join(stage[n] for *_, n in g)] += 1
-    got = records(funnel.stage_paths(df, defs, outcomes, 100, label_steps=5000), "rank")
-    assert {r["path"]: r["n"] for r in got} == dict(counts)
-    assert sum(r["n"] for r in got) == len(by_journey(rows))
+    got = records(funnel.stage_paths(df, defs, outcomes, 100, page_steps=7), "rank", "page")
+    paths, n = defaultdict(list), {}
+    for r in got:
+        assert r["path"].count(" > ") < 7
+        paths[r["rank"]].append(r["path"])
+        n[r["rank"]] = r["n"]
+    assert {" > ".join(p): n[k] for k, p in paths.items()} == dict(counts)
+    assert sum(n.values()) == len(by_journey(rows))
+
+
+def test_paths_over_a_thousand_stages_are_whole(spark, log):
+    df = log([("long", "xy"[i % 2], i) for i in range(2500)])
+    defs = spark.createDataFrame(
+        [("x", None, "A", 1), ("y", 1, "B", 2)],
+        "event_name string, milestone_number int, stage string, event_definition_id int",
+    )
+    outcomes = spark.createDataFrame([("long", "failure")], "id string, final_outcome string")
+    got = records(funnel.stage_paths(df, defs, outcomes), "page")
+    assert [r["page"] for r in got] == [0, 1, 2] and {r["n_steps"] for r in got} == {2500}
+    assert " > ".join(r["path"] for r in got) == " > ".join("AB"[i % 2] for i in range(2500))
+
+
+def test_list_features_cover_all_pages(log):
+    df = log([("a", n, s) for s, n in enumerate("xxyxzy")] + [("b", "z", 3)])
+    got = records(features.list_row_features(features.journey_lists(df, page_size=4), "y", "x"), "id")
+    assert [tuple(r.values()) for r in got] == [("a", 6, 3, 1, 3, True), ("b", 1, 1, 0, 0, False)]
+
+
+def test_previous_event_of_a_journey_without_id(spark, log):
+    from footfall.operators.spread import with_event_number, with_previous
+
+    df = log([("a", "x", 0), ("a", "y", 200_000)]).withColumn("id", F.lit(None).cast("string"))
+    got = records(with_event_number(with_previous(df, {"before": "event_name"})), "event_number")
+    assert [(r["before"], r["event_number"]) for r in got] == [(None, 1), ("x", 2)]
 
 
 def test_snapshots_never_look_ahead(log, rows):

@@ -44,7 +44,7 @@ def test_scores(table, columns, forest):
 
 
 def test_importances(spark, columns, forest):
-    rows = records(models.importances(forest, spark, 50), "rank")
+    rows = records(models.importances(forest, spark), "rank")
     assert {r["feature"] for r in rows} == set(columns)
     assert sum(r["importance"] for r in rows) == pytest.approx(1.0)
 
@@ -72,9 +72,9 @@ def test_random_settings_stay_in_range():
 
 def test_dependence_is_the_mean_of_the_curves(table, forest):
     grid = explain.value_grid(table, "journey_duration_days", 4)
-    curves = explain.ice(forest, explain.ice_sample(table, rows=20), "journey_duration_days", grid)
+    curves = explain.ice(forest, table, "journey_duration_days", grid)
     rows = records(curves)
-    assert len(rows) == 20 * len({r["value"] for r in rows})
+    assert len(rows) == table.count() * len({r["value"] for r in rows})
     for r in explain.pdp(curves).collect():
         ps = [c["p"] for c in rows if c["value"] == r["value"]]
         assert r["p"] == pytest.approx(sum(ps) / len(ps))
@@ -114,6 +114,12 @@ def test_template_scores_are_complete(spark, forest, table):
     assert [r["pos"] for r in out] == [0, 1, 2, 3] and all(0 <= r["p"] <= 1 for r in out)
 
 
+def test_plotted_feature_must_exist(spark, table, forest):
+    assert explain.plotted_feature(models.importances(forest, spark), table) in table.columns
+    with pytest.raises(ValueError):
+        explain.plotted_feature(models.importances(forest, spark), table, 10**6)
+
+
 def test_variants(table, columns):
     metrics, both = comparison.compare_variants(table, table, {"one": columns[:2], "all": columns}, maxIter=2, maxDepth=2)
     rows = records(metrics, "n_features")

@@ -192,3 +192,47 @@ def test_additive_components_add_up(spark):
     assert clipped.agg(F.max("yhat")).first()[0] == 50.0
     features = forecast.calendar_features(forecast.forecast_additive(fit, df.select("ds"), days).drop("holidays"))
     assert features.agg(F.max("orders_holidays")).first()[0] == 0.0
+
+
+def test_deviation_of_close_values(spark):
+    from footfall.operators.quantiles import distribution
+
+    for base in (0, 10**9, 17 * 10**14):
+        got = distribution(spark.range(1000).select((F.col("id") + base).cast("double").alias("v")), "v").first()
+        assert got["sd"] == pytest.approx(288.8194, rel=1e-4)
+
+
+def test_infinite_values_have_quantiles(spark):
+    from footfall.operators.quantiles import quantiles
+
+    df = spark.createDataFrame([(float("-inf"),), (1.0,), (2.0,), (float("inf"),), (3.0,)], "v double")
+    assert tuple(quantiles(df, "v", {"a": 0.25, "b": 0.5, "c": 0.75}).first()) == (1.0, 2.0, 3.0)
+
+
+def test_rank_buckets_are_even_in_a_narrow_range(spark):
+    from footfall.operators.quantiles import with_rank_bucket
+
+    df = spark.range(200_000).select((0.02 + F.col("id") * 5e-9).alias("v"))
+    sizes = with_rank_bucket(df, "v").groupBy("_bucket").agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("z"))
+    rows = sorted(sizes.collect())
+    assert len(rows) > 400 and max(r["n"] for r in rows) < 4 * 200_000 / len(rows)
+    assert all(a["z"] < b["a"] for a, b in zip(rows, rows[1:]))
+
+
+def test_measures_of_one_class(spark):
+    from footfall.operators import metrics
+
+    df = spark.createDataFrame([(0, 0.1), (0, 0.7)], "label int, p double")
+    row = metrics.evaluate(df).first()
+    assert row["average_precision"] is None and row["roc_auc"] is None and row["accuracy"] == 0.5
+    assert metrics.roc_auc(df).first()[0] is None and metrics.average_precision(df).first()[0] is None
+
+
+def test_null_is_a_class_of_its_own(spark):
+    from footfall.operators import sampling
+
+    df = spark.createDataFrame([(f"i{k}", None if k % 3 else "a") for k in range(30)], "id string, c string")
+    counts = {r["c"]: r["count"] for r in sampling.balance_classes(df, "c", 12).groupBy("c").count().collect()}
+    assert counts == {"a": 6, None: 6}
+    valid = sampling.stratified_split(df, "c", 0.5).where("is_valid").groupBy("c").count().collect()
+    assert {r["c"]: r["count"] for r in valid} == {"a": 5, None: 10}
