@@ -290,8 +290,9 @@ def resolve(group: list[tuple[bytes, int, int]], length: int):
 
 def repeats(found: DataFrame, docs: DataFrame, length: int, gram: int) -> DataFrame:
     """``id, code, start, stop``: bytes of each document covered by repeats."""
-    # Grams that occur twice; a skewed gram is split by the join.
-    twice = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # Grams that occur twice. Written, so that both sides of the join are shuffled
+    # for it and Spark can split a gram that many anchors share.
+    twice = written(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
     kept = written(found.join(twice, "gram"), "anchors-kept")
     texts = _packed_texts(docs.where(F.octet_length("text") >= length))
     wanted = kept.groupBy("id", "code").agg(F.collect_set("place").alias("places"))
