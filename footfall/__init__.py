@@ -1,5 +1,5 @@
 """Customer-journey analytics on Spark DataFrames."""
 
-from footfall.session import configure, materialize, scratch_path
+from footfall.session import clear_scratch, configure, materialize, scratch_path
 
-__all__ = ["configure", "materialize", "scratch_path"]
+__all__ = ["clear_scratch", "configure", "materialize", "scratch_path"]

@@ -260,6 +260,23 @@ def fixed_date_holidays(dates: DataFrame, days: Mapping[str, tuple[int, int]]) -
     return out
 
 
+def weekday_holidays(dates: DataFrame, days: Mapping[str, tuple[int, int, int]]) -> DataFrame:
+    """``ds, holiday`` for holidays on a weekday of a month: (month, weekday, number).
+
+    Weekdays count from 1 for Sunday as in ``dayofweek``; number 1 is the first of
+    the month and -1 the last.
+    """
+
+    def falls(month: int, weekday: int, number: int) -> Column:
+        here = (F.month("ds") == month) & (F.dayofweek("ds") == weekday)
+        if number > 0:
+            return here & (F.ceil(F.dayofmonth("ds") / 7) == number)
+        return here & (F.ceil((F.dayofmonth(F.last_day("ds")) - F.dayofmonth("ds") + 1) / 7) == -number)
+
+    found = F.array_compact(F.array(*[F.when(falls(*d), F.lit(n)) for n, d in days.items()]))
+    return dates.select("ds", F.explode(found).alias("holiday"))
+
+
 def calendar_features(forecast: DataFrame) -> DataFrame:
     """The forecast as daily features; absent components are 0."""
     have = set(forecast.columns)

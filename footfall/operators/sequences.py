@@ -10,8 +10,9 @@ from pyspark.sql.window import Window
 
 from footfall.functions.scalars import pad_left, pad_right
 from footfall.functions.times import epoch_seconds, hours_between
+from footfall.operators.outcomes import restrict_events
 from footfall.operators.snapshots import expand_snapshots
-from footfall.operators.spread import join_dimension, order_columns
+from footfall.operators.spread import DAY, join_dimension, order_columns, with_day
 from footfall.schema import ID, NAME, TS
 from footfall.session import materialize
 
@@ -90,21 +91,33 @@ def sequence_long(
 
 def train_sequences(events: DataFrame, cutoffs: DataFrame, vocab: DataFrame, outcomes: DataFrame, max_len: int = 100) -> DataFrame:
     """Labelled sequences of closed journeys, each cut at its cutoff."""
-    visible = expand_snapshots(events, cutoffs.select(ID, "cutoff_time"))
     labelled = outcomes.where(F.col("final_outcome") != "incomplete").select(ID, "final_outcome")
-    return sequence_long(visible, vocab, max_len).join(labelled, ID)
+    closed = cutoffs.select(ID, "cutoff_time").join(labelled.select(ID), ID, "left_semi")
+    return sequence_long(expand_snapshots(events, closed), vocab, max_len).join(labelled, ID)
 
 
 def open_sequences(events: DataFrame, vocab: DataFrame, outcomes: DataFrame, max_len: int = 100) -> DataFrame:
     """Sequences of open journeys with everything seen so far."""
     open_ids = outcomes.where(F.col("final_outcome") == "incomplete").select(ID)
-    return sequence_long(events, vocab, max_len).join(open_ids, ID, "left_semi")
+    return sequence_long(restrict_events(events, open_ids), vocab, max_len)
 
 
 def sequence_events(snapshots: DataFrame, events: DataFrame, max_len: int = 80) -> DataFrame:
-    """Last events of every snapshot up to the snapshot's own last action."""
+    """Last events of every snapshot up to the snapshot's own last action.
+
+    Counts per journey and day tell which days can hold a snapshot's last events;
+    only those are expanded. The cutoff's own day counts as empty, since part of
+    it lies behind the cutoff.
+    """
     cuts = snapshots.select(ID, "snapshot_id", F.col("last_action_ts").alias("cutoff_time"))
-    return last_n_events(expand_snapshots(events, cuts), max_len, ["snapshot_id"])
+    days = with_day(events).groupBy(ID, DAY).agg(F.count("*").alias("_n"))
+    known = days.join(cuts, ID).where(F.col(DAY) <= F.to_date("cutoff_time"))
+    full = F.when(F.col(DAY) < F.to_date("cutoff_time"), F.col("_n")).otherwise(0)
+    later = Window.partitionBy("snapshot_id").orderBy(F.desc(DAY)).rowsBetween(Window.unboundedPreceding, -1)
+    needed = known.where("_n > 0").withColumn("_later", F.coalesce(F.sum(full).over(later), F.lit(0)))
+    routed = needed.where(F.col("_later") < max_len).drop("_n", "_later")
+    visible = with_day(events).join(routed, [ID, DAY]).where(F.col(TS) <= F.col("cutoff_time")).drop(DAY)
+    return last_n_events(visible, max_len, ["snapshot_id"])
 
 
 def sequence_channels(rows: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
 from functools import cache
 
 from pyspark.sql import SparkSession
@@ -28,21 +29,35 @@ def configure(spark: SparkSession) -> SparkSession:
 
 @cache
 def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="footfall-")
+    root = tempfile.mkdtemp(prefix="footfall-")
+    warnings.warn(f"spark.checkpoint.dir is not set; intermediate tables go to {root}", stacklevel=3)
+    return root
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder named in ``spark.checkpoint.dir``.
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder below the one named in ``spark.checkpoint.dir``.
 
     On a cluster that setting must exist, since executors on other machines have
-    to see what is written. In local mode a temporary folder stands in for it.
+    to see what is written. In local mode a temporary folder stands in for it,
+    with a warning.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = _local_root()
-    return f"{root.rstrip('/')}/footfall/{label}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/footfall/{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path for an intermediate table of this application."""
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, once its results are out."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df, label: str):

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from footfall.functions.times import parse_ts
+from footfall.operators.spread import null_safe_join
 from footfall.schema import EVENT_DEFINITION_SCHEMA, ID, RAW_EVENT_SCHEMA, TS
+from footfall.session import materialize
 
 BOM = "﻿"
 
@@ -38,13 +40,19 @@ def read_events(spark: SparkSession, path: str, columns: Sequence[str] | None =
     return df if columns is None else df.select(*columns)
 
 
-def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> None:
-    """Write Parquet. With ``partition_by`` rows of one value are spread over
-    several tasks, so a value that fills much of the table is not written by one."""
+def write_table(df: DataFrame, path: str, partition_by: str | None = None, rows_per_file: int = 2_000_000) -> None:
+    """Write Parquet. With ``partition_by`` the rows of a value meet in as many
+    tasks as its size needs: neither does one task write a value that fills much
+    of the table, nor does every task write a small file for every value."""
     if partition_by is None:
         df.write.mode("overwrite").parquet(path)
-    else:
-        df.write.mode("overwrite").partitionBy(partition_by).parquet(path)
+        return
+    sizes = materialize(df.groupBy(partition_by).agg(F.ceil(F.count("*") / rows_per_file).alias("_files")), "sizes")
+    dealt = null_safe_join(df, sizes, [partition_by], "left").withColumn(
+        "_salt", F.pmod(F.monotonically_increasing_id(), F.col("_files"))
+    )
+    dealt = dealt.repartition(partition_by, "_salt").select(*df.columns)
+    dealt.write.mode("overwrite").partitionBy(partition_by).parquet(path)
 
 
 def read_event_definitions(spark: SparkSession, path: str) -> DataFrame:

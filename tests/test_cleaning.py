@@ -176,3 +176,24 @@ def test_clip_and_suffix(spark):
         scalars.plain_name(F.lit("catalog_(mail)")).alias("name"),
     ).first()
     assert tuple(row) == (1.0, 0.0, None, "7 12", "catalog_mail")
+
+
+def test_partitioned_table_has_files_by_size(spark, tmp_path):
+    df = spark.range(1000).select(F.when(F.col("id") < 900, "hot").when(F.col("id") < 999, "mild").alias("v"), "id").repartition(8)
+    tables.write_table(df, str(tmp_path / "t"), "v", rows_per_file=300)
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert sorted(r["id"] for r in back.collect()) == list(range(1000))
+    assert len(list((tmp_path / "t" / "v=mild").glob("*.parquet"))) == 1
+    assert len(list((tmp_path / "t" / "v=hot").glob("*.parquet"))) <= 3
+
+
+def test_scratch_is_cleared(spark):
+    from footfall import clear_scratch, materialize
+
+    kept = materialize(spark.range(3), "kept")
+    assert kept.count() == 3
+    path = kept.inputFiles()[0]
+    clear_scratch(spark)
+    import os
+
+    assert not os.path.exists(path.removeprefix("file://"))

@@ -236,3 +236,15 @@ def test_null_is_a_class_of_its_own(spark):
     assert counts == {"a": 6, None: 6}
     valid = sampling.stratified_split(df, "c", 0.5).where("is_valid").groupBy("c").count().collect()
     assert {r["c"]: r["count"] for r in valid} == {"a": 5, None: 10}
+
+
+def test_weekday_holidays(spark):
+    from footfall.operators.forecast import weekday_holidays
+
+    dates = spark.sql("SELECT explode(sequence(DATE '2021-01-01', DATE '2023-12-31')) AS ds")
+    got = weekday_holidays(dates, {"thanksgiving": (11, 5, 4), "labor day": (9, 2, 1), "memorial day": (5, 2, -1)})
+    assert {(r["holiday"], r["ds"].isoformat()) for r in got.collect()} == {
+        ("thanksgiving", "2021-11-25"), ("thanksgiving", "2022-11-24"), ("thanksgiving", "2023-11-23"),
+        ("labor day", "2021-09-06"), ("labor day", "2022-09-05"), ("labor day", "2023-09-04"),
+        ("memorial day", "2021-05-31"), ("memorial day", "2022-05-30"), ("memorial day", "2023-05-29"),
+    }
