@@ -676,7 +676,7 @@ ORACLES: dict[str, str] = {
         f"SELECT b.*, t.label FROM ({BASELINE.format(source='vis')}) b JOIN taken t USING (id)",
         "status",
         lab=f"""SELECT id, CAST(target_us IS NOT NULL AS BIGINT) AS label FROM status WHERE target_us IS NOT NULL OR last_us < as_of - 7 * {DAY_US}""",
-        quota="""SELECT label, CASE WHEN sum(n) OVER () > 500 THEN least(250, min(n) OVER ()) ELSE n END AS n_take
+        quota="""SELECT label, least(250, min(n) OVER ()) AS n_take
                  FROM (SELECT label, count(*) AS n FROM lab GROUP BY 1)""",
         taken=f"""SELECT id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {hashed("id || '_123'")}, id) AS rn FROM lab)
                   JOIN quota USING (label) WHERE rn <= n_take""",
@@ -786,3 +786,79 @@ ORACLES: dict[str, str] = {
     ),
 }
 ORACLES["vocabulary_json"] = ORACLES["vocabulary"]
+
+# --- formulas in place of fitted models ------------------------------------------
+
+FORMULA = "n_events / (n_events + 10 + journey_duration_days)"
+GRID = "SELECT DISTINCT round(v, 6) AS value FROM (SELECT unnest([" + ", ".join(
+    f"quantile_cont(n_events, {i / 11})" for i in range(12)
+) + "]) AS v FROM base)"
+EXACT = f"""
+    SELECT id, count(*) AS n_events, (max(us) - min(us)) / {DAY_US}.0 AS journey_duration_days FROM log GROUP BY id"""
+SWEPT = "value / (value + 10 + journey_duration_days)"
+FORECAST = """
+    SELECT CAST(ds AS DATE) AS ds, dayofyear(ds) / 2.0 + dayofweek(ds) + 1 AS yhat, dayofyear(ds) / 2.0 AS trend,
+           dayofweek(ds) + 1.0 AS weekly, CASE WHEN day(ds) = 1 THEN 3.0 ELSE 0.0 END AS holidays FROM daily"""
+CALENDAR = """
+    SELECT ds AS feature_ds, CAST(yhat AS DOUBLE) AS orders_yhat, CAST(trend AS DOUBLE) AS orders_trend,
+           CAST(weekly AS DOUBLE) AS orders_weekly, 0.0::DOUBLE AS orders_yearly, CAST(holidays AS DOUBLE) AS orders_holidays FROM f"""
+PARTS = ("yhat", "trend", "weekly", "yearly", "holidays")
+
+ORACLES |= {
+    "ice_of_formula": sql(f"SELECT id, value, round({SWEPT}, 6) AS p FROM base, grid", "log", base=EXACT, grid=GRID),
+    "dependence_of_formula": sql(
+        f"SELECT value, round(avg({SWEPT}), 6) AS p, count(*) AS n FROM base, grid GROUP BY 1", "log", base=EXACT, grid=GRID
+    ),
+    "profile_of_formula": sql(
+        f"""SELECT 'highest' AS profile, id, value, round({SWEPT}, 6) AS p, CAST(n_events AS DOUBLE) AS baseline_value, round({FORMULA}, 6) AS baseline_p
+            FROM (SELECT * FROM base ORDER BY {FORMULA} DESC, id LIMIT 1) b,
+                 LATERAL (SELECT value FROM grid UNION SELECT CAST(b.n_events AS DOUBLE)) g(value)""",
+        "log",
+        base=EXACT,
+        grid=GRID,
+    ),
+    "timeline_of_formula": sql(
+        f"""SELECT id, event_number, {r6('d', 'time_since_start_days')}, {r6('p', 'p')},
+              {r6('p - coalesce(lag(p) OVER (PARTITION BY id ORDER BY event_number), 0)', 'probability_delta')}
+            FROM (SELECT *, event_number / (event_number + 10 + d) AS p FROM (
+              SELECT id, event_number, (us - min(us) OVER (PARTITION BY id)) / {DAY_US}.0 AS d FROM numbered))""",
+        "numbered",
+    ),
+    "calendar_of_formula": sql(
+        f"SELECT CAST(feature_ds AS VARCHAR) AS feature_ds, * EXCLUDE (feature_ds) FROM ({CALENDAR})", "daily", f=FORECAST
+    ),
+    "orders_with_formula_calendar": sql(
+        "SELECT o_custkey, epoch_us(last_action_ts) AS last_action_ts, "
+        + ", ".join(f"round(coalesce(c.orders_{x}, (SELECT median(orders_{x}) FROM c)), 6) AS orders_{x}" for x in PARTS)
+        + """ FROM (SELECT o_custkey, max(o_orderdate) AS last_action_ts FROM orders GROUP BY 1) o
+             LEFT JOIN c ON c.feature_ds = CAST(o.last_action_ts AS DATE)""",
+        "daily",
+        f=FORECAST,
+        c=CALENDAR,
+    ),
+    "holiday_years_of_formula": sql(
+        """SELECT year(ds) AS year, CAST(make_date(2023, month(ds), CASE WHEN month(ds) = 2 THEN least(day(ds), 28) ELSE day(ds) END) AS VARCHAR)
+             AS aligned_ds, CAST(ds AS VARCHAR) AS ds, CAST(holidays AS DOUBLE) AS holidays FROM f""",
+        "daily",
+        f=FORECAST,
+    ),
+    "moving_holidays": sql(
+        """SELECT CAST(ds AS VARCHAR) AS ds, holiday FROM (
+             SELECT ds, 'thanksgiving' AS holiday FROM daily WHERE month(ds) = 11 AND dayofweek(ds) = 4 AND day(ds) BETWEEN 22 AND 28
+             UNION ALL SELECT ds, 'memorial' FROM daily WHERE month(ds) = 5 AND dayofweek(ds) = 1 AND day(ds) >= 25
+             UNION ALL SELECT ds, 'labor' FROM daily WHERE month(ds) = 9 AND dayofweek(ds) = 1 AND day(ds) <= 7)""",
+        "daily",
+    ),
+    "definitions_csv": """SELECT DISTINCT event_type AS event_name, 1::BIGINT AS journey_id, length(event_type) AS event_definition_id,
+        NULL::BIGINT AS milestone_number, 'Discover' AS stage FROM events""",
+    "template_csv": sql(
+        "SELECT id, row_number() OVER (ORDER BY id) - 1 AS position FROM labels WHERE final_outcome = 'failure'", "labels"
+    ),
+    "forecast_summary": sql(
+        """SELECT 'success_journey_length_days' AS key, '71' AS value
+           UNION ALL SELECT 'start_cutoff', CAST(CAST(min(ds) AS DATE) + 71 AS VARCHAR) FROM warm
+           UNION ALL SELECT 'daily_train_rows_weekdays_only', CAST(count(*) FILTER (isodow(ds) < 6) AS VARCHAR) FROM warm
+           UNION ALL SELECT 'forecast_end', CAST(greatest(max(CAST(ds AS DATE)), DATE '2002-12-01') AS VARCHAR) FROM warm""",
+        "warm",
+    ),
+}

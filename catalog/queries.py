@@ -895,7 +895,7 @@ def open_journey_features(spark, sf_dir):
 
 @query
 def training_table(spark, sf_dir):
-    return journeys.training_snapshots(log(spark, sf_dir), NAMES, TARGET, DAYS, 500)
+    return journeys.training_snapshots(log(spark, sf_dir), NAMES, TARGET, DAYS, 500, equal=True)
 
 
 @query
@@ -1271,3 +1271,117 @@ def variant_predictions(spark, sf_dir):
     columns = _baseline_columns(df)
     short = [c for c in columns if not c.startswith("n_") or c in ("n_events", "n_unique_events")]
     return comparison.compare_variants(df, df, {"short": short, "full": columns}, maxIter=5, maxDepth=3)[1]
+
+
+# --- the same steps with formulas in place of fitted models, so that SQL can follow
+
+
+def _formula(df: DataFrame) -> DataFrame:
+    """A score that rises with the events and falls with the length of a journey."""
+    p = F.col("n_events") / (F.col("n_events") + 10 + F.col("journey_duration_days"))
+    return df.withColumn("p", p)
+
+
+def _formula_inputs(spark, sf_dir):
+    df = materialize(features.baseline_features(log(spark, sf_dir), NAMES), "baseline")
+    return df, explain.value_grid(df, "n_events")
+
+
+@query
+def ice_of_formula(spark, sf_dir):
+    df, grid = _formula_inputs(spark, sf_dir)
+    return explain.ice(_formula, df, "n_events", grid)
+
+
+@query
+def dependence_of_formula(spark, sf_dir):
+    df, grid = _formula_inputs(spark, sf_dir)
+    return explain.pdp(explain.ice(_formula, df, "n_events", grid))
+
+
+@query
+def profile_of_formula(spark, sf_dir):
+    """The journey with the highest score over the grid and its own value."""
+    df, grid = _formula_inputs(spark, sf_dir)
+    rows = explain.extreme_rows(_formula(df)).where("profile = 'highest'")
+    return explain.cp_profile(_formula, rows, "n_events", grid)
+
+
+@query
+def timeline_of_formula(spark, sf_dir):
+    return explain.probability_timeline(_formula, log(spark, sf_dir), NAMES).select(
+        ID, "event_number", "time_since_start_days", "p", "probability_delta"
+    )
+
+
+def _formula_forecast(spark, sf_dir):
+    """A forecast made of date arithmetic over the days of the series."""
+    n = F.dayofyear("ds").cast("double")
+    return daily(spark, sf_dir).select(
+        "ds",
+        (n / 2 + F.dayofweek("ds")).alias("yhat"),
+        (n / 2).alias("trend"),
+        F.dayofweek("ds").cast("double").alias("weekly"),
+        F.when(F.dayofmonth("ds") == 1, 3.0).otherwise(0.0).alias("holidays"),
+    )
+
+
+@query
+def calendar_of_formula(spark, sf_dir):
+    return forecast.calendar_features(_formula_forecast(spark, sf_dir))
+
+
+@query
+def orders_with_formula_calendar(spark, sf_dir):
+    """Calendar features by the day of the last order; days without any get medians."""
+    by_day = materialize(forecast.calendar_features(_formula_forecast(spark, sf_dir)), "calendar")
+    last = dt.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("last_action_ts"))
+    return forecast.with_calendar_features(last, by_day)
+
+
+@query
+def holiday_years_of_formula(spark, sf_dir):
+    return forecast.holiday_yoy(_formula_forecast(spark, sf_dir))
+
+
+@query
+def moving_holidays(spark, sf_dir):
+    """Holidays on a weekday of a month among the days of the series."""
+    return forecast.weekday_holidays(daily(spark, sf_dir), {"thanksgiving": (11, 5, 4), "memorial": (5, 2, -1), "labor": (9, 2, 1)})
+
+
+@query
+def definitions_csv(spark, sf_dir):
+    """An event dimension with a byte-order mark, written from the log's names and read back."""
+    path = scratch_path(spark, "definitions")
+    names = log(spark, sf_dir).select(NAME).distinct()
+    line = F.concat(F.col(NAME), F.lit(",1,"), F.length(NAME).cast("string"), F.lit(",,Discover"))
+    header = F.lit("\ufeffevent_name,journey_id,event_definition_id,milestone_number,stage")
+    # A dimension is one small file with its header first.
+    rows = names.select(F.lit(1).alias("k"), line.alias("line")).unionByName(spark.range(1).select(F.lit(0).alias("k"), header.alias("line")))
+    rows.coalesce(1).sortWithinPartitions("k", "line").select("line").write.text(path)
+    return tables.read_event_definitions(spark, path)
+
+
+@query
+def template_csv(spark, sf_dir):
+    """A scoring template of the failed journeys, read back with its order."""
+    path = scratch_path(spark, "template")
+    failed = labels(log(spark, sf_dir)).where(F.col("final_outcome") == "failure")
+    # A template is one file; its order is the contract.
+    failed.select(ID, F.lit(0).alias("order_shipped")).coalesce(1).sortWithinPartitions(ID).write.option("header", True).csv(path)
+    return tables.load_template(spark, path)
+
+
+@query
+def forest_checks(spark, sf_dir):
+    """Rows scored, scores within [0, 1], and whether held-out error beats the base rate."""
+    df = _model_table(spark, sf_dir)
+    model = _forest(df.where("fold <> 0"))
+    held = models.score(model, df.where("fold = 0"))
+    rate = df.where("fold <> 0").agg(F.avg("label")).scalar()
+    return held.agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("p").between(0, 1)).alias("n_in_range"),
+        (F.avg(F.pow(F.col("p") - F.col("label"), 2)) < F.avg(F.pow(rate - F.col("label"), 2))).alias("better"),
+    )

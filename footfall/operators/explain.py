@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
@@ -15,6 +15,11 @@ from footfall.operators.quantiles import quantiles
 from footfall.operators.timeline import timeline_features, with_delta, with_elapsed
 from footfall.schema import ID, TIE, TS
 
+def scored(model: PipelineModel | Callable[[DataFrame], DataFrame], df: DataFrame) -> DataFrame:
+    """Add ``p`` by a fitted model or by any function of a table, such as a formula."""
+    return score(model, df) if isinstance(model, PipelineModel) else model(df)
+
+
 def value_grid(df: DataFrame, feature: str, points: int = 12, digits: int = 6) -> Column:
     """Distinct rounded quantiles of a feature as an array of at most ``points`` values."""
     probs = {f"q{i}": i / (points - 1) for i in range(points)}
@@ -50,7 +55,7 @@ def sweep(sample: DataFrame, grid: Column | Sequence[float], feature: str) -> Da
 
 def ice(model: PipelineModel, rows: DataFrame, feature: str, grid, key: str = ID) -> DataFrame:
     """``key, value, p``: the prediction of every row at every grid value."""
-    swept = score(model, sweep(rows, grid, feature))
+    swept = scored(model, sweep(rows, grid, feature))
     return swept.select(key, F.col(f"`{feature}`").alias("value"), "p")
 
 
@@ -59,19 +64,19 @@ def pdp(curves: DataFrame) -> DataFrame:
     return curves.groupBy("value").agg(F.avg("p").alias("p"), F.count("*").alias("n"))
 
 
-def profile_rows(scored: DataFrame, targets: dict[str, float], key: str = ID) -> DataFrame:
+def profile_rows(predicted: DataFrame, targets: dict[str, float], key: str = ID) -> DataFrame:
     """For each label the row whose prediction is nearest to the target."""
-    parts = [closest_to(scored, "p", t, key).withColumn("profile", F.lit(name)) for name, t in targets.items()]
+    parts = [closest_to(predicted, "p", t, key).withColumn("profile", F.lit(name)) for name, t in targets.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def extreme_rows(scored: DataFrame, key: str = ID) -> DataFrame:
+def extreme_rows(predicted: DataFrame, key: str = ID) -> DataFrame:
     """The rows with the highest and the lowest prediction."""
-    high = scored.orderBy(F.desc("p"), key).limit(1).withColumn("profile", F.lit("highest"))
-    low = scored.orderBy(F.asc("p"), key).limit(1).withColumn("profile", F.lit("lowest"))
+    high = predicted.orderBy(F.desc("p"), key).limit(1).withColumn("profile", F.lit("highest"))
+    low = predicted.orderBy(F.asc("p"), key).limit(1).withColumn("profile", F.lit("lowest"))
     return high.unionByName(low)
 
 
@@ -84,7 +89,7 @@ def cp_profile(model: PipelineModel, rows: DataFrame, feature: str, grid: Column
     base = rows.withColumns({"baseline_value": F.col(f"`{feature}`").cast("double"), "baseline_p": F.col("p")}).drop("p")
     own = base.agg(F.collect_set("baseline_value")).scalar()
     full = F.sort_array(F.array_union(grid, own))
-    swept = score(model, sweep(base, full, feature))
+    swept = scored(model, sweep(base, full, feature))
     return swept.select("profile", ID, F.col(f"`{feature}`").alias("value"), "p", "baseline_value", "baseline_p")
 
 
@@ -92,6 +97,6 @@ def probability_timeline(model: PipelineModel, events: DataFrame, names: Sequenc
     """Probability after every event of every given journey, with its change."""
     features = timeline_features(events, names)
     keys = [ID, TS, TIE, "event_name"]
-    known = align_columns(features, [*keys, *model.feature_names])
-    scored = score(model, known).select(*keys, "p")
-    return with_delta(with_elapsed(scored), "p")
+    if isinstance(model, PipelineModel):
+        features = align_columns(features, [*keys, *model.feature_names])
+    return with_delta(with_elapsed(scored(model, features).select(*keys, "p")), "p")
