@@ -134,6 +134,20 @@ def test_packing(edges, small, nothing):
     assert packing.packed_documents(nothing, path).count() == 0
 
 
+def test_word_ids_on_odd_text():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    rng = np.random.default_rng(3)
+    texts = ["Σίσυφος ΟΔΟΣ. été İstanbul'll don't, ... ,. x, . ,", "a\x1cb e\x85f\u2028g\u3000h. é. K", "it's 3.5, _. ,! <|endoftext|>"]
+    for letters in ("aZéÉΣσİı'.,s t١9²中\u0301\x1c\xa0!-Å", "aB.,9 '_ x", "ab. , "):
+        texts += ["".join(rng.choice(list(letters), rng.integers(1, 40))) for _ in range(500)]
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert packing.WordIds(path).packed(texts) == want
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_best_fit_keeps_every_constraint(rule):
     items = np.random.default_rng(3).integers(1, 60, (300, 3))
