@@ -289,6 +289,15 @@ def variants(kind: str, value: str) -> list[str]:
     return []
 
 
+def _hides_a_match(text: str, words, inside) -> bool:
+    """Whether a candidate that the patterns passed over, since they match greedily
+    and do not retry, would match alone. Such zones teach nothing certain."""
+    for _, _, a, z in segments(text, words)[0]:
+        if not any(s[1] < z and s[2] > a for s in inside) and any(s[1:] == (0, z - a) for s in base_spans(text[a:z])):
+            return True
+    return False
+
+
 def training_set(texts: list[str]):
     """Zones of sample texts with their base spans, and variants of these."""
     out = []
@@ -296,7 +305,7 @@ def training_set(texts: list[str]):
         spans = base_spans(text)
         for words in zones(text):
             inside = [s for s in spans if words[0][0] <= s[1] and s[2] <= words[-1][1]]
-            if len(words) <= 40:
+            if len(words) <= 40 and not _hides_a_match(text, words, inside):
                 out.append((text, words, inside))
             for kind, a, z in inside:
                 for other in variants(kind, text[a:z]):
