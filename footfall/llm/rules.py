@@ -7,7 +7,8 @@ upper bound on the share of good texts rejected is compared with the allowed
 share; the sequence stops at the first cutoff that fails, so every certified
 cutoff of a sequence holds at once without paying for the grid. The error level
 is divided by strata times rules (Bonferroni), the allowed share by the rules.
-Among certified cutoffs the one that separates the labels best is used; a rule
+Among certified cutoffs the one that separates the labels best is used, at
+``FALSE_COST`` per false rejection; a rule
 that separates nothing, or a stratum with too few labels, rejects nothing.
 
 Defined results: a null or empty text has no words and fails the base check; a
@@ -47,6 +48,8 @@ GRID = tuple(round(0.01 * 1.12**k, 6) for k in range(42, -1, -1))
 
 FALSE_REJECTIONS = 0.08
 ERROR_LEVEL = 0.05
+# Among certified cutoffs, rejecting a good text weighs as much as missing so many bad ones.
+FALSE_COST = 20.0
 
 STATISTICS = (
     "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
@@ -140,7 +143,7 @@ def certified(good: list[int], bad: list[int], n_good: int, n_bad: int, allowed:
         # More than the allowed share can never pass; this also keeps the sum short.
         if not n_good or g > allowed * n_good or upper_bound(g, n_good, level) > allowed:
             break
-        won = b / max(1, n_bad) - g / n_good
+        won = b / max(1, n_bad) - FALSE_COST * g / n_good
         if n_bad and won > gain + 1e-12:
             best, gain = k, won
     return best
