@@ -1385,3 +1385,16 @@ def forest_checks(spark, sf_dir):
         F.count_if(F.col("p").between(0, 1)).alias("n_in_range"),
         (F.avg(F.pow(F.col("p") - F.col("label"), 2)) < F.avg(F.pow(rate - F.col("label"), 2))).alias("better"),
     )
+
+
+@query
+def snapshot_model_scores(spark, sf_dir):
+    """A forest at the stated snapshot settings: held-out snapshots and open journeys."""
+    events = log(spark, sf_dir)
+    leaky = ("n_purchase", "first_action_ts", "last_action_ts")
+    model, held = journeys.snapshot_model(events, NAMES, TARGET, DAYS, leaky)
+    ahead = features.fill_zero(journeys.open_features(events, labels(events), NAMES))
+    opened = models.score(model, features.align_columns(ahead, [ID, *model.feature_names])).select(ID, "p")
+    return held.select(ID, "snapshot_id", "p", F.lit("held out").alias("part")).unionByName(
+        opened.select(ID, F.lit(None).cast("string").alias("snapshot_id"), "p", F.lit("open").alias("part"))
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from footfall.functions.scalars import clip
 from footfall.functions.times import shift_days
 from footfall.operators.clean import dedup_events
-from footfall.operators.features import align_columns, baseline_features, fill_zero, flatten_journeys
+from footfall.operators.features import align_columns, baseline_features, fill_zero, flatten_journeys, with_label
 from footfall.operators.outcomes import (
     journey_status,
     label_outcomes,
@@ -20,10 +20,10 @@ from footfall.operators.outcomes import (
     restrict_events,
     status_from_days,
 )
-from footfall.operators.sampling import balance_classes
+from footfall.operators.sampling import balance_classes, downsample_success, with_folds
 from footfall.operators.snapshots import bounds_from_status, expand_with_gaps, k_cutoffs, single_cutoff, snapshot_k
 from footfall.operators.spread import attach_journey, journey_days
-from footfall.schema import FEATURE_EVENTS, ID, INACTIVITY_DAYS, TARGET_EVENT, TS
+from footfall.schema import FEATURE_EVENTS, ID, INACTIVITY_DAYS, LEAKY_COLUMNS, TARGET_EVENT, TS
 from footfall.session import materialize
 
 
@@ -80,6 +80,35 @@ def single_snapshot_features(
     return flatten_journeys(visible, names, by=(ID, "final_outcome"))
 
 
+def snapshot_model(
+    events: DataFrame,
+    names: Sequence[str],
+    target: str = TARGET_EVENT,
+    inactivity_days: int = INACTIVITY_DAYS,
+    leaky: Sequence[str] = LEAKY_COLUMNS,
+    fold: int = 0,
+    fit: Callable[[DataFrame, Sequence[str]], PipelineModel] | None = None,
+) -> tuple[PipelineModel, DataFrame]:
+    """A model on down-sampled snapshot features, and its scores of the held-out fold.
+
+    Folds are dealt by journey, so snapshots of one journey never stand on both
+    sides. ``fit`` takes a table and its feature columns; by default it is a forest
+    at the snapshot settings.
+    """
+    from footfall.operators.models import FOREST_SETTINGS, feature_columns, fit_rf, score
+
+    def forest(df, columns):
+        return fit_rf(df, columns, **FOREST_SETTINGS["snapshot"])
+
+    sampled = downsample_success(snapshot_features(events, names, target, inactivity_days))
+    table = materialize(with_folds(with_label(sampled), "final_outcome"), "snapshot-training")
+    # Gaps are null for snapshots of one event.
+    table = fill_zero(table)
+    model = (fit or forest)(table.where(F.col("fold") != fold), feature_columns(table, leaky))
+    held = score(model, table.where(F.col("fold") == fold))
+    return model, held.select(ID, "snapshot_id", "label", "p")
+
+
 def open_features(events: DataFrame, outcomes: DataFrame, names: Sequence[str]) -> DataFrame:
     """Features of open journeys as of the latest event among them."""
     open_ids = outcomes.where(F.col("final_outcome") == "incomplete").select(ID)

@@ -137,3 +137,10 @@ def test_picked_journey_prefers_the_ranges(spark, log):
 @pytest.mark.parametrize("name", ["gentle_monthly_forecast", "poisson_coefficients", "additive_forecast", "orders_with_calendar"])
 def test_forecast_queries_have_rows(spark, name):
     assert q.QUERIES[name](spark, SF_SMALL).count() > 0
+
+
+def test_snapshot_model_holds_a_fold_out(spark):
+    rows = q.QUERIES["snapshot_model_scores"](spark, SF_SMALL).collect()
+    held = [r for r in rows if r["part"] == "held out"]
+    assert held and len(held) < len(rows) and all(0 <= r["p"] <= 1 for r in rows)
+    assert len({r["snapshot_id"] for r in held}) == len(held)
