@@ -862,3 +862,28 @@ ORACLES |= {
         "warm",
     ),
 }
+
+HOLEY = """
+    SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN id END AS id, CASE WHEN event_name <> 'error' THEN event_name END AS event_name, us
+    FROM hour_log"""
+
+ORACLES |= {
+    "duplicates_with_null_keys": sql(
+        """SELECT event_id, id, event_name, us AS event_timestamp FROM (
+             SELECT *, count(*) OVER (PARTITION BY id, us, event_name) AS c FROM holey) WHERE c > 1""",
+        "hour_log",
+        holey=HOLEY,
+    ),
+    "numbers_with_null_keys": sql(
+        """SELECT event_id, lag(event_name) OVER w AS before, row_number() OVER w AS event_number FROM holey
+           WINDOW w AS (PARTITION BY id ORDER BY us, event_id)""",
+        "hour_log",
+        holey=HOLEY,
+    ),
+    # The deviation is rounded away from the last digits that engines differ in.
+    "summary_of_close_values": sql(
+        """SELECT count(*) AS n, CAST(round(stddev_samp(us - (SELECT min(us) FROM log)) / 1e6) AS BIGINT) AS sd_seconds,
+             min(us)::DOUBLE AS "min", max(us)::DOUBLE AS "max", quantile_cont(us::DOUBLE, 0.25) AS q1, quantile_cont(us::DOUBLE, 0.5) AS median FROM log""",
+        "log",
+    ),
+}

@@ -1398,3 +1398,33 @@ def snapshot_model_scores(spark, sf_dir):
     return held.select(ID, "snapshot_id", "p", F.lit("held out").alias("part")).unionByName(
         opened.select(ID, F.lit(None).cast("string").alias("snapshot_id"), "p", F.lit("open").alias("part"))
     )
+
+
+# --- logs with missing keys
+
+
+def holey_log(spark, sf_dir) -> DataFrame:
+    """The hour log with errors unnamed and a part of the journeys without id."""
+    df = hour_log(spark, sf_dir)
+    lost = F.pmod(F.col(TIE), F.lit(7)) == 0
+    return df.withColumns({NAME: F.when(F.col(NAME) != "error", F.col(NAME)), ID: F.when(~lost, F.col(ID))})
+
+
+@query
+def duplicates_with_null_keys(spark, sf_dir):
+    return clean.duplicate_groups(holey_log(spark, sf_dir)).select(TIE, ID, NAME, TS)
+
+
+@query
+def numbers_with_null_keys(spark, sf_dir):
+    """Event numbers and previous names where all events without id form one journey."""
+    df = spread.with_previous(holey_log(spark, sf_dir), {"before": NAME})
+    return spread.with_event_number(df).select(TIE, "before", "event_number")
+
+
+@query
+def summary_of_close_values(spark, sf_dir):
+    """Deviation and quantiles of times in microseconds, far from zero and close together."""
+    times_us = log(spark, sf_dir).select(times.micros(TS).cast("double").alias("us"))
+    found = qn.distribution(times_us, "us", {"q1": 0.25, "median": 0.5})
+    return found.select("n", F.round(F.col("sd") / 1e6).cast("long").alias("sd_seconds"), "min", "max", "q1", "median")
