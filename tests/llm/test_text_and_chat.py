@@ -8,11 +8,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from conftest import SF_SMALL, START  # noqa: F401
 
 import corpus_pipeline
-from footfall.llm import chat, licences, pii, queries
+from footfall.llm import chat, licences, neighbours, pii, queries
 
 PLAIN = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
@@ -180,19 +181,62 @@ def test_licences_match_sql(spark):
 # The pipeline
 
 
-def test_pipeline_stages(spark):
-    sf = SF_SMALL.replace("0.001", "0.01")
+def test_pipeline_against_plain_computations(spark):
+    from test_contracts import check_packing, components, plain_fingerprint, plain_repeats
+    from tokenizers import Tokenizer
+
+    sf = SF_SMALL
+    stages = dict(corpus_pipeline.STAGES)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    before = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, before, sf)
-        assert after.dtypes == docs.dtypes, name
-        after = after.cache()
-        assert 0 < after.count() <= before.count(), name
-        if name in ("quality classifier", "SimHash near-dedup"):
-            assert after.subtract(before).count() == 0
-        before = after
-    assert before.where("n_chars <> length(text)").count() == 0
-    assert not any(plain_spans(r.text) for r in before.select("text").collect() if "@" in r.text)
-    packed = corpus_pipeline.STAGES[-1][1](spark, before, sf)
-    assert packed.select("doc_id").distinct().count() == before.count()
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+
+    def rows(df):
+        assert df.dtypes == docs.dtypes
+        return {r.doc_id: r for r in df.collect()}
+
+    first = stages["quality classifier"](spark, docs, sf).cache()
+    good = {r.doc_id for r in neighbours.scored(docs, labels).collect() if r.predicted == 1}
+    assert rows(first) == {k: r for k, r in rows(docs).items() if k in good}
+
+    second = stages["SimHash near-dedup"](spark, first, sf).cache()
+    prints = [(r.doc_id, plain_fingerprint(r.text)) for r in first.collect()]
+    links = [(a, b) for a, x in prints for b, y in prints if a != b and (x ^ y).bit_count() <= 4]
+    top = components([a for a, _ in prints], links)
+    assert rows(second) == {k: r for k, r in rows(first).items() if top[k] == k}
+
+    third = stages["suffix-array dedup"](spark, second, sf).cache()
+    before = second.collect()
+    texts = [r.text.encode() for r in before]
+    want = {
+        r.doc_id: bytes(b for b, g in zip(t, gone.tolist()) if not g).decode(errors="ignore")
+        for r, t, gone in zip(before, texts, plain_repeats(texts, 400))
+    }
+    got = rows(third)
+    assert {k: r.text for k, r in got.items()} == want
+    assert all(r.n_chars == len(r.text) and (r.lang, r.source) == (b.lang, b.source) for b in before for r in [got[b.doc_id]])
+
+    fourth = stages["PII"](spark, third, sf).cache()
+    field = pii.trained(third)
+    redacted = {r.doc_id: pii.redacted_text(r.text, pii.all_spans(r.text, field)[1]) for r in third.collect()}
+    assert {k: r.text for k, r in rows(fourth).items()} == redacted
+    assert not any(plain_spans(t) for t in redacted.values())
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    fifth = stages["best-fit packing"](spark, fourth, sf).collect()
+    used, least = check_packing(fifth, fourth.collect(), tokenizer)
+    assert used <= least * 1.03 + 1
+    pieces = Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, sf).collect())
+    assert pieces == Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in fifth)
+
+
+def test_pipeline_on_odd_rows(spark):
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "no id", "en", "s", 5), (2, "", "en", "s", 0), (3, "x " * 30_000, "en", "s", 60_000)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for some in (odd, odd.where("false")):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, some, SF_SMALL)
+            out.count()
+            if name != "best-fit packing":
+                assert out.dtypes == odd.dtypes
