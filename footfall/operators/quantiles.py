@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from footfall.operators.spread import running_totals
 
 # Edges of the rank buckets: coarse steps times fine steps.
-COARSE, FINE = 16, 32
+COARSE, FINE = 8, 16
 
 
 def with_rank_bucket(counts: DataFrame, value: str, name: str = "_bucket") -> DataFrame:
