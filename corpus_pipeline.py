@@ -23,10 +23,29 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the smallest id."""
-    found = simhash.near_duplicates(docs, shingle=4, most=4)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*COLUMNS)
+    """Exactly one row of each group of near copies stays: that of the smallest id.
+
+    Rows that share an id are one document; the longest text of that id stays, once.
+    Rows without an id take part under a name made of their text, above 2**62, so that
+    their copies are merged too and a row with a smaller id goes before them.
+    """
+    name = F.coalesce("doc_id", F.xxhash64("text").bitwiseAND(F.lit(2**62 - 1)).bitwiseOR(F.lit(2**62)))
+    rows = docs.select(*COLUMNS, name.alias("name"))
+    found = simhash.near_duplicates(rows.select(F.col("name").alias("doc_id"), "text"), shingle=4, most=4)
+    # One row per name, counted map-side: those that go, and those on several rows.
+    marks = written(
+        found.groupBy(F.col("doc_id").alias("name"))
+        .agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
+        .where("name <> component_id OR n > 1"),
+        "near-marks",
+    )
+    single = rows.join(marks.select("name").hint("shuffle_hash"), "name", "left_anti").select(*COLUMNS)
+    # Written, so that Spark can split a name on many rows; then merged map-side.
+    several = marks.where("name = component_id").select("name")
+    repeated = written(rows.join(several.hint("shuffle_hash"), "name", "left_semi"), "near-repeated")
+    order = (-F.coalesce(F.octet_length("text"), F.lit(-1)), F.xxhash64(*COLUMNS), F.xxhash64(F.lit(1), *COLUMNS))
+    best = repeated.groupBy("name").agg(F.min(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], *COLUMNS)).alias("best"))
+    return single.unionByName(best.select(*[F.col(f"best.{c}").alias(c) for c in COLUMNS]))
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -240,3 +240,20 @@ def test_pipeline_on_odd_rows(spark):
             out.count()
             if name != "best-fit packing":
                 assert out.dtypes == odd.dtypes
+
+
+def test_near_unique_keeps_one_row_of_each_group(spark):
+    rng = np.random.default_rng(12)
+    a, b, c, d, e = (" ".join(f"w{x}" for x in rng.integers(0, 10**6, 150)) for _ in range(5))
+    rows = [(1, a)] * 3 + [(None, b)] * 3 + [(4, c), (None, c), (None, c)] + [(6, d), (7, d), (7, d)] + [(8, e[:500]), (8, e)]
+    rows += [(9, None), (9, None), (None, ""), (None, None)]
+    df = spark.createDataFrame(
+        [(i, t, "en", "s", len(t) if t is not None else None) for i, t in rows],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    ).repartition(5)
+    once = corpus_pipeline.near_unique(spark, df, SF_SMALL).cache()
+    want = {(1, a), (None, b), (4, c), (6, d), (8, e), (9, None)}
+    assert once.dtypes == df.dtypes and Counter((r.doc_id, r.text) for r in once.collect()) == Counter(want)
+    # Suffix removal sees every text once and cuts nothing.
+    left = corpus_pipeline.unrepeated(spark, once, SF_SMALL).collect()
+    assert Counter((r.doc_id, r.text) for r in left) == Counter((i, t or "") for i, t in want)
