@@ -6,6 +6,13 @@ most ``FIT_ROWS`` vectors per node; every vector is then routed. Nodes above the
 leaf size are cut again in the next round, so leaves stay bounded at any input
 size. Vectors are compared exactly, in double precision, within the leaves.
 
+Dense groups are not cut. Where sampled vectors have more near partners than a leaf
+holds, some become centres. Vectors near a centre (its core) leave the node and form
+one set with all vectors within twice the angle, hence with all their partners in the
+node. This is done once over all vectors, before there are trees, and again in every
+node. Sets and leaves above the leaf size are compared block against block, in as many
+tasks as there are pairs of blocks: the cost is quadratic in the size of such a group.
+
 A pair that meets in several leaves counts only in the smallest one they share,
 so leaves emit counts and a spanning forest instead of pairs, and results do not
 depend on which leaf is read first. Equal vectors are merged beforehand.
@@ -31,6 +38,9 @@ FIT_ROWS = 4_096
 DEPTH = 6
 SEED = 11
 BLOCK = 512
+# Near partners in the sample that make a vector a centre; most centres of a node.
+LEAST_SEEN = 8
+SETS = 8_192
 
 NODE = "tree int, dim int, path long"
 
@@ -62,6 +72,30 @@ def fit_cuts(x: np.ndarray, tree: int, dim: int, path: int, rows: int, leaf: int
     return out
 
 
+def dense_centres(x: np.ndarray, rows: int, leaf: int, least: float) -> np.ndarray:
+    """Sampled vectors such that every one with over ``leaf`` near partners is near one."""
+    near = x @ x.T >= least
+    partners = near.sum(axis=1) - 1
+    open_ = (partners >= LEAST_SEEN) & (partners * rows > leaf * len(x))
+    chosen = []
+    while open_.any():
+        c = int(np.argmax(np.where(open_, partners, -1)))
+        chosen.append(c)
+        open_ &= ~near[c]
+        open_[c] = False
+    return x[chosen]
+
+
+def dense_sets(x: np.ndarray, centres: np.ndarray, least: float) -> tuple[list[np.ndarray], np.ndarray]:
+    """The rows around each centre, and those in no core, which go on."""
+    if not len(centres):
+        return [], np.arange(len(x))
+    cosine = x @ centres.T
+    # A partner of a core vector is within twice the angle; a little more for rounding.
+    around = cosine >= np.cos(min(np.pi, 2 * np.arccos(np.clip(least, -1, 1)))) - 1e-9
+    return [np.flatnonzero(a) for a in around.T], np.flatnonzero(~(cosine >= least).any(axis=1))
+
+
 def route(x: np.ndarray, tree: int, dim: int, path: int, cuts: dict) -> list[tuple[int, np.ndarray]]:
     """Leaves reached and the rows that reach them."""
     out, todo = [], [(path, np.arange(len(x)))]
@@ -76,49 +110,55 @@ def route(x: np.ndarray, tree: int, dim: int, path: int, cuts: dict) -> list[tup
     return [(at, m) for at, m in out if len(m)]
 
 
-def grown(vectors: DataFrame, kind: str, trees: int, leaf: int, spill: float) -> DataFrame:
-    """``tree, dim, path, rep, n, vec``: every vector in all the leaves it reaches."""
-    rows = vectors.withColumn("tree", F.explode(F.array(*[F.lit(t) for t in range(trees)]))).select(
-        "tree", "dim", F.lit(1).cast("long").alias("path"), "rep", "n", "vec"
-    )
+def grown(vectors: DataFrame, kind: str, trees: int, leaf: int, spill: float, least: float) -> DataFrame:
+    """``tree, dim, path, rep, n, vec``: every vector in all the leaves it reaches.
+
+    Sets around centres have negative paths, and tree -1 if they are of all vectors.
+    """
     key = ["tree", "dim", "path"]
-    done = None
-    for _ in range(40):
-        counts = written(rows.groupBy(*key).agg(F.count("*").alias("rows")).where(F.col("rows") > 2 * leaf), "nodes")
-        if not counts.head(1):
-            break
+    columns = [*key, "rep", "n", "vec"]
+
+    def split(rows: DataFrame, counts: DataFrame, cut: bool):
         share = F.lit(FIT_ROWS) / F.col("rows") * 1_000_000
         sample = rows.join(counts, key).where(F.pmod(F.xxhash64("rep", "tree", "path"), F.lit(1_000_000)) < share)
 
         def fit(group):
             tree, dim, path, n = (int(group[c].iloc[0]) for c in (*key, "rows"))
-            cuts = fit_cuts(_matrix(list(group["vec"]), kind), tree, dim, path, n, leaf, spill)
+            x = _matrix(list(group["vec"]), kind)
+            centres = dense_centres(x, n, leaf, least)
+            rest = x[dense_sets(x, centres, least)[1]]
+            left = -(-n * len(rest) // len(x))
+            cuts = fit_cuts(rest, tree, dim, path, left, leaf, spill) if cut else []
             import pandas as pd
 
             return pd.DataFrame(
                 {
-                    "tree": [tree], "dim": [dim], "path": [path],
+                    "tree": [tree], "dim": [dim], "path": [path], "centres": [centres.tobytes()],
                     "at": [[c[0] for c in cuts]], "low": [[c[1] for c in cuts]], "high": [[c[2] for c in cuts]],
                 }
             )
 
         cuts = written(
-            sample.groupBy(*key).applyInPandas(fit, NODE + ", at array<long>, low array<double>, high array<double>"),
+            sample.groupBy(*key).applyInPandas(
+                fit, NODE + ", centres binary, at array<long>, low array<double>, high array<double>"
+            ),
             "cuts",
         )
-        rest = rows.join(counts.select(*key), key, "left_anti")
-        done = rest if done is None else done.unionByName(rest)
 
         def send(batches):
             for b in batches:
-                out = {k: [] for k in ("tree", "dim", "path", "rep", "n", "vec")}
+                out = {k: [] for k in columns}
                 nodes: dict[tuple, list[int]] = {}
                 for i, k in enumerate(zip(b["tree"], b["dim"], b["path"])):
                     nodes.setdefault(k, []).append(i)
                 for (tree, dim, path), idx in nodes.items():
                     at, low, high = (b[c][idx[0]] for c in ("at", "low", "high"))
                     known = dict(zip(at, zip(low, high)))
-                    for to, members in route(_matrix([b["vec"][i] for i in idx], kind), tree, dim, path, known):
+                    x = _matrix([b["vec"][i] for i in idx], kind)
+                    sets, rest = dense_sets(x, np.frombuffer(b["centres"][idx[0]]).reshape(-1, dim), least)
+                    to_rows = [(-path * SETS - j, m) for j, m in enumerate(sets)]
+                    to_rows += [(to, rest[m]) for to, m in route(x[rest], tree, dim, path, known)] if len(rest) else []
+                    for to, members in to_rows:
                         for m in members.tolist():
                             for c, v in (("tree", tree), ("dim", dim), ("path", to)):
                                 out[c].append(v)
@@ -126,29 +166,53 @@ def grown(vectors: DataFrame, kind: str, trees: int, leaf: int, spill: float) ->
                                 out[c].append(b[c][idx[m]])
                 yield out
 
-        routed = written(
+        return cuts, written(
             map_columns(rows.join(cuts, key), send, NODE + ", rep long, n long, vec binary"), "routed"
         )
+
+    def large(rows: DataFrame) -> DataFrame:
+        return written(rows.groupBy(*key).agg(F.count("*").alias("rows")).where(F.col("rows") > 2 * leaf), "nodes")
+
+    whole = vectors.select(F.lit(-1).alias("tree"), "dim", F.lit(1).cast("long").alias("path"), "rep", "n", "vec")
+    counts, done = large(whole), None
+    if counts.head(1):
+        _, routed = split(whole, counts, False)
+        done = routed.where("path < 0")
+        whole = routed.where("path > 0").unionByName(whole.join(counts.select(*key), key, "left_anti").select(*columns))
+    rows = whole.withColumn("tree", F.explode(F.array(*[F.lit(t) for t in range(trees)]))).select(*columns)
+    for _ in range(40):
+        counts = large(rows)
+        if not counts.head(1):
+            break
+        cuts, routed = split(rows, counts, True)
         # A node that could not be cut stays a leaf; its blocks are still compared.
         stuck = cuts.where("size(at) = 0").select(*key)
-        done = done.unionByName(routed.join(stuck, key, "left_semi"))
-        rows = routed.join(stuck, key, "left_anti")
+        for more in (
+            rows.join(counts.select(*key), key, "left_anti"),
+            routed.where("path < 0"),
+            routed.where("path > 0").join(stuck, key, "left_semi"),
+        ):
+            done = more.select(*columns) if done is None else done.unionByName(more.select(*columns))
+        rows = routed.where("path > 0").join(stuck, key, "left_anti").select(*columns)
     return rows if done is None else done.unionByName(rows)
 
 
-def leaf_links(rep, weight, x, leaves, here: int, least: float):
+def leaf_links(rep, weight, x, leaves, here: int, least: float, side=None):
     """Weighted links of each vector and a spanning forest, from owned pairs.
 
-    ``leaves`` holds the codes of all leaves of every row, padded with -1.
+    ``leaves`` holds the codes of all leaves of every row, padded with -1. With a
+    sorted ``side``, only pairs of different sides are compared.
     """
     n = len(rep)
     links, label = np.zeros(n, np.int64), np.arange(n)
     pairs = []
     for a in range(0, n, BLOCK):
         for b in range(a, n, BLOCK):
+            if side is not None and side[a] == side[min(b + BLOCK, n) - 1]:
+                continue
             i, j = np.nonzero(x[a : a + BLOCK] @ x[b : b + BLOCK].T >= least)
             i, j = i + a, j + b
-            ok = i < j
+            ok = i < j if side is None else (i < j) & (side[i] != side[j])
             i, j = i[ok], j[ok]
             for k in range(0, len(i), 20_000):
                 p, q = i[k : k + 20_000], j[k : k + 20_000]
@@ -206,9 +270,20 @@ def near_vectors(
 
     classes = written(map_columns(classes, pack, "k1 long, k2 long, rep long, n long, dim int, vec binary"), "classes")
     code = F.xxhash64("tree", "dim", "path").bitwiseAND(F.lit(2**62 - 1)).alias("leaf")
-    leaves = written(grown(classes, kind, trees, leaf, spill).select(code, "dim", "rep", "n", "vec"), "leaves")
+    leaves = written(grown(classes, kind, trees, leaf, spill, least).select(code, "dim", "rep", "n", "vec"), "leaves")
     reached = leaves.groupBy("rep").agg(F.array_sort(F.collect_set("leaf")).alias("leaves"))
-    together = leaves.join(reached, "rep").repartition("leaf").sortWithinPartitions("leaf", "rep")
+    # Large leaves in blocks of about ``leaf`` rows: a row goes to every pair of its block.
+    sizes = leaves.groupBy("leaf").agg(F.ceil(F.count("*") / leaf).cast("int").alias("blocks")).where("blocks > 2")
+    cell = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda o: F.struct(F.least(o, F.col("block")).alias("a"), F.greatest(o, F.col("block")).alias("b")),
+    )
+    together = (
+        leaves.join(reached, "rep").join(sizes, "leaf", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        .withColumn("cell", F.explode(cell)).select("leaf", "cell.a", "cell.b", "block", "rep", "n", "vec", "leaves")
+        .repartition("leaf", "a", "b").sortWithinPartitions("leaf", "a", "b", "block", "rep")
+    )
 
     def compare(batches):
         held_rows, code_now = [], None
@@ -216,25 +291,26 @@ def near_vectors(
         def result():
             if len(held_rows) < 2:
                 return None
-            rep, n, vec, own = zip(*held_rows)
+            block, rep, n, vec, own = zip(*held_rows)
+            side = None if code_now[1] == code_now[2] else np.array(block)
             wide = max(map(len, own))
             padded = np.array([list(o) + [-1] * (wide - len(o)) for o in own], np.int64)
             rep = np.array(rep, np.int64)
-            links, label = leaf_links(rep, np.array(n, np.int64), _matrix(vec, kind), padded, code_now, least)
+            links, label = leaf_links(rep, np.array(n, np.int64), _matrix(vec, kind), padded, code_now[0], least, side)
             some = np.flatnonzero((links > 0) | (label != np.arange(len(rep))))
             return {"rep": rep[some], "links": links[some], "u": rep[label[some]]}
 
         for b in batches:
-            for row in zip(b["leaf"], b["rep"], b["n"], b["vec"], b["leaves"]):
-                if row[0] != code_now:
+            for row in zip(*(b[c] for c in ("leaf", "a", "b", "block", "rep", "n", "vec", "leaves"))):
+                if row[:3] != code_now:
                     if (out := result()) is not None:
                         yield out
-                    held_rows, code_now = [], row[0]
-                held_rows.append(row[1:])
+                    held_rows, code_now = [], row[:3]
+                held_rows.append(row[3:])
         if (out := result()) is not None:
             yield out
 
-    found = written(map_columns(together.select("leaf", "rep", "n", "vec", "leaves"), compare, "rep long, links long, u long"), "links")
+    found = written(map_columns(together, compare, "rep long, links long, u long"), "links")
     parts = connected(found.select("u", F.col("rep").alias("v")), "forest").withColumnRenamed("node", "rep")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     known = (

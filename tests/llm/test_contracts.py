@@ -255,6 +255,22 @@ def test_forest_against_all_pairs(spark):
     assert forest.near_vectors(df.where("false")).count() == 0
 
 
+def test_forest_on_a_noisy_dense_group(spark):
+    rng = np.random.default_rng(15)
+    centre = rng.standard_normal(64)
+    noise = rng.standard_normal((5_000, 64)) * np.sqrt(1 / 0.975 - 1)
+    x = np.concatenate([centre + noise, rng.standard_normal((10_000, 64))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    want = near.sum(axis=1) - 1
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(8)
+    got = {r.vec_id: r for r in forest.near_vectors(df).collect()}
+    found = np.array([got[i].n_links for i in range(len(x))])
+    assert len(got) == len(x) and want[:5_000].min() > 1_024
+    assert (found[:5_000] == want[:5_000]).all() and (found <= want).all()
+    assert all(got[i].component_id == 0 and got[i].kept == (i == 0) for i in range(5_000))
+
+
 # 5: repeated bytes
 
 
