@@ -20,6 +20,9 @@ MODULES = (
     "pii",
     "chat",
     "licences",
+    "negatives",
+    "idstore",
+    "whitening",
 )
 
 for _name in MODULES:

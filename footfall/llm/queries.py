@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from footfall.llm import bpe, chat, forest, licences, neighbours, packing, pii, rules, simhash, suffixes
+from footfall.llm import (
+    bpe,
+    chat,
+    forest,
+    idstore,
+    licences,
+    negatives,
+    neighbours,
+    packing,
+    pii,
+    rules,
+    simhash,
+    suffixes,
+    whitening,
+)
 from footfall.llm.common import read
 
 
@@ -57,6 +71,19 @@ def op10_licences(spark, sf_dir):
     return licences.matched(read(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op12_id_store(spark, sf_dir):
+    return idstore.token_file_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_whitening(spark, sf_dir):
+    return whitening.whitened(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_personal_data,
     op2_quality_rules,
@@ -68,7 +95,10 @@ QUERIES = {f.__name__: f for f in (
     op8_byte_bpe,
     op9_best_fit,
     op10_licences,
+    op11_hard_negatives,
+    op12_id_store,
+    op13_whitening,
 )} | {"pipeline": corpus_pipeline.run}
-ORACLES = {"op10_licences": licences.matched_sql()}
+ORACLES = {"op10_licences": licences.matched_sql(), "op11_hard_negatives": negatives.mined_sql()}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
