@@ -9,14 +9,14 @@ shard, the offset, the number of ids before the document, and its length. A key
 is not in the store fails the fingerprint, but for one in 2**32. ``manifest.json`` is
 written last; a folder without it is no store.
 
-Spark sorts the encoded documents by range; a task streams each range into a shard.
-Order and content of a shard do not depend on the attempt, and files appear under
-their name by a rename, so lost tasks can be run again. Hot ids are no problem: equal
-ids are ordered by content, then by their row, and may spread over several shards.
+Spark sorts the documents by range; a task encodes each range and streams it into a
+shard. Order and content of a shard do not depend on the attempt, and files appear
+under their name by a rename, so lost tasks can be run again. Hot ids are no problem:
+equal ids are ordered by file and row of the input, and may spread over many shards.
 
 Defined results: a null or empty text has the closing id only; a null ``doc_id`` is a
 key like any other and comes first; rows that share an id are told apart by their
-number among them (``copy``, from 0, by content); strings of special tokens are
+number among them (``copy``, from 0, in the order of the input files); strings of special tokens are
 ordinary text; an empty table gives a store without documents; asking for a key that
 is not there gives no row.
 """
@@ -27,12 +27,16 @@ import json
 import os
 import re
 import struct
+import sys
+import types
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,7 +45,7 @@ from footfall.llm.common import map_columns, written
 from footfall.session import scratch_path
 
 END_ID = 0
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 64 << 20  # of text
 KEYS = 1_000_000  # per index bucket, on average
 ROOM = 2.0  # bits per key and level
 LEVELS = 200
@@ -52,76 +56,116 @@ SHARD_MAGIC, INDEX_MAGIC = b"IDSHARD1", b"IDINDEX1"
 SHARD_HEADER = 16
 RECORD = np.dtype([("print", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("start", "<u8"), ("n", "<u8")])
 
-# A run of letters and digits, with inner apostrophes, never shares a pre-token with
-# what surrounds it; nor does a run of marks, or of white space but for its last blank.
-_WORD = r"[^\W_]+(?:'[^\W_]+)*"
-CHUNKS = re.compile(rf"'?{_WORD}| {_WORD}| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+").findall
-# Classes of characters beyond these may differ between versions of Unicode, and four
-# controls are white space in Python only: such texts are encoded whole.
-UNSURE = re.compile("[^\x00-\x1b\x20-ԯ‐-‧€]").search
+# White space differs at four controls between Python and the tokenizer; one of them
+# serves as a separator, so texts that hold them are encoded whole.
+UNSURE = re.compile("[\x1c-\x1f]").search
 JOINED = 200
+CHARS = 16_000_000
 
 
 class ByteIds:
-    """Ids of texts by a byte-level tokenizer, as packed numbers, chunk by chunk.
+    """Ids of texts by a byte-level tokenizer, as packed numbers, word by word.
 
-    The tokenizer's pattern never crosses the chunks, so each different one is encoded
-    once while the cache, bounded in bytes, holds it.
+    A pre-token of the tokenizer's pattern never crosses a blank before a character
+    that is not white space. Texts are cut there, and only words not met before are
+    encoded. What is known is bounded in bytes.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
+
+        def load():
+            tokenizer = Tokenizer.from_file(path)
+            tokenizer.encode_special_tokens = True
+            return tokenizer
+
+        self.tokenizer = load()
+        # For words of letters only: each is one pre-token, so no pattern is needed.
+        self.plain = load()
+        self.plain.pre_tokenizer = Sequence(
+            [Split(" ", "merged_with_next"), ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         vocabulary = self.tokenizer.get_vocab()
         top = max([*vocabulary.values(), END_ID])
         self.kind = np.dtype("<u2" if top < 1 << 16 else "<u4")
         self.leads = np.zeros(top + 1, bool)
-        self.leads[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
-        self.known: dict[str, bytes] = {}
-        self.held = 0
+        self.leads[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+        self.forget()
+
+    @classmethod
+    def of_process(cls, path: str) -> "ByteIds":
+        """The coder of this worker process: what it knows outlives a task."""
+        state = vars(sys.modules.setdefault("footfall_worker", types.ModuleType("footfall_worker")))
+        coders = state.setdefault("byte_ids", {})
+        if path not in coders:
+            coders[path] = cls(path)
+        return coders[path]
+
+    def forget(self) -> None:
+        self.words, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        self.uncut = np.zeros(0, bool)
 
     def packed(self, texts: list[str | None]) -> list[bytes]:
-        split = [[t] if t and UNSURE(t) else CHUNKS(t or "") for t in texts]
-        if self.held > CACHED_BYTES:
-            self.known, self.held = {}, 0
-        self.learn(set().union(*split) - self.known.keys())
-        get = self.known.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in split]
-
-    def learn(self, chunks) -> None:
-        # Chunks that begin with a blank can be encoded in one go: the first token of
-        # each shows where it begins.
-        led, other = [], []
-        for c in chunks:
-            (led if c[0] == " " and not c.isspace() and not UNSURE(c) else other).append(c)
-        parts = [led[k : k + JOINED] for k in range(0, len(led), JOINED)]
-        for part, coded in zip(parts, self.tokenizer.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False)):
-            ids = np.array(coded.ids, self.kind)
-            at = (self.kind.itemsize * np.flatnonzero(self.leads[ids])).tolist()
-            if len(at) == len(part):
-                raw = ids.tobytes()
-                self.known.update((c, raw[a:z]) for c, a, z in zip(part, at, [*at[1:], len(raw)]))
-            else:
-                other += part
-        for c, coded in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
-            self.known[c] = np.array(coded.ids, self.kind).tobytes()
-        # A key and a value with their headers, and a place in the table.
-        self.held += sum(220 + 4 * len(c) for c in chunks)
-
-
-def encoded(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """``doc_id, ids`` (packed numbers with the closing id) of every text."""
-
-    def step(batches):
-        coder = ByteIds(tokenizer_path)
-        closing = np.array([END_ID], coder.kind).tobytes()
-        for b in batches:
-            yield {"doc_id": b["doc_id"], "ids": [ids + closing for ids in coder.packed(b["text"])]}
+        if self.words.nbytes + self.ids.nbytes > CACHED_BYTES:
+            self.forget()
+        unsure = [bool(t) and UNSURE(t) is not None for t in texts]
+        sure = pa.array(["" if u or not t else t for t, u in zip(texts, unsure)], pa.large_string())
+        # The separator is one of the unsure characters.
+        split = pc.split_pattern(pc.replace_substring(sure, " ", "\x1f "), "\x1f")
+        at = self.places(split.values)
+        cuts = np.asarray(split.offsets)
+        ids = self.ids.take(pa.array(at))
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[cuts].tolist() if len(ids) else [0] * len(cuts)
+        data = memoryview(ids.buffers()[2] or b"")
+        out = [bytes(data[a:z]) for a, z in zip(ends, ends[1:])]
+        # A blank before white space is no place to cut: these texts go whole.
+        again = set((np.searchsorted(cuts, np.flatnonzero(self.uncut[at]), side="right") - 1).tolist())
+        again = sorted(again | {i for i, u in enumerate(unsure) if u})
+        for i, ids in zip(again, self.encoded([texts[i] for i in again])):
+            out[i] = ids
+        return out
 
-    return map_columns(docs.select("doc_id", "text"), step, "doc_id long, ids binary")
+    def places(self, words) -> np.ndarray:
+        """Where the words are among the known ones; new ones are learned."""
+        at = pc.index_in(words, value_set=self.words)
+        if not at.null_count:
+            return at.to_numpy()
+        missing = words.filter(at.is_null())
+        new, before = missing.unique(), len(self.words)
+        at = at.fill_null(-1).to_numpy().copy()
+        at[at < 0] = before + pc.index_in(missing, value_set=new).to_numpy()
+        listed = new.to_pylist()
+        uncut = np.array([w[:1] == " " and (len(w) == 1 or w[1].isspace()) for w in listed], bool)
+        self.words = pa.concat_arrays([self.words, new])
+        self.ids = pa.concat_arrays([self.ids, pa.array(self.encoded(listed), pa.large_binary())])
+        self.uncut = np.concatenate([self.uncut, uncut])
+        return at
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        """Ids by the library; words after a blank go many at once."""
+        out: list[bytes] = [b""] * len(texts)
+        letters, marked, other = [], [], []
+        for k, t in enumerate(texts):
+            led = t[:1] == " " and len(t) > 1 and not t[1].isspace()
+            (other if not led else letters if t[1:].isalpha() else marked).append(k)
+        for tokenizer, some in ((self.plain, letters), (self.tokenizer, marked)):
+            parts = [some[k : k + JOINED] for k in range(0, len(some), JOINED)]
+            joined = ["".join([texts[k] for k in part]) for part in parts]
+            for part, coded in zip(parts, tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+                ids = np.array(coded.ids, self.kind)
+                # The first token of each word shows where it begins.
+                at = (self.kind.itemsize * np.flatnonzero(self.leads[ids])).tolist()
+                if len(at) == len(part):
+                    raw = ids.tobytes()
+                    for k, a, z in zip(part, at, [*at[1:], len(raw)]):
+                        out[k] = raw[a:z]
+                else:
+                    other += part
+        for k, coded in zip(other, self.tokenizer.encode_batch_fast([texts[k] for k in other], add_special_tokens=False)):
+            out[k] = np.array(coded.ids, self.kind).tobytes()
+        return out
 
 
 # --- files
@@ -274,67 +318,71 @@ def _bucket(buckets: int):
     return F.pmod(F.xxhash64("doc_id", "copy"), F.lit(buckets)).cast("int")
 
 
+def in_files(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, file, row``: rows with their fixed place in the files they come from."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    try:
+        return docs.select("doc_id", "text", *place)
+    except AnalysisException:  # not a plain scan
+        return written(docs.select("doc_id", "text"), "documents").select("doc_id", "text", *place)
+
+
+def _larger(batches):
+    """Batches put together to about ``CHARS`` characters, so that words repeat in them."""
+    held, size = None, 0
+    for b in batches:
+        size += sum(len(t) for t in b["text"] if t)
+        held = b if held is None else {k: held[k] + b[k] for k in b}
+        if size >= CHARS:
+            yield held
+            held, size = None, 0
+    if held:
+        yield held
+
+
 def write_store(docs: DataFrame, tokenizer_path: str, folder: str, shard_bytes: int = SHARD_BYTES, keys: int = KEYS) -> DataFrame:
     """Encode ``docs``, write the store, and return its keys ``doc_id, copy``."""
     spark = docs.sparkSession
-    kind = ByteIds(tokenizer_path).kind
-    width = kind.itemsize
-    whole = written(encoded(docs, tokenizer_path), "ids")
-    rows, held = whole.select(F.count("*"), F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()
+    width = ByteIds(tokenizer_path).kind.itemsize
+    source = in_files(docs)
+    rows, held = source.select(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     shards = max(spark.sparkContext.defaultParallelism, -(-held // shard_bytes))
-    # Rows that are alike in id and text still differ in where they were written.
-    order = ["doc_id", "content", "file", "row"]
-    ordered = (
-        whole.select(
-            "doc_id",
-            "ids",
-            F.xxhash64("ids").alias("content"),
-            F.col("_metadata.file_name").alias("file"),
-            F.col("_metadata.row_index").alias("row"),
-        )
-        .repartitionByRange(shards, *order)
-        .sortWithinPartitions(*order)
-        .select("doc_id", "ids")
-    )
+    order = ["doc_id", "file", "row"]
+    ordered = source.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def stream(batches):
-        shard, out, at, last, first = TaskContext.get().partitionId(), None, SHARD_HEADER, None, None
-        copy = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        shard, out, at, last, first, copy = TaskContext.get().partitionId(), None, SHARD_HEADER, None, None, 0
+        coder = ByteIds.of_process(tokenizer_path)
+        closing = np.array([END_ID], coder.kind).tobytes()
+        for b in _larger(batches):
             if out is None:
                 out = _NewFile(folder, f"shard-{shard:08d}.ids")
                 out.write(SHARD_MAGIC + struct.pack("<Q", width))
-                first = (batch.column("doc_id")[0].as_py(),)
-            ids = batch.column("ids").cast(pa.large_binary())
-            ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
-            out.write(ids.buffers()[2][int(ends[0]) : int(ends[-1])])
-            sizes = np.diff(ends)
+                first = (b["doc_id"][0],)
+            ids = coder.packed(b["text"])
+            out.write(b"".join([part for x in ids for part in (x, closing)]))
             copies, leads = [], []
-            for doc in batch.column("doc_id").to_pylist():
+            for doc in b["doc_id"]:
                 copy = copy + 1 if last == (doc,) else 0
                 last = (doc,)
                 copies.append(copy)
                 leads.append(last == first)
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) + width
             offsets = at + np.cumsum(sizes) - sizes
             at += int(sizes.sum())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(np.full(len(ids), shard, np.int32)),
-                    pa.array(offsets),
-                    pa.array(sizes // width),
-                    pa.array(copies, pa.int64()),
-                    pa.array(leads),
-                ],
-                names=["doc_id", "shard", "offset", "n", "copy", "lead"],
-            )
+            yield {
+                "doc_id": b["doc_id"],
+                "shard": np.full(len(ids), shard, np.int32),
+                "offset": offsets,
+                "n": sizes // width,
+                "copy": copies,
+                "lead": leads,
+            }
         if out is not None:
             out.close()
 
     placed = written(
-        ordered.mapInArrow(stream, "doc_id long, shard int, offset long, n long, copy long, lead boolean"), "placed"
+        map_columns(ordered, stream, "doc_id long, shard int, offset long, n long, copy long, lead boolean"), "placed"
     )
     # One row per shard from here on, until they are joined back.
     earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)

@@ -111,7 +111,7 @@ def plain_ids(texts):
     return [[*t.encode(x or "", add_special_tokens=False).ids, 0] for x in texts]
 
 
-def test_chunked_ids_equal_whole_ids():
+def test_ids_of_words_equal_whole_ids(monkeypatch):
     rng = np.random.default_rng(3)
     signs = list("aZ09 '’_.,!-\n\t\r  ") + ["'s", "'ll", "é", "Ж", "ß", "́", "½", "ª", " ", "\x85", " ", "–", "語", "\x1f", "　"]
     texts = TEXTS + ["".join(rng.choice(signs, rng.integers(1, 30))) for _ in range(4000)]
@@ -119,7 +119,7 @@ def test_chunked_ids_equal_whole_ids():
     coder = idstore.ByteIds(TOKENIZER)
     got = [np.frombuffer(x, coder.kind).tolist() for x in coder.packed(texts)]
     assert got == [ids[:-1] for ids in plain_ids(texts)]
-    coder.held = idstore.CACHED_BYTES + 1
+    monkeypatch.setattr(idstore, "CACHED_BYTES", 10)  # forgets before every batch
     assert [np.frombuffer(x, coder.kind).tolist() for x in coder.packed(texts[:20])] == got[:20]
 
 
