@@ -23,6 +23,7 @@ is not there gives no row.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -50,7 +51,7 @@ KEYS = 1_000_000  # per index bucket, on average
 ROOM = 2.0  # bits per key and level
 LEVELS = 200
 OUT_BYTES = 8 << 20
-CACHED_BYTES = 64 << 20
+CACHED_BYTES = 48 << 20
 
 SHARD_MAGIC, INDEX_MAGIC = b"IDSHARD1", b"IDINDEX1"
 SHARD_HEADER = 16
@@ -60,7 +61,8 @@ RECORD = np.dtype([("print", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("star
 # serves as a separator, so texts that hold them are encoded whole.
 UNSURE = re.compile("[\x1c-\x1f]").search
 JOINED = 200
-CHARS = 16_000_000
+CHARS = 8_000_000
+ENCODED_CHARS = 200_000
 
 
 class ByteIds:
@@ -152,9 +154,8 @@ class ByteIds:
             (other if not led else letters if t[1:].isalpha() else marked).append(k)
         for tokenizer, some in ((self.plain, letters), (self.tokenizer, marked)):
             parts = [some[k : k + JOINED] for k in range(0, len(some), JOINED)]
-            joined = ["".join([texts[k] for k in part]) for part in parts]
-            for part, coded in zip(parts, tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
-                ids = np.array(coded.ids, self.kind)
+            joined = ("".join([texts[k] for k in part]) for part in parts)
+            for part, ids in zip(parts, self.numbers(tokenizer, joined)):
                 # The first token of each word shows where it begins.
                 at = (self.kind.itemsize * np.flatnonzero(self.leads[ids])).tolist()
                 if len(at) == len(part):
@@ -163,10 +164,22 @@ class ByteIds:
                         out[k] = raw[a:z]
                 else:
                     other += part
-        for k, coded in zip(other, self.tokenizer.encode_batch_fast([texts[k] for k in other], add_special_tokens=False)):
-            out[k] = np.array(coded.ids, self.kind).tobytes()
+        for k, ids in zip(other, self.numbers(self.tokenizer, (texts[k] for k in other))):
+            out[k] = ids.tobytes()
         return out
 
+    def numbers(self, tokenizer, texts):
+        """Ids of each text; few at a time, since the library's results are large."""
+        held, size = [], 0
+        for t in itertools.chain(texts, [None]):
+            if held and (t is None or size + len(t) > ENCODED_CHARS):
+                for coded in tokenizer.encode_batch_fast(held, add_special_tokens=False):
+                    yield np.array(coded.ids, self.kind)
+                held, size = [], 0
+            if t is not None:
+                held.append(t)
+                size += len(t)
+
 
 # --- files
 
