@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from footfall.llm.common import map_columns, written
+from footfall.llm.common import written
 from footfall.session import scratch_path
 
 END_ID = 0
@@ -59,9 +59,9 @@ RECORD = np.dtype([("print", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("star
 
 # White space differs at four controls between Python and the tokenizer; one of them
 # serves as a separator, so texts that hold them are encoded whole.
-UNSURE = re.compile("[\x1c-\x1f]").search
+UNSURE = "[\x1c-\x1f]"
 JOINED = 200
-CHARS = 8_000_000
+BATCH_BYTES = 8 << 20
 ENCODED_CHARS = 200_000
 
 
@@ -109,11 +109,13 @@ class ByteIds:
         self.words, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
         self.uncut = np.zeros(0, bool)
 
-    def packed(self, texts: list[str | None]) -> list[bytes]:
+    def packed(self, texts: pa.Array) -> list[bytes]:
+        """Packed ids of every text (large strings; a null is an empty text)."""
         if self.words.nbytes + self.ids.nbytes > CACHED_BYTES:
             self.forget()
-        unsure = [bool(t) and UNSURE(t) is not None for t in texts]
-        sure = pa.array(["" if u or not t else t for t, u in zip(texts, unsure)], pa.large_string())
+        texts = texts.fill_null("")
+        unsure = pc.match_substring_regex(texts, UNSURE)
+        sure = pc.if_else(unsure, "", texts) if pc.any(unsure).as_py() else texts
         # The separator is one of the unsure characters.
         split = pc.split_pattern(pc.replace_substring(sure, " ", "\x1f "), "\x1f")
         at = self.places(split.values)
@@ -124,8 +126,8 @@ class ByteIds:
         out = [bytes(data[a:z]) for a, z in zip(ends, ends[1:])]
         # A blank before white space is no place to cut: these texts go whole.
         again = set((np.searchsorted(cuts, np.flatnonzero(self.uncut[at]), side="right") - 1).tolist())
-        again = sorted(again | {i for i, u in enumerate(unsure) if u})
-        for i, ids in zip(again, self.encoded([texts[i] for i in again])):
+        again = sorted(again | set(np.flatnonzero(unsure.to_numpy(zero_copy_only=False)).tolist()))
+        for i, ids in zip(again, self.encoded(texts.take(pa.array(again, pa.int64())).to_pylist())):
             out[i] = ids
         return out
 
@@ -340,17 +342,15 @@ def in_files(docs: DataFrame) -> DataFrame:
         return written(docs.select("doc_id", "text"), "documents").select("doc_id", "text", *place)
 
 
-def _larger(batches):
-    """Batches put together to about ``CHARS`` characters, so that words repeat in them."""
-    held, size = None, 0
-    for b in batches:
-        size += sum(len(t) for t in b["text"] if t)
-        held = b if held is None else {k: held[k] + b[k] for k in b}
-        if size >= CHARS:
-            yield held
-            held, size = None, 0
-    if held:
-        yield held
+def _lots(batch: pa.RecordBatch):
+    """Ids and texts of a batch, of about ``BATCH_BYTES`` of text at a time."""
+    docs, texts = batch.column("doc_id"), batch.column("text").cast(pa.large_string())
+    size = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).cumsum()
+    a = 0
+    while a < len(texts):
+        z = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + BATCH_BYTES, side="right")))
+        yield docs.slice(a, z - a), texts.slice(a, z - a)
+        a = z
 
 
 def write_store(docs: DataFrame, tokenizer_path: str, folder: str, shard_bytes: int = SHARD_BYTES, keys: int = KEYS) -> DataFrame:
@@ -367,15 +367,16 @@ def write_store(docs: DataFrame, tokenizer_path: str, folder: str, shard_bytes:
         shard, out, at, last, first, copy = TaskContext.get().partitionId(), None, SHARD_HEADER, None, None, 0
         coder = ByteIds.of_process(tokenizer_path)
         closing = np.array([END_ID], coder.kind).tobytes()
-        for b in _larger(batches):
+        for docs, texts in itertools.chain.from_iterable(map(_lots, batches)):
             if out is None:
                 out = _NewFile(folder, f"shard-{shard:08d}.ids")
                 out.write(SHARD_MAGIC + struct.pack("<Q", width))
-                first = (b["doc_id"][0],)
-            ids = coder.packed(b["text"])
-            out.write(b"".join([part for x in ids for part in (x, closing)]))
+                first = (docs[0].as_py(),)
+            ids = coder.packed(texts)
+            for x in ids:
+                out.write(x + closing)
             copies, leads = [], []
-            for doc in b["doc_id"]:
+            for doc in docs.to_pylist():
                 copy = copy + 1 if last == (doc,) else 0
                 last = (doc,)
                 copies.append(copy)
@@ -383,19 +384,16 @@ def write_store(docs: DataFrame, tokenizer_path: str, folder: str, shard_bytes:
             sizes = np.fromiter(map(len, ids), np.int64, len(ids)) + width
             offsets = at + np.cumsum(sizes) - sizes
             at += int(sizes.sum())
-            yield {
-                "doc_id": b["doc_id"],
-                "shard": np.full(len(ids), shard, np.int32),
-                "offset": offsets,
-                "n": sizes // width,
-                "copy": copies,
-                "lead": leads,
-            }
+            columns = [docs, np.full(len(ids), shard, np.int32), offsets, sizes // width, copies, leads]
+            yield pa.RecordBatch.from_arrays(
+                [c if isinstance(c, pa.Array) else pa.array(c) for c in columns],
+                names=["doc_id", "shard", "offset", "n", "copy", "lead"],
+            )
         if out is not None:
             out.close()
 
     placed = written(
-        map_columns(ordered, stream, "doc_id long, shard int, offset long, n long, copy long, lead boolean"), "placed"
+        ordered.mapInArrow(stream, "doc_id long, shard int, offset long, n long, copy long, lead boolean"), "placed"
     )
     # One row per shard from here on, until they are joined back.
     earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import SF_SMALL
 from pyspark.sql import functions as F
@@ -117,10 +118,10 @@ def test_ids_of_words_equal_whole_ids(monkeypatch):
     texts = TEXTS + ["".join(rng.choice(signs, rng.integers(1, 30))) for _ in range(4000)]
     texts += ["a" + chr(c) + "b 's " + chr(c) + "'t " + chr(c) * 2 for c in range(1, 0x600)]
     coder = idstore.ByteIds(TOKENIZER)
-    got = [np.frombuffer(x, coder.kind).tolist() for x in coder.packed(texts)]
+    got = [np.frombuffer(x, coder.kind).tolist() for x in coder.packed(pa.array(texts, pa.large_string()))]
     assert got == [ids[:-1] for ids in plain_ids(texts)]
     monkeypatch.setattr(idstore, "CACHED_BYTES", 10)  # forgets before every batch
-    assert [np.frombuffer(x, coder.kind).tolist() for x in coder.packed(texts[:20])] == got[:20]
+    assert [np.frombuffer(x, coder.kind).tolist() for x in coder.packed(pa.array(texts[:20], pa.large_string()))] == got[:20]
 
 
 def documents(spark, rows):
