@@ -390,9 +390,15 @@ def repeats(found: DataFrame, docs: DataFrame, length: int, gram: int) -> DataFr
     exchanged = runs.repartition(buckets, "bucket").sortWithinPartitions("bucket", "run", "place")
     reach = written(map_columns(exchanged, merge, "gram long, whole long, left long, right long"), "reach")
     at = F.shiftright("place", 20)
-    return kept.join(reach, ["gram", "whole"]).select(
-        "id", "code", (at - F.col("left")).alias("start"), (at + F.col("right")).alias("stop")
+    # ``reach`` has one row per suffix, so there are as many spans as anchors; those of
+    # anchors in no repeat are empty.
+    spans = kept.join(reach, ["gram", "whole"], "left").select(
+        "id",
+        "code",
+        (at - F.coalesce("left", F.lit(0))).alias("start"),
+        (at + F.coalesce("right", F.lit(0))).alias("stop"),
     )
+    return spans.where("stop > start")
 
 
 def _task() -> int:

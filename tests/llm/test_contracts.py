@@ -316,7 +316,19 @@ def test_repeats_with_overlaps(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "RUN_BYTES", 4_000)
     monkeypatch.setattr(suffixes, "BLOCK_BYTES", 500)
     monkeypatch.setattr(suffixes, "PAIRWISE", 3)
+    monkeypatch.setattr(suffixes, "BUCKET_BYTES", 3_000)
+    kept, write = {}, suffixes.written
+
+    def remembered(table, label):
+        kept[label] = write(table, label)
+        return kept[label]
+
+    monkeypatch.setattr(suffixes, "written", remembered)
     check_repeats(df, 40, 8)
+    # Many buckets, and one row per suffix: the join back cannot multiply anchors.
+    assert kept["anchors-kept"].count() * 53 > 10 * suffixes.BUCKET_BYTES
+    reach = kept["reach"].groupBy("gram", "whole").count()
+    assert reach.count() > 50 and reach.where("count > 1").count() == 0
 
 
 def test_loser_tree_merges_without_losing_prefixes():

@@ -209,7 +209,7 @@ def test_pipeline_against_plain_computations(spark):
     texts = [r.text.encode() for r in before]
     want = {
         r.doc_id: bytes(b for b, g in zip(t, gone.tolist()) if not g).decode(errors="ignore")
-        for r, t, gone in zip(before, texts, plain_repeats(texts, 400))
+        for r, t, gone in zip(before, texts, plain_repeats(texts, corpus_pipeline.PASSAGE_BYTES))
     }
     got = rows(third)
     assert {k: r.text for k, r in got.items()} == want
