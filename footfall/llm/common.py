@@ -9,7 +9,9 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +67,47 @@ def map_columns(df: DataFrame, step: Callable[[Iterator[dict]], Iterator[dict]],
     return df.mapInArrow(run, kind)
 
 
+class Remembered:
+    """Words met so far and what they became, in Arrow arrays bounded in bytes.
+
+    Looking a batch's words up is one call; only words not met before reach Python.
+    """
+
+    def __init__(self, most_bytes: int):
+        self.most_bytes = most_bytes
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.values = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+
+    def trim(self) -> bool:
+        """Start anew if the bound is passed; only between batches."""
+        over = self.words.nbytes + self.values.nbytes > self.most_bytes
+        if over:
+            self.forget()
+        return over
+
+    def places(self, words: pa.Array, learn: Callable[[list[str]], list[bytes]]) -> np.ndarray:
+        """Where the words are among the known ones; ``learn`` gives the value of new ones."""
+        at = pc.index_in(words, value_set=self.words)
+        if not at.null_count:
+            return at.to_numpy()
+        missing = words.filter(at.is_null())
+        new, before = missing.unique(), len(self.words)
+        at = at.fill_null(-1).to_numpy().copy()
+        at[at < 0] = before + pc.index_in(missing, value_set=new).to_numpy()
+        self.words = pa.concat_arrays([self.words, new])
+        self.values = pa.concat_arrays([self.values, pa.array(learn(new.to_pylist()), pa.large_binary())])
+        return at
+
+    def joined(self, at: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+        """The values at ``at``, put together between the cuts."""
+        values = self.values.take(pa.array(at))
+        ends = np.frombuffer(values.buffers()[1], np.int64)[cuts].tolist() if len(values) else [0] * len(cuts)
+        data = memoryview(values.buffers()[2] or b"")
+        return [bytes(data[a:z]) for a, z in zip(ends, ends[1:])]
+
+
 def held_out(doc_id: str = "doc_id"):
     """The fixed fold: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from footfall.llm.common import written
+from footfall.llm.common import Remembered, written
 from footfall.session import scratch_path
 
 END_ID = 0
@@ -94,7 +94,8 @@ class ByteIds:
         self.kind = np.dtype("<u2" if top < 1 << 16 else "<u4")
         self.leads = np.zeros(top + 1, bool)
         self.leads[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
-        self.forget()
+        self.known = Remembered(CACHED_BYTES)
+        self.uncut = np.zeros(0, bool)
 
     @classmethod
     def of_process(cls, path: str) -> "ByteIds":
@@ -105,25 +106,20 @@ class ByteIds:
             coders[path] = cls(path)
         return coders[path]
 
-    def forget(self) -> None:
-        self.words, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
-        self.uncut = np.zeros(0, bool)
-
     def packed(self, texts: pa.Array) -> list[bytes]:
         """Packed ids of every text (large strings; a null is an empty text)."""
-        if self.words.nbytes + self.ids.nbytes > CACHED_BYTES:
-            self.forget()
+        if self.known.trim():
+            self.uncut = np.zeros(0, bool)
         texts = texts.fill_null("")
         unsure = pc.match_substring_regex(texts, UNSURE)
         sure = pc.if_else(unsure, "", texts) if pc.any(unsure).as_py() else texts
         # The separator is one of the unsure characters.
         split = pc.split_pattern(pc.replace_substring(sure, " ", "\x1f "), "\x1f")
-        at = self.places(split.values)
+        at = self.known.places(split.values, self.encoded)
         cuts = np.asarray(split.offsets)
-        ids = self.ids.take(pa.array(at))
-        ends = np.frombuffer(ids.buffers()[1], np.int64)[cuts].tolist() if len(ids) else [0] * len(cuts)
-        data = memoryview(ids.buffers()[2] or b"")
-        out = [bytes(data[a:z]) for a, z in zip(ends, ends[1:])]
+        out = self.known.joined(at, cuts)
+        fresh = self.known.words.slice(len(self.uncut)).to_pylist()
+        self.uncut = np.append(self.uncut, [w[:1] == " " and (len(w) == 1 or w[1].isspace()) for w in fresh]).astype(bool)
         # A blank before white space is no place to cut: these texts go whole.
         again = set((np.searchsorted(cuts, np.flatnonzero(self.uncut[at]), side="right") - 1).tolist())
         again = sorted(again | set(np.flatnonzero(unsure.to_numpy(zero_copy_only=False)).tolist()))
@@ -131,22 +127,6 @@ class ByteIds:
             out[i] = ids
         return out
 
-    def places(self, words) -> np.ndarray:
-        """Where the words are among the known ones; new ones are learned."""
-        at = pc.index_in(words, value_set=self.words)
-        if not at.null_count:
-            return at.to_numpy()
-        missing = words.filter(at.is_null())
-        new, before = missing.unique(), len(self.words)
-        at = at.fill_null(-1).to_numpy().copy()
-        at[at < 0] = before + pc.index_in(missing, value_set=new).to_numpy()
-        listed = new.to_pylist()
-        uncut = np.array([w[:1] == " " and (len(w) == 1 or w[1].isspace()) for w in listed], bool)
-        self.words = pa.concat_arrays([self.words, new])
-        self.ids = pa.concat_arrays([self.ids, pa.array(self.encoded(listed), pa.large_binary())])
-        self.uncut = np.concatenate([self.uncut, uncut])
-        return at
-
     def encoded(self, texts: list[str]) -> list[bytes]:
         """Ids by the library; words after a blank go many at once."""
         out: list[bytes] = [b""] * len(texts)

@@ -22,6 +22,7 @@ from __future__ import annotations
 import operator
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -154,10 +155,11 @@ def kept_good(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, vo
     found = _voters(docs, labels, per_class)
     if found is None:
         return docs
-    held = docs.sparkSession.sparkContext.broadcast(found)
+    # Pickled by value, so that executors need no copy of this package.
+    held = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(found))
 
     def step(batches):
-        model, known, marks, rate = held.value
+        model, known, marks, rate = cloudpickle.loads(held.value)
         for b in batches:
             score = votes(model.vectors(np.array([term_shares(t) for t in b["text"]])), known, marks, rate, voters)
             on = np.flatnonzero(score >= THRESHOLD).tolist()
@@ -173,10 +175,11 @@ def scored(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, voter
         return docs.select(
             "doc_id", held_out().alias("held_out"), F.lit(0.5).alias("score"), F.lit(0).alias("predicted")
         )
-    held = docs.sparkSession.sparkContext.broadcast(found)
+    # Pickled by value, so that executors need no copy of this package.
+    held = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(found))
 
     def step(batches):
-        model, known, marks, rate = held.value
+        model, known, marks, rate = cloudpickle.loads(held.value)
         for b in batches:
             found = votes(model.vectors(np.array([term_shares(t) for t in b["text"]])), known, marks, rate, voters)
             yield {

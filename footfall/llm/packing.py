@@ -21,20 +21,24 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+import types
 import zlib
 from unicodedata import is_normalized
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.common import map_columns, written
+from footfall.llm.common import Remembered, map_columns, written
 
 GROUP = 8_192
 CLOSING_ID = 1
 LENGTH = 4_096
-CACHED = 700_000
+CACHED_BYTES = 64 << 20
 STEMS = 200
 # A point or comma beside another mark may be one token with it.
 MARKS = re.compile(r"[.,](?:(?=[^\w\s]|_)|(?<=[^\w\s].)|(?<=_.))").search
@@ -73,52 +77,71 @@ class WordIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         if mark:
             self.ends[[i for t, i in vocabulary.items() if t.endswith(mark)]] = True
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered(CACHED_BYTES)
+
+    @classmethod
+    def of_process(cls, path: str) -> "WordIds":
+        """The coder of this worker process: what it knows outlives a task."""
+        state = vars(sys.modules.setdefault("footfall_worker", types.ModuleType("footfall_worker")))
+        coders = state.setdefault("word_ids", {})
+        if path not in coders:
+            coders[path] = cls(path)
+        return coders[path]
 
     @staticmethod
-    def words(text: str) -> list[str]:
+    def spaced(text: str) -> str:
+        """The text with its words apart, in lower case where that can be settled at once."""
         # Python also splits at these four; they are no white space to a tokenizer.
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return [w.decode() for w in text.encode().split()]
+            return "\x1f" + text
         if MARKS(text) or "\u03a3" in text or "\u0130" in text or not is_normalized("NFC", text):
-            return text.split()
+            return text
         # Case is folded letter by letter and a lone mark is a token of its own, so
         # both can be settled for the whole text: far fewer words differ.
-        return text.lower().replace(",", " ,").replace(".", " .").split()
+        return text.lower().replace(",", " ,").replace(".", " .")
 
     def packed(self, texts: list[str | None]) -> list[bytes]:
-        split = [self.words(t) if t else [] for t in texts]
-        words = set().union(*split)
-        if len(self.known) > CACHED:
-            self.known.clear()
-        self.learn(words - self.known.keys())
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
-
-    def learn(self, words) -> None:
-        known, stemmed, other = self.known, [], []
+        self.known.trim()
+        ready = [self.spaced(t) if t else "" for t in texts]
+        # A lead of \x1f marks the rare texts that are split here, at the other white space.
+        odd = [i for i, t in enumerate(ready) if t[:1] == "\x1f"]
+        plain = pa.array(["" if t[:1] == "\x1f" else t for t in ready], pa.large_string())
+        split = pc.utf8_split_whitespace(plain)
+        out = self.known.joined(self.known.places(split.values, self.learn), np.asarray(split.offsets))
+        for i in odd:
+            words = [w.decode() for w in texts[i].encode().split()]
+            out[i] = b"".join(self.learn(words))
+        return out
+
+    def learn(self, words: list[str]) -> list[bytes]:
+        known, stemmed, other = {"": b""}, [], []
         for w in words:
-            mark = w[-1] if w[-1] in ",." else ""
+            mark = w[-1] if w and w[-1] in ",." else ""
             stem = w[:-1] if mark else w
             low = stem.lower()
             if low.isalpha() and (stem.isascii() or "\u03a3" not in stem and is_normalized("NFC", stem)):
                 stemmed.append((w, low, mark))
-            else:
+            elif w:
                 other.append(w)
-        stems = list({low for _, low, _ in stemmed} - known.keys())
+        stems = list({low for _, low, _ in stemmed})
         parts = [stems[k : k + STEMS] for k in range(0, len(stems), STEMS)]
-        for part, coded in zip(parts, self.plain.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
-            ids = np.array(coded.ids, "<u4")
-            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(cuts) == len(part):
-                raw = ids.tobytes()
-                known.update((x, raw[a:z]) for x, a, z in zip(part, [0, *cuts], cuts))
-            else:
-                other += part
-        other += [m for m in ",." if m not in known]
-        coded = self.tokenizer.encode_batch_fast(other, add_special_tokens=False)
-        known.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(other, coded))
+        # Few at a time, since the library's results are large.
+        for at in range(0, len(parts), 50):
+            some = parts[at : at + 50]
+            for part, coded in zip(some, self.plain.encode_batch_fast([" ".join(p) for p in some], add_special_tokens=False)):
+                ids = np.array(coded.ids, "<u4")
+                cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+                if len(cuts) == len(part):
+                    raw = ids.tobytes()
+                    known.update((x, raw[a:z]) for x, a, z in zip(part, [0, *cuts], cuts))
+                else:
+                    other += part
+        other += list(",.")
+        for at in range(0, len(other), 5_000):
+            coded = self.tokenizer.encode_batch_fast(other[at : at + 5_000], add_special_tokens=False)
+            known.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(other[at : at + 5_000], coded))
         known.update((w, known[low] + known[mark] if mark else known[low]) for w, low, mark in stemmed if w != low)
+        return [known[w] for w in words]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFrame:
@@ -126,7 +149,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) ->
     closing = np.array([CLOSING_ID], "<u4").tobytes()
 
     def step(batches):
-        words = WordIds(tokenizer_path)
+        words = WordIds.of_process(tokenizer_path)
         for b in batches:
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
             for doc, ids in zip(b["doc_id"], words.packed(b["text"])):
