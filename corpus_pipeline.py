@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from footfall.llm import neighbours, packing, pii, simhash, suffixes
 from footfall.llm.common import read, written
 
+# Passages of over 50 words repeat in full: 51 words and their blanks have this many
+# bytes at least in most of what is written, so shorter repeats are left alone.
+PASSAGE_BYTES = 240
+
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -49,12 +53,12 @@ def near_unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut out every byte of long passages that occur more than once.
+    """Cut out every byte of passages of ``PASSAGE_BYTES`` that occur more than once.
 
     A cut may fall inside a character; what is left of one is dropped.
     """
     carried = ("lang", "source")
-    found = suffixes.deduplicated(docs, carry=carried, as_text=True)
+    found = suffixes.deduplicated(docs, length=PASSAGE_BYTES, carry=carried, as_text=True)
     return found.select(
         "doc_id",
         "text",
