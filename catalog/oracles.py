@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 DAY_US = 86_400_000_000
 NAMES = ("click", "error", "purchase", "signup", "view")
 
@@ -887,3 +889,123 @@ ORACLES |= {
         "log",
     ),
 }
+
+HOLEY_LABELS = f"""
+    SELECT id, CASE WHEN bool_or(coalesce(event_name = 'purchase', false)) THEN 'success'
+                    WHEN ((SELECT max(us) FROM holey) - max(us)) // {DAY_US} >= 7 THEN 'failure' ELSE 'incomplete' END AS final_outcome
+    FROM holey GROUP BY id"""
+HOLEY_STAGED = """
+    SELECT h.event_id, h.id, h.us, d.stage, o.final_outcome
+    FROM holey h JOIN outcome o ON o.id IS NOT DISTINCT FROM h.id LEFT JOIN defs d ON d.event_name = h.event_name"""
+
+FIRST_BAR = int(math.exp(-1.0) * 4294967296)
+
+
+def _free_terms() -> dict[str, str]:
+    """Columns of the additive design without penalty, as SQL over ``e`` (day since 1970) and ``t``."""
+    terms = {"_one": "1.0", "_t": "t"}
+    for name, period, order in (("yearly", 365.25, 10), ("weekly", 7.0, 3)):
+        for n in range(1, order + 1):
+            terms[f"_{name}_s{n}"] = f"sin(e * {2 * math.pi * n / period!r})"
+            terms[f"_{name}_c{n}"] = f"cos(e * {2 * math.pi * n / period!r})"
+    return terms
+
+
+TRAIN_DAYS = """
+    SELECT CAST(ds AS DATE) AS ds, y, date_diff('day', DATE '1970-01-01', CAST(ds AS DATE)) AS e FROM warm
+    WHERE isodow(CAST(ds AS DATE)) < 6"""
+SPAN = "SELECT min(ds) AS first, max(ds) AS last, date_diff('day', min(ds), max(ds))::DOUBLE AS days FROM train"
+POISSON_TERMS = {
+    "intercept": "1.0",
+    "trend_month": "trend",
+    **{f"{f}_{n}": f"{f}({k} * angle)" for n, k in (("annual", 1), ("semiannual", 2)) for f in ("sin", "cos")},
+}
+GROWN = """
+    SELECT {key} AS ds, count(*) AS n, count(*) FILTER (l_returnflag <> 'R') AS y,
+           sum(CAST(l_quantity AS DECIMAL(18,2)))::DOUBLE AS quantity, round(max(l_extendedprice), 6) AS dearest, min(l_orderkey) AS first_order
+    FROM lineitem WHERE {where} GROUP BY 1"""
+
+ORACLES |= {
+    "timeline_with_null_keys": sql(
+        """SELECT event_id, count(*) OVER w AS n_events, count(DISTINCT event_name) OVER w AS n_unique_events,
+                  count(*) FILTER (event_name = 'click') OVER w AS n_click
+           FROM holey WINDOW w AS (PARTITION BY id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+        "hour_log",
+        holey=HOLEY,
+    ),
+    "stages_with_null_keys": sql(
+        """SELECT final_outcome, stage, count(*) AS n, 'events' AS report FROM staged GROUP BY 1, 2
+           UNION ALL SELECT final_outcome, stage, count(*), 'last stage' FROM (
+               SELECT * FROM staged QUALIFY row_number() OVER (PARTITION BY id ORDER BY us DESC, event_id DESC) = 1) GROUP BY 1, 2
+           UNION ALL SELECT final_outcome, 'Discover', count(DISTINCT coalesce(id, '-')), 'journeys' FROM staged GROUP BY 1""",
+        "hour_log",
+        "defs",
+        holey=HOLEY,
+        outcome=HOLEY_LABELS,
+        staged=HOLEY_STAGED,
+    ),
+    "snapshots_with_null_keys": sql(
+        """SELECT h.event_id FROM holey h JOIN (SELECT id, (min(us) + max(us)) // 2 AS cut FROM holey GROUP BY id) c
+             ON c.id IS NOT DISTINCT FROM h.id WHERE h.us <= c.cut""",
+        "hour_log",
+        holey=HOLEY,
+    ),
+    "staged_by_code": sql(
+        """SELECT event_id, CASE event_name WHEN 'click' THEN 2 WHEN 'error' THEN 99 WHEN 'purchase' THEN 28 WHEN 'signup' THEN 12 ELSE 4 END::BIGINT AS ed_id,
+                  milestone_number, stage FROM log LEFT JOIN defs USING (event_name)""",
+        "log",
+        "defs",
+    ),
+    "oob_votes": f"""
+        SELECT id, label, CAST(count(tree) AS BIGINT) AS n_voters, coalesce(string_agg(tree, ',' ORDER BY tree), '') AS voters,
+               CAST(count(tree) > 0 AS BIGINT) AS has_vote, 1::BIGINT AS in_range
+        FROM (SELECT id, label FROM ({ORACLES["training_table"]})) rows_
+        LEFT JOIN range(25) trees(tree) ON {hashed("id || '_' || tree || '_42'")} < {FIRST_BAR}
+        GROUP BY 1, 2""",
+    "sparse_trend_equations": sql(
+        " UNION ALL ".join(
+            [f"SELECT '{n}' AS term, count(*) AS n, round(sum(y * {x}), 3) AS of_fit, 0.0::DOUBLE AS violation FROM timed" for n, x in _free_terms().items()]
+            + ["SELECT '_h' || i, (SELECT count(*) FROM timed), NULL::DOUBLE, 0.0::DOUBLE FROM range(25) hinges(i)"]
+        ),
+        "warm",
+        train=TRAIN_DAYS,
+        span=SPAN,
+        timed="SELECT y, e, date_diff('day', first, ds) / days AS t FROM train, span",
+    ),
+    "simulated_trend": sql(
+        """SELECT CAST(ds AS VARCHAR) AS ds, round(quantile_cont(v, 0.1), 6) AS lower, round(quantile_cont(v, 0.9), 6) AS upper FROM (
+             SELECT ds, t * sum(size) OVER w - sum(size * t) OVER w + noise AS v FROM drawn
+             WINDOW w AS (PARTITION BY path ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) GROUP BY 1""",
+        "warm",
+        train=TRAIN_DAYS,
+        span=SPAN,
+        ahead="""SELECT CAST(d AS DATE) AS ds, date_diff('day', first, CAST(d AS DATE)) / days AS t, 1.0 AS last_t
+                 FROM span, generate_series(last + INTERVAL 1 DAY, TIMESTAMP '2002-12-01', INTERVAL 1 DAY) s(d)""",
+        steps="SELECT ds, t, (t - coalesce(lag(t) OVER (ORDER BY t), last_t)) * 25 AS chance FROM ahead",
+        hashes=f"""SELECT ds, t, chance, path, {hashed("path || '_' || ds || '_148_1'")} / 4294967296.0 AS u,
+                   {hashed("path || '_' || ds || '_148_2'")} / 4294967296.0 - 0.5 AS side,
+                   ({hashed("path || '_' || ds || '_149_1'")} + 1) / 4294967296.0 AS n1, {hashed("path || '_' || ds || '_149_2'")} / 4294967296.0 AS n2
+                   FROM steps, range(200) paths(path)""",
+        drawn="""SELECT ds, t, path, sqrt(-2 * ln(n1)) * cos(2 * pi() * n2) * 2.0 AS noise,
+                 CASE WHEN u < chance THEN -sign(side) * ln(greatest(1 - 2 * abs(side), 1e-12)) * 2.0 ELSE 0.0 END AS size FROM hashes""",
+    ),
+    "saturating_checks": sql(
+        """SELECT n_dates, n_dates AS n_inside, n_months, 0.0::DOUBLE AS largest_score FROM (
+             SELECT count(*) AS n_months, count(*) + date_diff('month', max(ds), DATE '2003-10-01') AS n_dates FROM months)""",
+        "daily",
+        months="""SELECT DISTINCT CAST(date_trunc('month', CAST(ds AS DATE)) AS DATE) AS ds FROM daily
+                  WHERE date_trunc('month', CAST(ds AS DATE)) > DATE '1995-01-01' AND date_trunc('month', CAST(ds AS DATE)) < DATE '2001-11-01'""",
+    ),
+    "poisson_equations": sql(
+        " UNION ALL ".join(f"SELECT '{n}' AS term, round(sum(y * {x}), 2) AS total FROM design" for n, x in POISSON_TERMS.items()),
+        "daily",
+        months="""SELECT CAST(date_trunc('month', CAST(ds AS DATE)) AS DATE) AS ds, sum(y)::DOUBLE AS y FROM daily GROUP BY 1
+                  HAVING date_trunc('month', min(CAST(ds AS DATE))) > DATE '1995-01-01' AND date_trunc('month', min(CAST(ds AS DATE))) < DATE '2001-11-01'""",
+        design="""SELECT y, 2 * pi() * (month(ds) - 1) / 12 AS angle,
+                  date_diff('month', (SELECT min(ds) FROM months), ds)::DOUBLE AS trend FROM months""",
+    ),
+    "grown_days": GROWN.format(key="CAST(CAST(l_shipdate AS DATE) AS VARCHAR)", where="true"),
+    "grown_months": GROWN.format(
+        key="CAST(CAST(date_trunc('month', l_shipdate) AS DATE) AS VARCHAR)", where="l_shipdate >= TIMESTAMP '1998-01-01'"
+    ),
+}

@@ -6,12 +6,14 @@ microseconds and doubles rounded, so that results compare across engines.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from footfall.functions import scalars, times
-from footfall.operators import clean, explain, features, forecast, funnel, metrics, models
+from footfall.operators import bagging, clean, explain, features, forecast, funnel, growth, metrics, models
 from footfall.operators import outcomes as oc
 from footfall.operators import quantiles as qn
 from footfall.operators import sampling, sequences, series, snapshots, spread, timeline
@@ -19,7 +21,7 @@ from footfall.plans import comparison, journeys
 from footfall.schema import ID, NAME, TIE, TS
 from footfall.session import configure, materialize, scratch_path
 from footfall.sources import driver_tables as dt
-from footfall.sources import tables
+from footfall.sources import incremental, tables
 from footfall.streaming import monthly
 
 TARGET, DAYS, NAMES = dt.TARGET, dt.INACTIVITY, dt.NAMES
@@ -1076,7 +1078,7 @@ def _baseline_columns(df):
 
 
 def _forest(df, **params):
-    return models.fit_rf(df, _baseline_columns(df), **{"numTrees": 30, "maxDepth": 6, **params})
+    return models.fit_rf(df, _baseline_columns(df), **params)
 
 
 def _boost(df, **params):
@@ -1111,7 +1113,7 @@ def feature_importance(spark, sf_dir):
 @query
 def cross_validation(spark, sf_dir):
     df = _model_table(spark, sf_dir)
-    return models.cross_validate(lambda part: _forest(part, numTrees=10), df, 5)
+    return models.cross_validate(_forest, df, 5)
 
 
 @query
@@ -1428,3 +1430,190 @@ def summary_of_close_values(spark, sf_dir):
     times_us = log(spark, sf_dir).select(times.micros(TS).cast("double").alias("us"))
     found = qn.distribution(times_us, "us", {"q1": 0.25, "median": 0.5})
     return found.select("n", F.round(F.col("sd") / 1e6).cast("long").alias("sd_seconds"), "min", "max", "q1", "median")
+
+
+@query
+def timeline_with_null_keys(spark, sf_dir):
+    """Running counts where events without id form one journey and unnamed ones count as events."""
+    found = timeline.timeline_features(holey_log(spark, sf_dir), NAMES)
+    return found.select(TIE, "n_events", "n_unique_events", "n_click")
+
+
+@query
+def stages_with_null_keys(spark, sf_dir):
+    """Stage reports in which the journey without id takes part."""
+    events = holey_log(spark, sf_dir)
+    outcomes, dim = labels(events), dt.definitions(spark)
+    counts = funnel.stage_counts(events, dim, outcomes).withColumn("report", F.lit("events"))
+    last = funnel.final_stage_share(events, dim, outcomes).drop("share").withColumn("report", F.lit("last stage"))
+    reached = funnel.stage_reach(events, dim, outcomes, "Discover").select(
+        "final_outcome", F.lit("Discover").alias("stage"), F.col("journeys").alias("n"), F.lit("journeys").alias("report")
+    )
+    return counts.unionByName(last).unionByName(reached)
+
+
+@query
+def snapshots_with_null_keys(spark, sf_dir):
+    """Events up to the middle of each journey, the one without id among them."""
+    events = holey_log(spark, sf_dir)
+    us = F.unix_micros(TS)
+    middle = F.timestamp_micros(F.floor((F.min(us) + F.max(us)) / 2).cast("long"))
+    cutoffs = events.groupBy(ID).agg(middle.alias("cutoff_time"))
+    return snapshots.truncate_at(events, cutoffs).select(TIE)
+
+
+@query
+def staged_by_code(spark, sf_dir):
+    """Stages joined on the event code instead of the name."""
+    codes = F.create_map(*[F.lit(x) for pair in dt.CODES.items() for x in pair])
+    events = log(spark, sf_dir).withColumn("ed_id", codes[F.col(NAME)])
+    staged = funnel.with_stage(events, dt.definitions(spark), code="ed_id")
+    return staged.select(TIE, "ed_id", "milestone_number", "stage")
+
+
+# --- out-of-bag votes
+
+
+@query
+def oob_votes(spark, sf_dir):
+    """Which of 25 trees vote on each training row: those whose draw left it out."""
+    table = journeys.training_snapshots(log(spark, sf_dir), NAMES, TARGET, DAYS, 500, equal=True)
+    df = materialize(table, "training")
+    votes = bagging.oob_votes(bagging.fit_bag(df, _baseline_columns(df), numTrees=25), df)
+    return votes.select(
+        ID,
+        "label",
+        F.size("voters").alias("n_voters"),
+        F.array_join(F.col("voters").cast("array<string>"), ",").alias("voters"),
+        F.col("p").isNotNull().alias("has_vote"),
+        F.coalesce(F.col("p").between(0, 1), F.lit(True)).alias("in_range"),
+    )
+
+
+@query
+def oob_accuracy(spark, sf_dir):
+    """Out-of-bag accuracy and Brier score of a forest at the stated snapshot settings."""
+    df = _model_table(spark, sf_dir)
+    bag = bagging.fit_bag(df, _baseline_columns(df), minInstancesPerNode=1, **models.FOREST_SETTINGS["snapshot"])
+    return bagging.oob_accuracy(bagging.oob_votes(bag, df))
+
+
+# --- sparse, simulated and saturating trends
+
+
+def _training_days(spark, sf_dir):
+    return materialize(series.training_series(series.warm_start(written_daily(spark, sf_dir), 71), "day"), "days")
+
+
+@query
+def sparse_trend_equations(spark, sf_dir):
+    """Optimality of the fit with sparse changes: sums over series and fit agree for every
+    column without penalty, and no condition is violated."""
+    train = _training_days(spark, sf_dir)
+    rows = growth.sparse_equations(growth.fit_sparse(train), train)
+    free = ~F.col("term").startswith("_h")
+    return rows.select("term", "n", F.when(free, F.round("of_fit", 3)).alias("of_fit"), F.round("violation", 6).alias("violation"))
+
+
+@query
+def sparse_trend_path(spark, sf_dir):
+    """Strengths tried, error on the held-out tail and changes kept."""
+    return growth.fit_sparse(_training_days(spark, sf_dir)).path_table(spark)
+
+
+@query
+def sparse_forecast(spark, sf_dir):
+    """Forecast of the sparse fit with holidays and an interval from simulated changes."""
+    train = _training_days(spark, sf_dir)
+    dates = series.future_frame(train, "2002-12-01", "day")
+    days = forecast.fixed_date_holidays(dates, {"new year": (1, 1), "independence": (7, 4), "christmas": (12, 25)})
+    fit = growth.fit_sparse(train, holidays=days).fit
+    last = train.agg(F.max("ds")).first()[0]
+    return growth.with_simulated_interval(fit, forecast.forecast_additive(fit, dates, days), last)
+
+
+@query
+def simulated_trend(spark, sf_dir):
+    """Range of simulated future changes for a trend of known changes."""
+    train = _training_days(spark, sf_dir)
+    first, last = train.agg(F.min("ds"), F.max("ds")).first()
+    knots = tuple(0.8 * (i + 1) / 26 for i in range(25))
+    trend = (("_t", 0.0), ("_h0", 3.0), ("_h1", -1.0))
+    fit = forecast.AdditiveFit(first, float((last - first).days), {"trend": trend}, 0.0, 2.0, knots, {})
+    return growth.simulated_changes(fit, series.future_frame(train, "2002-12-01", "day"), last, paths=200)
+
+
+def _saturating(spark, sf_dir):
+    months = series.training_series(written_daily(spark, sf_dir), "month", "1995-01-01", "2001-11-01")
+    months = materialize(months, "months")
+    fit = growth.fit_saturating(months, 1.5 * months.agg(F.max("y")).first()[0])
+    return months, fit, growth.forecast_saturating(fit, series.future_frame(months, "2003-10-01", "month"))
+
+
+@query
+def saturating_forecast(spark, sf_dir):
+    return _saturating(spark, sf_dir)[2]
+
+
+@query
+def saturating_checks(spark, sf_dir):
+    """Months fitted, forecasts strictly between zero and the cap, and the largest score."""
+    months, fit, ahead = _saturating(spark, sf_dir)
+    inside = (F.col("yhat_lower") > 0) & (F.col("yhat_lower") < F.col("yhat")) & (F.col("yhat") < F.col("yhat_upper"))
+    scores = growth.saturating_equations(fit, months)
+    return ahead.agg(
+        F.count("*").alias("n_dates"), F.count_if(inside & (F.col("yhat_upper") < fit.cap)).alias("n_inside")
+    ).withColumns(
+        {
+            "n_months": scores.agg(F.max("n")).scalar(),
+            "largest_score": F.round(scores.agg(F.max(F.abs("score"))).scalar(), 5),
+        }
+    )
+
+
+@query
+def poisson_equations(spark, sf_dir):
+    """Score equations of the Poisson fit: sums of each column over the fitted means."""
+    months, fit = _poisson(spark, sf_dir)
+    means = forecast.forecast_poisson(fit, months).select("ds", F.col("predicted_mean").alias("mu"))
+    design = series.seasonal_design(months, F.lit(fit.start)).withColumn("intercept", F.lit(1.0)).join(means, "ds")
+    sums = design.agg(*[F.sum(F.col(t) * F.col("mu")).alias(t) for t in fit.terms])
+    return sums.unpivot([], list(fit.terms), "term", "total").select("term", F.round("total", 2).alias("total"))
+
+
+# --- tables that grow
+
+
+def _grown(spark, sf_dir) -> incremental.DailyStates:
+    """Daily states of the order lines, extended three times and then by replaced days."""
+    lines = dt.table(spark, sf_dir, "lineitem")
+
+    def source(first):
+        rows = lines if first is None else lines.where(F.col("l_shipdate") >= F.lit(first).cast("timestamp_ntz"))
+        return rows.withColumn("ds", F.to_date("l_shipdate"))
+
+    kept = {
+        "n": incremental.counted(),
+        "y": incremental.counted(F.col("l_returnflag") != "R"),
+        "quantity": incremental.summed(F.col("l_quantity").cast("decimal(18,2)")),
+        "dearest": incremental.greatest("l_extendedprice"),
+        "first_order": incremental.least("l_orderkey"),
+    }
+    grown = incremental.DailyStates(spark, scratch_path(spark, "grown"), "ds", kept)
+    for upto in ("1997-06-30", "2000-02-10", None):
+        grown.extend(source, None if upto is None else date.fromisoformat(upto))
+    grown.extend(source, again=40)
+    return grown
+
+
+@query
+def grown_days(spark, sf_dir):
+    return _grown(spark, sf_dir).table().withColumn("quantity", F.col("quantity").cast("double"))
+
+
+@query
+def grown_months(spark, sf_dir):
+    """Monthly totals of the days from 1998 on, from the states alone."""
+    month = F.trunc("ds", "month")
+    found = _grown(spark, sf_dir).totals(month, lo=date(1998, 1, 1))
+    return found.withColumnRenamed("_k0", "ds").withColumn("quantity", F.col("quantity").cast("double"))

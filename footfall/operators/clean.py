@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from footfall.functions.times import is_weekday
-from footfall.operators.spread import attach, null_safe_join
+from footfall.operators.spread import attach, null_safe_join, with_place
 from footfall.schema import ID, NAME, TIE, TS
 
 DEDUP_KEYS = (ID, TS, NAME)
@@ -99,14 +99,15 @@ def duplicate_profile(df: DataFrame, keys: Sequence[str] = DEDUP_KEYS) -> DataFr
 def duplicate_groups(df: DataFrame, keys: Sequence[str] = DEDUP_KEYS, slices: int = 64) -> DataFrame:
     """All rows whose key occurs more than once; nulls count as equal.
 
-    Rows are dealt over ``slices`` by their place in the input, also where copies
+    Rows are dealt over ``slices`` by the file and row they come from, also where copies
     are alike in every column, and the few repeated keys stand in all slices. So a
     key that fills a large part of the log is neither counted nor returned by a
     single task.
     """
     keys = list(keys)
-    sliced = df.withColumn("_slice", F.pmod(F.monotonically_increasing_id(), F.lit(slices)).cast("int"))
-    repeated = df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys)
+    placed = with_place(df, "_place")
+    sliced = placed.withColumn("_slice", F.pmod("_place", F.lit(slices)).cast("int"))
+    repeated = placed.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys)
     spread = repeated.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     return null_safe_join(sliced, spread, [*keys, "_slice"], "left_semi").select(*df.columns)
 

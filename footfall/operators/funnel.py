@@ -11,7 +11,14 @@ from footfall.functions.times import MICROS_PER_DAY, days_between, micros, minut
 from footfall.operators.clean import top_k
 from footfall.operators.features import first_last
 from footfall.operators.quantiles import distribution, quantiles
-from footfall.operators.spread import join_dimension, order_columns, with_event_number, with_previous, with_previous_ts
+from footfall.operators.spread import (
+    join_dimension,
+    null_safe_join,
+    order_columns,
+    with_event_number,
+    with_previous,
+    with_previous_ts,
+)
 from footfall.schema import ID, NAME, TARGET_EVENT, TS
 from footfall.session import materialize
 
@@ -124,20 +131,15 @@ def stage_counts(events: DataFrame, definitions: DataFrame, outcomes: DataFrame)
     Events shrink to one row per journey and event name before any join.
     """
     per = events.groupBy(ID, NAME).agg(F.count("*").alias("_n"))
-    return (
-        with_stage(per, definitions)
-        .join(outcomes, ID)
-        .groupBy("final_outcome", "stage")
-        .agg(F.sum("_n").alias("n"))
-    )
+    closed = null_safe_join(with_stage(per, definitions), outcomes, [ID])
+    return closed.groupBy("final_outcome", "stage").agg(F.sum("_n").alias("n"))
 
 
 def final_stage_share(events: DataFrame, definitions: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Stage of the last event per outcome, as count and share."""
     last = first_last(events).select(ID, F.col("last_event_name").alias(NAME))
-    counts = (
-        with_stage(last, definitions).join(outcomes, ID).groupBy("final_outcome", "stage").agg(F.count("*").alias("n"))
-    )
+    closed = null_safe_join(with_stage(last, definitions), outcomes, [ID])
+    counts = closed.groupBy("final_outcome", "stage").agg(F.count("*").alias("n"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy("final_outcome"))
     return counts.withColumn("share", share)
 
@@ -147,7 +149,7 @@ def stage_reach(events: DataFrame, definitions: DataFrame, outcomes: DataFrame,
     per = with_stage(events.groupBy(ID, NAME).agg(F.lit(1)).select(ID, NAME), definitions)
     reached = per.groupBy(ID).agg(F.max(F.when(F.col("stage") == stage, 1).otherwise(0)).alias("_hit"))
     return (
-        reached.join(outcomes, ID)
+        null_safe_join(reached, outcomes, [ID])
         .groupBy("final_outcome")
         .agg(F.count("*").alias("journeys"), F.avg("_hit").alias("share"))
     )
@@ -183,7 +185,7 @@ def stage_paths(
         F.bit_xor(F.xxhash64("stage", F.lit("path"), "_pos")).alias("_b"),
     )
     counted = (
-        marks.join(outcomes, ID)
+        null_safe_join(marks, outcomes, [ID])
         .groupBy("final_outcome", "n_steps", "_a", "_b")
         .agg(F.count("*").alias("n"), F.min(ID).alias("_sample"))
     )
@@ -191,11 +193,11 @@ def stage_paths(
     # A few rows per outcome, needed twice: to pick the sample journeys and to name them.
     winners = materialize(counted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "paths")
     # Only the sample journeys are numbered again.
-    samples = events.join(winners.select(F.col("_sample").alias(ID)), ID, "left_semi")
+    samples = null_safe_join(events, winners.select(F.col("_sample").alias(ID)), [ID], "left_semi")
     texts = (
         numbered(samples)
         .groupBy(F.col(ID).alias("_sample"), F.floor((F.col("_pos") - 1) / page_steps).cast("int").alias("page"))
         .agg(F.array_sort(F.collect_list(F.struct("_pos", "stage"))).alias("_items"))
         .select("_sample", "page", F.array_join(F.transform("_items", lambda x: x["stage"]), " > ").alias("path"))
     )
-    return winners.join(texts, "_sample").select("final_outcome", "rank", "page", "path", "n_steps", "n")
+    return null_safe_join(winners, texts, ["_sample"]).select("final_outcome", "rank", "page", "path", "n_steps", "n")

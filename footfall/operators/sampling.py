@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from footfall.functions.scalars import hash_number, hash_uniform
-from footfall.operators.spread import running_totals
+from footfall.operators.spread import null_safe_join, running_totals
 from footfall.schema import FAILURES_PER_SUCCESS, ID
 
 _PREFIX_STEP = 1 << 16
@@ -173,7 +173,7 @@ def group_folds(df: DataFrame, label: str, k: int = 5, key: str = ID, seed: int
 
 
 def with_folds(df: DataFrame, label: str, k: int = 5, key: str = ID, seed: int = 42) -> DataFrame:
-    return df.join(group_folds(df, label, k, key, seed), key)
+    return null_safe_join(df, group_folds(df, label, k, key, seed), [key])
 
 
 def fold_overlap(df: DataFrame, key: str = ID) -> DataFrame:

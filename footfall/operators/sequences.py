@@ -12,7 +12,7 @@ from footfall.functions.scalars import pad_left, pad_right
 from footfall.functions.times import epoch_seconds, hours_between
 from footfall.operators.outcomes import restrict_events
 from footfall.operators.snapshots import expand_snapshots
-from footfall.operators.spread import DAY, join_dimension, order_columns, with_day
+from footfall.operators.spread import DAY, join_dimension, null_safe_join, order_columns, with_day
 from footfall.schema import ID, NAME, TS
 from footfall.session import materialize
 
@@ -92,8 +92,8 @@ def sequence_long(
 def train_sequences(events: DataFrame, cutoffs: DataFrame, vocab: DataFrame, outcomes: DataFrame, max_len: int = 100) -> DataFrame:
     """Labelled sequences of closed journeys, each cut at its cutoff."""
     labelled = outcomes.where(F.col("final_outcome") != "incomplete").select(ID, "final_outcome")
-    closed = cutoffs.select(ID, "cutoff_time").join(labelled.select(ID), ID, "left_semi")
-    return sequence_long(expand_snapshots(events, closed), vocab, max_len).join(labelled, ID)
+    closed = null_safe_join(cutoffs.select(ID, "cutoff_time"), labelled.select(ID), [ID], "left_semi")
+    return null_safe_join(sequence_long(expand_snapshots(events, closed), vocab, max_len), labelled, [ID])
 
 
 def open_sequences(events: DataFrame, vocab: DataFrame, outcomes: DataFrame, max_len: int = 100) -> DataFrame:
@@ -111,12 +111,12 @@ def sequence_events(snapshots: DataFrame, events: DataFrame, max_len: int = 80)
     """
     cuts = snapshots.select(ID, "snapshot_id", F.col("last_action_ts").alias("cutoff_time"))
     days = with_day(events).groupBy(ID, DAY).agg(F.count("*").alias("_n"))
-    known = days.join(cuts, ID).where(F.col(DAY) <= F.to_date("cutoff_time"))
+    known = null_safe_join(days, cuts, [ID]).where(F.col(DAY) <= F.to_date("cutoff_time"))
     full = F.when(F.col(DAY) < F.to_date("cutoff_time"), F.col("_n")).otherwise(0)
     later = Window.partitionBy("snapshot_id").orderBy(F.desc(DAY)).rowsBetween(Window.unboundedPreceding, -1)
     needed = known.where("_n > 0").withColumn("_later", F.coalesce(F.sum(full).over(later), F.lit(0)))
     routed = needed.where(F.col("_later") < max_len).drop("_n", "_later")
-    visible = with_day(events).join(routed, [ID, DAY]).where(F.col(TS) <= F.col("cutoff_time")).drop(DAY)
+    visible = null_safe_join(with_day(events), routed, [ID, DAY]).where(F.col(TS) <= F.col("cutoff_time")).drop(DAY)
     return last_n_events(visible, max_len, ["snapshot_id"])
 
 

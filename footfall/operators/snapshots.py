@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from footfall.functions.scalars import hash_uniform
 from footfall.functions.times import epoch_seconds, micros
 from footfall.operators.quantiles import value_ranks
-from footfall.operators.spread import DAY, day_window, with_day
+from footfall.operators.spread import DAY, day_window, null_safe_join, with_day
 from footfall.schema import ID, TS
 
 
@@ -87,8 +87,8 @@ def expand_snapshots(events: DataFrame, cutoffs: DataFrame, days: DataFrame | No
     """
     events = with_day(events)
     days = events.select(ID, DAY).distinct() if days is None else days.select(ID, DAY)
-    routed = days.join(cutoffs, ID).where(F.col(DAY) <= F.to_date("cutoff_time"))
-    return events.join(routed, [ID, DAY]).where(F.col(TS) <= F.col("cutoff_time")).drop(DAY)
+    routed = null_safe_join(days, cutoffs, [ID]).where(F.col(DAY) <= F.to_date("cutoff_time"))
+    return null_safe_join(events, routed, [ID, DAY]).where(F.col(TS) <= F.col("cutoff_time")).drop(DAY)
 
 
 def expand_with_gaps(events: DataFrame, cutoffs: DataFrame, days: DataFrame) -> DataFrame:
@@ -100,10 +100,10 @@ def expand_with_gaps(events: DataFrame, cutoffs: DataFrame, days: DataFrame) ->
     """
     by_day = Window.partitionBy(ID).orderBy(DAY)
     linked = days.select(ID, DAY, F.lag("last_ts").over(by_day).alias("_carry_ts"))
-    routed = linked.join(cutoffs, ID).where(F.col(DAY) <= F.to_date("cutoff_time"))
+    routed = null_safe_join(linked, cutoffs, [ID]).where(F.col(DAY) <= F.to_date("cutoff_time"))
     events = with_day(events)
     inside = events.withColumn("_inner_ts", F.lag(TS).over(day_window(events)))
-    visible = inside.join(routed, [ID, DAY]).where(F.col(TS) <= F.col("cutoff_time"))
+    visible = null_safe_join(inside, routed, [ID, DAY]).where(F.col(TS) <= F.col("cutoff_time"))
     before = F.coalesce("_inner_ts", "_carry_ts")
     return visible.withColumn("gap_s", epoch_seconds(TS) - epoch_seconds(before)).drop("_inner_ts", "_carry_ts", DAY)
 

@@ -14,11 +14,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from footfall.schema import ID, NAME, ORDER, TARGET_EVENT, TS
+from footfall.session import materialize
 
 DAY = "_day"
 
@@ -72,6 +74,20 @@ def null_safe_join(left: DataFrame, right: DataFrame, key: Sequence[str], how: s
     return left.join(other, same, how).drop(*[f"_r_{k}" for k in key])
 
 
+def with_place(df: DataFrame, name: str) -> DataFrame:
+    """Add a hash of the file and row that every row comes from.
+
+    Unlike a number given while a job runs it is the same whenever the row is read, so
+    it can deal rows to tasks that may be run again. Rows that do not come straight from
+    files are written first.
+    """
+    place = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(name)
+    try:
+        return df.select("*", place)
+    except AnalysisException:
+        return materialize(df, "placed").select("*", place)
+
+
 def order_columns(events: DataFrame) -> list[Column]:
     return [F.col(c) for c in ORDER if c in events.columns]
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from footfall.functions.times import days_between
-from footfall.operators.spread import DAY, attach_journey, day_window, order_columns, with_day
+from footfall.operators.spread import DAY, attach_journey, day_window, null_safe_join, order_columns, with_day
 from footfall.schema import FEATURE_EVENTS, ID, NAME, TS
 
 
@@ -18,7 +18,8 @@ def timeline_features(events: DataFrame, names: Sequence[str] = FEATURE_EVENTS)
 
     Running values are the day's own running values plus the totals of earlier
     days. A name counts towards the distinct names on its first day only, at its
-    first occurrence on that day.
+    first occurrence on that day. Events without a name count as events only; events
+    without an id form one journey.
     """
     events = with_day(events)
     order = day_window(events).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -26,7 +27,7 @@ def timeline_features(events: DataFrame, names: Sequence[str] = FEATURE_EVENTS)
 
     daily = events.groupBy(ID, DAY, NAME).agg(F.count("*").alias("_n"), F.min(TS).alias("_t"))
     first_day = Window.partitionBy(ID, NAME).orderBy(DAY)
-    daily = daily.withColumn("_new", F.row_number().over(first_day) == 1)
+    daily = daily.withColumn("_new", (F.row_number().over(first_day) == 1) & F.col(NAME).isNotNull())
     earlier = Window.partitionBy(ID).orderBy(DAY).rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy(ID).orderBy(DAY).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     per_day = daily.groupBy(ID, DAY).agg(
@@ -51,7 +52,7 @@ def timeline_features(events: DataFrame, names: Sequence[str] = FEATURE_EVENTS)
         {"_i_events": F.count("*").over(order)}
         | {f"_i_c{i}": F.sum(F.when(F.col(NAME) == n, 1).otherwise(0)).over(order) for i, n in enumerate(names)}
     ).withColumn("_nth", F.row_number().over(same_name))
-    joined = inside.join(carried, [ID, DAY])
+    joined = null_safe_join(inside, carried, [ID, DAY])
     fresh = (F.col("_nth") == 1) & F.array_contains("_fresh_names", F.col(NAME))
     joined = joined.withColumn("_i_fresh", F.sum(F.when(fresh, 1).otherwise(0)).over(order))
     return joined.select(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from footfall.functions.times import parse_ts
-from footfall.operators.spread import null_safe_join
+from footfall.operators.spread import null_safe_join, with_place
 from footfall.schema import EVENT_DEFINITION_SCHEMA, ID, RAW_EVENT_SCHEMA, TS
 from footfall.session import materialize
 
@@ -47,11 +47,12 @@ def write_table(df: DataFrame, path: str, partition_by: str | None = None, rows_
     if partition_by is None:
         df.write.mode("overwrite").parquet(path)
         return
+    columns, df = df.columns, with_place(df, "_place")
     sizes = materialize(df.groupBy(partition_by).agg(F.ceil(F.count("*") / rows_per_file).alias("_files")), "sizes")
     dealt = null_safe_join(df, sizes, [partition_by], "left").withColumn(
-        "_salt", F.pmod(F.monotonically_increasing_id(), F.col("_files"))
+        "_salt", F.pmod("_place", "_files")
     )
-    dealt = dealt.repartition(partition_by, "_salt").select(*df.columns)
+    dealt = dealt.repartition(partition_by, "_salt").select(*columns)
     dealt.write.mode("overwrite").partitionBy(partition_by).parquet(path)
 
 
@@ -132,10 +133,12 @@ def check_rows(df: DataFrame, expected_rows: int | None) -> DataFrame:
 def conform_to_template(pred: DataFrame, template: DataFrame, p: str = "p", key: str = ID) -> DataFrame:
     """Every template id once, with its prediction or the median prediction.
 
-    Other columns of the template, such as a position, are kept.
+    Repeated predictions of an id are merged to their mean, a null id is an id like any
+    other, and other columns of the template, such as a position, are kept.
     """
     from footfall.operators.quantiles import quantiles
 
     median = quantiles(pred, p, {"m": 0.5}).scalar()
-    joined = template.join(pred.select(key, p), key, "left")
+    merged = pred.groupBy(key).agg(F.avg(p).alias(p))
+    joined = null_safe_join(template, merged, [key], "left")
     return joined.withColumn(p, F.coalesce(F.col(p), median))
