@@ -1093,8 +1093,10 @@ def forest_scores(spark, sf_dir):
 
 @query
 def boosted_scores(spark, sf_dir):
+    """Boosted trees at the stated snapshot settings."""
     df = _model_table(spark, sf_dir)
-    return models.with_class(models.score(_boost(df), df)).select(ID, "label", "p", "predicted")
+    model = _boost(df, **models.BOOST_SETTINGS["snapshot"])
+    return models.with_class(models.score(model, df)).select(ID, "label", "p", "predicted")
 
 
 @query

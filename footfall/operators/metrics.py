@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions.scalars import to_class
-from footfall.operators.quantiles import distribution, with_rank_bucket
-from footfall.operators.spread import running_totals
+from footfall.operators.quantiles import distribution, range_totals
 
 
 def accuracy(df: DataFrame, label: str = "label", p: str = "p", t: float = 0.5) -> DataFrame:
@@ -78,15 +77,15 @@ def brier(df: DataFrame, label: str = "label", p: str = "p") -> DataFrame:
 def score_curve(df: DataFrame, label: str = "label", p: str = "p") -> DataFrame:
     """Per distinct score: positives and negatives at it and above it.
 
-    Scores are merged first; running counts come from rank buckets plus the order
-    inside each bucket.
+    Scores are merged first; running counts come from ranges of scores plus the order
+    inside each range.
     """
     at = df.groupBy(F.col(p).alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
     # Negated so that the highest score comes first.
-    at = with_rank_bucket(at.withColumn("_down", -F.col("score")), "_down")
-    return running_totals(at, {"tp": F.col("pos"), "fp": F.col("neg")}, "_bucket", [F.col("_down")]).drop("_bucket", "_down")
+    at = at.withColumn("_down", -F.col("score"))
+    return range_totals(at, {"tp": F.col("pos"), "fp": F.col("neg")}, "_down").drop("_down")
 
 
 def average_precision(df: DataFrame, label: str = "label", p: str = "p") -> DataFrame:

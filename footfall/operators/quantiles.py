@@ -1,59 +1,80 @@
 """Exact quantiles, ranks, running curves and histograms on unbounded columns.
 
 A global ``percentile`` gathers every distinct value in one task. Here equal
-values are first merged into counts, the counts are ranked bucket by bucket, and
+values are first merged into counts, the counts are sorted by range, part by part, and
 only the wanted order statistics leave the cluster.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from footfall.operators.spread import running_totals
+from footfall.session import materialize
 
-# Edges of the rank buckets: coarse steps times fine steps.
-COARSE, FINE = 8, 16
+# Rows of counts that one task ranks, about.
+PART_ROWS = 100_000
 
 
-def with_rank_bucket(counts: DataFrame, value: str, name: str = "_bucket") -> DataFrame:
-    """Add a monotone integer bucket with about equally many rows of ``counts``.
+def in_range_parts(rows: DataFrame, order: Sequence[str], name: str = "_part") -> tuple[DataFrame, int]:
+    """The rows, written once, with the number of the range of ``order`` they lie in, and
+    how many ranges there are.
 
-    Edges are approximate quantiles of the rows themselves, so values that are
-    close together, such as failure probabilities or times in microseconds, are
-    spread as evenly as any others. Infinite values sort like numbers.
+    Ranges are cut by a sample of the rows themselves, so values that are close
+    together, such as failure probabilities or times in microseconds, are spread as
+    evenly as any others, and there are the more of them the more rows there are. The
+    numbers are stored with the rows: whoever reads them sees the same ones.
     """
-    x = F.col(value).cast("double")
-    steps = [F.lit(i / (COARSE * FINE)) for i in range(1, COARSE * FINE)]
-    edges = counts.agg(F.percentile_approx(x, F.array(*steps), 10 * COARSE * FINE)).scalar()
+    rows = materialize(rows, "counts")
+    parts = max(1, -(-rows.count() // PART_ROWS))
+    if parts == 1:
+        return rows.withColumn(name, F.lit(0)), parts
+    return materialize(rows.repartitionByRange(parts, *order).withColumn(name, F.spark_partition_id()), "ranges"), parts
 
-    def under(values):
-        return F.size(F.filter(values, lambda e: e < x))
 
-    # The edges are sorted: every FINE-th one first, then those in between.
-    out = counts.withColumn("_edges", edges)
-    first = F.filter(F.col("_edges"), lambda e, i: (i + 1) % FINE == 0)
-    out = out.withColumn("_coarse", under(first))
-    fine = F.slice(F.col("_edges"), F.col("_coarse") * FINE + 1, F.lit(FINE - 1))
-    return out.withColumn(name, F.col("_coarse") * FINE + under(fine)).drop("_edges", "_coarse")
+def range_totals(
+    rows: DataFrame,
+    totals: Mapping[str, Column],
+    order: str,
+    by: Sequence[str] = (),
+    inclusive: bool = True,
+    whole: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """Running sums in the order of one column, range by range.
+
+    The result is that of :func:`running_totals`; rows that fit one range need only
+    a window.
+    """
+    ranged, parts = in_range_parts(rows, [*by, order])
+    if parts > 1:
+        found = running_totals(ranged, totals, "_part", [F.col(order)], by, inclusive, whole)
+        return found.select(*rows.columns, *totals, *(whole or {}))
+    keys = list(by) or [F.lit(0)]
+    upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow if inclusive else -1
+    )
+    every = Window.partitionBy(*keys)
+    sums = {n: F.coalesce(F.sum(c).over(upto), F.lit(0)) for n, c in totals.items()}
+    sums |= {w: F.sum(totals[n]).over(every) for w, n in (whole or {}).items()}
+    return ranged.withColumns(sums).drop("_part")
 
 
 def value_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """One row per distinct value: its count ``n``, the rows ``below`` it, all ``rows``
     and the ``total`` of all values as a double."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    ranked = running_totals(
-        with_rank_bucket(counts, value),
+    return range_totals(
+        counts,
         {"below": F.col("n"), "_sum": F.col("n") * F.col(value).cast("double")},
-        "_bucket",
-        [F.col(value)],
+        value,
         by,
         inclusive=False,
         whole={"rows": "below", "total": "_sum"},
-    )
-    return ranked.drop("_bucket", "_sum")
+    ).drop("_sum")
 
 
 def distribution(

@@ -209,16 +209,29 @@ def test_infinite_values_have_quantiles(spark):
     assert tuple(quantiles(df, "v", {"a": 0.25, "b": 0.5, "c": 0.75}).first()) == (1.0, 2.0, 3.0)
 
 
-def test_rank_buckets_are_even_in_a_narrow_range(spark):
-    from footfall.operators.quantiles import with_rank_bucket
+def test_ranges_are_even_and_grow_in_number(spark, monkeypatch):
+    from footfall.operators import quantiles as qn
 
-    df = spark.range(200_000).select((0.02 + F.col("id") * 5e-9).alias("v"))
-    sizes = with_rank_bucket(df, "v").groupBy("_bucket").agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("z"))
+    monkeypatch.setattr(qn, "PART_ROWS", 4_000)
+    df = spark.range(200_000).select((0.02 + F.col("id") * 5e-9).alias("v")).repartition(5)
+    ranged, parts = qn.in_range_parts(df, ["v"])
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("z"))
     rows = sorted(sizes.collect())
-    assert len(rows) > 100 and max(r["n"] for r in rows) < 4 * 200_000 / len(rows)
+    assert parts == 50 and len(rows) == 50 and max(r["n"] for r in rows) < 2 * 4_000
     assert all(a["z"] < b["a"] for a, b in zip(rows, rows[1:]))
 
 
+def test_many_ranges_rank_like_one(spark, monkeypatch):
+    from footfall.operators import quantiles as qn
+
+    rows = [(k % 3 or None, float(k * k % 97), k) for k in range(900)] + [(1, float("inf"), 0), (2, float("-inf"), 0)]
+    df = spark.createDataFrame(rows, "g int, v double, k int")
+    one = {tuple(r) for r in qn.value_ranks(df, "v", ["g"]).collect()}
+    monkeypatch.setattr(qn, "PART_ROWS", 20)
+    assert {tuple(r) for r in qn.value_ranks(df, "v", ["g"]).collect()} == one and len(one) > 100
+    assert tuple(qn.quantiles(df.where("v < 200"), "v", {"m": 0.5}).first()) == (sorted(r[1] for r in rows if r[1] < 200)[450],)
+
+
 def test_measures_of_one_class(spark):
     from footfall.operators import metrics
 
