@@ -113,15 +113,21 @@ KNOWN = (
 
 QUOTES = ("“”„«»‘’‚–—‐‑", '""""""\'\'\'---')
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+# A line of its own that names a holder or a year. A wrapped licence may well begin a
+# line with "copyright notice" or "COPYRIGHT HOLDERS"; those lines stay.
+COPYRIGHT_LINE = (
+    r"(^|\n)[ \t]*([Cc][Oo][Pp][Yy][Rr][Ii][Gg][Hh][Tt][ \t:]*(\([cC]\)|©|[0-9]{4}|[\[<{])|Copyright[ \t]+[A-Z][a-z.]"
+    r"|\([cC]\)[ \t]|©|[Aa]ll [Rr]ights [Rr]eserved)[^\n]*"
+)
+MOST_BROADCAST = 10_000
 MARKS = r"[\x00-\x20!-/:-@\[-`{-~\x7f]+"
 
 
 def canonical(text):
     """Canonical form of a text column."""
     t = F.replace(F.coalesce(text, F.lit("")), F.lit("\r"), F.lit("\n"))
-    t = F.translate(F.translate(t, *QUOTES), UPPER, LOWER)
     t = F.regexp_replace(t, COPYRIGHT_LINE, "\n")
+    t = F.translate(F.translate(t, *QUOTES), UPPER, LOWER)
     # Two blanks between words and one around, so that every word has its own.
     t = F.concat(F.lit(" "), F.regexp_replace(t, MARKS, "  "), F.lit(" "))
     for odd, plain in SPELLINGS:
@@ -129,16 +135,22 @@ def canonical(text):
     return F.trim(F.regexp_replace(t, " +", " "))
 
 
-def matched(docs: DataFrame) -> DataFrame:
-    """``doc_id, digest, licence``: the licence a whole text is, or null."""
+def matched(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``doc_id, digest, licence``: the licence a whole text is, or null.
+
+    ``known`` is a table ``licence, text`` of licences to look for beside the built-in
+    ones; where texts are alike in canonical form the smallest name is given. Up to
+    ``MOST_BROADCAST`` digests are broadcast, more are joined by shuffling.
+    """
     spark = docs.sparkSession
-    known = (
-        spark.createDataFrame(list(KNOWN), "licence string, known string")
-        .select("licence", F.sha2(canonical(F.col("known")), 256).alias("digest"))
-        .dropDuplicates(["digest"])
-    )
+    texts = spark.createDataFrame(list(KNOWN), "licence string, text string")
+    if known is not None:
+        texts = texts.unionByName(known.select("licence", "text"))
+    digests = texts.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("licence").alias("licence"))
+    if known is None or known.limit(MOST_BROADCAST).count() < MOST_BROADCAST:
+        digests = F.broadcast(digests)
     found = docs.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"))
-    return found.join(F.broadcast(known), "digest", "left").select("doc_id", "digest", "licence")
+    return found.join(digests, "digest", "left").select("doc_id", "digest", "licence")
 
 
 def _sql_text(value: str) -> str:
@@ -148,8 +160,8 @@ def _sql_text(value: str) -> str:
 def canonical_sql(text: str) -> str:
     """The same canonical form for DuckDB."""
     t = f"replace(coalesce({text}, ''), chr(13), chr(10))"
-    t = f"translate(translate({t}, {_sql_text(QUOTES[0])}, {_sql_text(QUOTES[1])}), '{UPPER}', '{LOWER}')"
     t = f"regexp_replace({t}, {_sql_text(COPYRIGHT_LINE)}, chr(10), 'g')"
+    t = f"translate(translate({t}, {_sql_text(QUOTES[0])}, {_sql_text(QUOTES[1])}), '{UPPER}', '{LOWER}')"
     t = f"' ' || regexp_replace({t}, {_sql_text(MARKS)}, '  ', 'g') || ' '"
     for odd, plain in SPELLINGS:
         t = f"replace({t}, ' {odd} ', ' {plain} ')"
@@ -159,7 +171,7 @@ def canonical_sql(text: str) -> str:
 def matched_sql() -> str:
     values = ", ".join(f"({_sql_text(n)}, {_sql_text(t)})" for n, t in KNOWN)
     return (
-        f"WITH known AS (SELECT any_value(licence) AS licence, digest FROM (SELECT licence, sha256({canonical_sql('known')}) "
+        f"WITH known AS (SELECT min(licence) AS licence, digest FROM (SELECT licence, sha256({canonical_sql('known')}) "
         f"AS digest FROM (VALUES {values}) AS v(licence, known)) GROUP BY digest) "
         f"SELECT d.doc_id, d.digest, k.licence FROM (SELECT doc_id, sha256({canonical_sql('text')}) AS digest FROM documents) d "
         "LEFT JOIN known k ON d.digest = k.digest"

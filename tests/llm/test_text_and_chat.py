@@ -171,6 +171,25 @@ def test_licences(spark):
     )
 
 
+def test_wrapped_licences_and_given_texts(spark):
+    import textwrap
+
+    rows, want = [], {}
+    for k, (name, text) in enumerate(licences.KNOWN):
+        for j, width in enumerate((30, 47, 72, 78)):
+            head = ["", "Copyright (c) 2020 A. Author\n\n", "COPYRIGHT 1999-2001 THE AUTHORS\nAll rights reserved.\n", "Copyright Jane Doe\n"][j]
+            rows.append((100 * k + j, head + "\n".join(textwrap.wrap(text, width))))
+            want[100 * k + j] = name
+    isc = next(t for n, t in licences.KNOWN if n == "ISC")
+    # The words that the usual file has at the start of a line.
+    rows.append((-1, isc.replace("above copyright notice", "above\ncopyright notice")))
+    rows.append((-2, "My own\nterms"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([("own", "MY OWN TERMS!", 1), ("other", None, 2)], "licence string, text string, digest int")
+    got = {r.doc_id: r.licence for r in licences.matched(df, known).collect()}
+    assert got == want | {-1: "ISC", -2: "own"}
+
+
 def test_licences_match_sql(spark):
     from oracle_check import compare, connect
 
