@@ -1009,3 +1009,23 @@ ORACLES |= {
         key="CAST(CAST(date_trunc('month', l_shipdate) AS DATE) AS VARCHAR)", where="l_shipdate >= TIMESTAMP '1998-01-01'"
     ),
 }
+
+ORACLES |= {
+    "streamed_deduplicated": sql("SELECT DISTINCT id, event_name, us AS event_timestamp FROM hour_log", "hour_log"),
+    "streamed_states": sql(
+        """SELECT id, total_actions AS n_events, first_us, last_us, target_us AS first_target_us, final_outcome
+           FROM status JOIN labels USING (id)""",
+        "labels",
+    ),
+}
+
+ORACLES |= {
+    "timeline_within_a_day": sql(
+        """SELECT event_id, lag(event_name) OVER o AS before, row_number() OVER o AS event_number, row_number() OVER o AS n_events,
+                  count(DISTINCT event_name) OVER w AS n_unique_events, count(*) FILTER (event_name = 'click') OVER w AS n_click, 1::BIGINT AS spread_out
+           FROM crammed WINDOW o AS (ORDER BY us NULLS FIRST, event_id),
+                w AS (ORDER BY us NULLS FIRST, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+        "log",
+        crammed=f"SELECT event_id, event_name, CASE WHEN event_name <> 'error' THEN us % {DAY_US} END AS us FROM log",
+    ),
+}

@@ -22,6 +22,7 @@ from footfall.schema import ID, NAME, TIE, TS
 from footfall.session import configure, materialize, scratch_path
 from footfall.sources import driver_tables as dt
 from footfall.sources import incremental, tables
+from footfall.streaming import journeys as stream_journeys
 from footfall.streaming import monthly
 
 TARGET, DAYS, NAMES = dt.TARGET, dt.INACTIVITY, dt.NAMES
@@ -1619,3 +1620,57 @@ def grown_months(spark, sf_dir):
     month = F.trunc("ds", "month")
     found = _grown(spark, sf_dir).totals(month, lo=date(1998, 1, 1))
     return found.withColumnRenamed("_k0", "ds").withColumn("quantity", F.col("quantity").cast("double"))
+
+
+# --- a log that arrives in pieces
+
+
+def _pieces(spark, events: DataFrame, n: int = 4):
+    """The log as files in the order of time, read one per micro-batch."""
+    folder = scratch_path(spark, "pieces")
+    events = materialize(events, "log")
+    lo, hi = events.agg(F.min(F.unix_micros(TS)), F.max(F.unix_micros(TS))).first()
+    piece = F.floor((F.unix_micros(TS) - F.lit(lo)) * n / F.lit(hi - lo + 1))
+    for k in range(n):
+        events.where(piece == k).coalesce(1).write.mode("append").parquet(folder)
+    return monthly.stream_events(spark, folder, events.schema)
+
+
+@query
+def streamed_deduplicated(spark, sf_dir):
+    stream = stream_journeys.deduplicated(_pieces(spark, hour_log(spark, sf_dir)), delay="1 hour")
+    path = scratch_path(spark, "stream-out")
+    stream_journeys.run_to_folder(stream, path, scratch_path(spark, "stream-state")).awaitTermination()
+    return stream_journeys.written_rows(stream, path).select(ID, NAME, TS)
+
+
+@query
+def streamed_states(spark, sf_dir):
+    """State of every journey after the last micro-batch."""
+    changes = stream_journeys.journey_changes(_pieces(spark, log(spark, sf_dir)), TARGET, DAYS)
+    path = scratch_path(spark, "stream-out")
+    stream_journeys.run_to_folder(changes, path, scratch_path(spark, "stream-state"), "update").awaitTermination()
+    return stream_journeys.latest_states(changes, path).drop("version")
+
+
+# --- journeys that hold more in a day than one task orders
+
+
+def crammed_log(spark, sf_dir) -> DataFrame:
+    """All users' events in one day of one journey; errors without a time."""
+    df = log(spark, sf_dir)
+    us = F.pmod(F.unix_micros(TS), F.lit(86_400_000_000)) + F.unix_micros(F.to_timestamp(F.lit("2024-01-01")))
+    return df.withColumns({ID: F.lit("one"), TS: F.when(F.col(NAME) != "error", F.timestamp_micros(us))})
+
+
+@query
+def timeline_within_a_day(spark, sf_dir):
+    """Running counts and previous names over ranges of (time, tie) below the day."""
+    crammed = crammed_log(spark, sf_dir)
+    rows = max(50, crammed.count() // 20)
+    events = spread.with_fine_day(crammed, part_rows=rows)
+    running = timeline.timeline_features(events, NAMES).select(TIE, "n_events", "n_unique_events", "n_click")
+    numbered = spread.with_event_number(spread.with_previous(events, {"before": NAME}))
+    parts = events.groupBy(spread.DAY).agg(F.count("*").alias("n"))
+    ordered = numbered.select(TIE, "before", "event_number").join(running, TIE)
+    return ordered.withColumn("spread_out", parts.agg((F.count("*") > 4) & (F.max("n") < 3 * rows)).scalar())

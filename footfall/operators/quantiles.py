@@ -13,28 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from footfall.operators.spread import running_totals
-from footfall.session import materialize
-
-# Rows of counts that one task ranks, about.
-PART_ROWS = 100_000
-
-
-def in_range_parts(rows: DataFrame, order: Sequence[str], name: str = "_part") -> tuple[DataFrame, int]:
-    """The rows, written once, with the number of the range of ``order`` they lie in, and
-    how many ranges there are.
-
-    Ranges are cut by a sample of the rows themselves, so values that are close
-    together, such as failure probabilities or times in microseconds, are spread as
-    evenly as any others, and there are the more of them the more rows there are. The
-    numbers are stored with the rows: whoever reads them sees the same ones.
-    """
-    rows = materialize(rows, "counts")
-    parts = max(1, -(-rows.count() // PART_ROWS))
-    if parts == 1:
-        return rows.withColumn(name, F.lit(0)), parts
-    return materialize(rows.repartitionByRange(parts, *order).withColumn(name, F.spark_partition_id()), "ranges"), parts
-
+from footfall.operators.spread import in_range_parts, running_totals
 
 def range_totals(
     rows: DataFrame,

@@ -23,6 +23,8 @@ from footfall.schema import ID, NAME, ORDER, TARGET_EVENT, TS
 from footfall.session import materialize
 
 DAY = "_day"
+# Rows that one task orders, about.
+PART_ROWS = 100_000
 
 
 def with_day(events: DataFrame) -> DataFrame:
@@ -35,6 +37,27 @@ def with_day(events: DataFrame) -> DataFrame:
     return events.withColumn(DAY, F.coalesce(F.to_date(TS), F.to_date(F.lit("0001-01-01"))))
 
 
+def with_fine_day(events: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """:func:`with_day` where a journey's day may itself hold more than a task can order.
+
+    Days of more than ``part_rows`` events are cut into ranges of (time, tie), and the
+    day column becomes the pair of day and range. Ranges follow the order of events, so
+    whatever is carried from day to day (running counts, previous events, first
+    occurrences of names) is carried from range to range in the same way. That also
+    parts the events without a time, which all share one day.
+    """
+    events = with_day(events)
+    columns = [c for c in events.columns if c != DAY]
+    sizes = events.groupBy(ID, DAY).agg(F.count("*").alias("_n")).where(F.col("_n") > part_rows).select(ID, DAY)
+    heavy = materialize(sizes, "heavy-days")
+    light = null_safe_join(events, heavy, [ID, DAY], "left_anti").withColumn("_part", F.lit(0))
+    # A large day is spread over many tasks by the join of the few heavy days.
+    large = null_safe_join(events, heavy, [ID, DAY], "left_semi")
+    ranged, _ = in_range_parts(large, [ID, DAY, *order_columns(events)], part_rows=part_rows)
+    every = light.unionByName(ranged)
+    return every.select(*columns, F.struct(F.col(DAY).alias("day"), F.col("_part").alias("part")).alias(DAY))
+
+
 def journey_days(events: DataFrame, target: str = TARGET_EVENT) -> DataFrame:
     """One row per journey and active day: events, first, last and first target time.
 
@@ -88,6 +111,24 @@ def with_place(df: DataFrame, name: str) -> DataFrame:
         return materialize(df, "placed").select("*", place)
 
 
+def in_range_parts(
+    rows: DataFrame, order: Sequence, name: str = "_part", part_rows: int | None = None
+) -> tuple[DataFrame, int]:
+    """The rows, written once, with the number of the range of ``order`` they lie in, and
+    how many ranges there are.
+
+    Ranges are cut by a sample of the rows themselves, so values that are close
+    together, such as failure probabilities or times in microseconds, are spread as
+    evenly as any others, and there are the more of them the more rows there are. The
+    numbers are stored with the rows: whoever reads them sees the same ones.
+    """
+    rows = materialize(rows, "counts")
+    parts = max(1, -(-rows.count() // (part_rows or PART_ROWS)))
+    if parts == 1:
+        return rows.withColumn(name, F.lit(0)), parts
+    return materialize(rows.repartitionByRange(parts, *order).withColumn(name, F.spark_partition_id()), "ranges"), parts
+
+
 def order_columns(events: DataFrame) -> list[Column]:
     return [F.col(c) for c in ORDER if c in events.columns]
 

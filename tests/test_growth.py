@@ -1,4 +1,4 @@
-"""Sparse, simulated and saturating trends; bagged trees; tables that grow."""
+"""Sparse, simulated and saturating trends; bagged trees; tables and logs that grow."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from footfall.operators import bagging, forecast, growth, series, spread, timeline
 from footfall.session import scratch_path
 from footfall.sources import incremental
+from footfall.streaming import journeys as stream_journeys
+from footfall.streaming.monthly import stream_events
 
 FIRST = date(2020, 1, 1)
 
@@ -226,3 +228,59 @@ def test_places_are_the_same_whenever_rows_are_read(spark):
     one, two = (sorted(r._p for r in spread.with_place(d, "_p").collect()) for d in (df, df.repartition(7).where("a >= 0")))
     assert len(set(one)) == 500 and len(set(two)) == 500
     assert one == sorted(r._p for r in spread.with_place(df.select("a"), "_p").collect())
+
+
+def test_fine_days_keep_order_and_split(spark, log):
+    rows = [("a", "x" if k % 2 else "y", k % 50) for k in range(400)] + [("b", "x", 86_400 * k) for k in range(5)]
+    events = log(rows)
+    fine = spread.with_fine_day(events, part_rows=40).cache()
+    assert fine.count() == 405
+    sizes = {r[spread.DAY]: r["count"] for r in fine.groupBy("id", spread.DAY).count().collect() if r.id == "a"}
+    assert len(sizes) >= 8 and max(sizes.values()) < 120
+    got = {r.event_id: r.event_number for r in spread.with_event_number(fine).collect()}
+    assert got == {r.event_id: r.event_number for r in spread.with_event_number(events).collect()}
+    plain = {r.event_id: tuple(r) for r in timeline.timeline_features(events, ["x"]).collect()}
+    assert {r.event_id: tuple(r) for r in timeline.timeline_features(fine, ["x"]).select(*timeline.timeline_features(events, ["x"]).columns).collect()} == plain
+    assert spread.with_fine_day(events.limit(0)).count() == 0
+
+
+# --- logs that arrive in pieces
+
+
+def test_states_of_a_log_that_arrives_in_pieces(spark, log):
+    day = 86_400
+    pieces = [
+        [("fails", "a", 0), ("ships", "a", 0), ("back", "a", 0), ("ships", "buy", day)],
+        [("open", "a", 9 * day), ("open", "a", 9 * day)],
+        [("back", "a", 10 * day), ("open", "a", 10 * day + 5), (None, "a", 10 * day)],
+    ]
+    folder, out, state = (scratch_path(spark, n) for n in ("in", "out", "state"))
+
+    def run():
+        stream = stream_events(spark, folder, log([("x", "a", 0)]).schema)
+        changes = stream_journeys.journey_changes(stream, "buy", 7)
+        stream_journeys.run_to_folder(changes, out, state, "update").awaitTermination()
+        return {r.id: (r.n_events, r.final_outcome) for r in stream_journeys.latest_states(changes, out).collect()}
+
+    seen = []
+    for piece in pieces:
+        log(piece).coalesce(1).write.mode("append").parquet(folder)
+        seen.append(run())
+    assert seen[0] == {"fails": (1, "incomplete"), "ships": (2, "success"), "back": (1, "incomplete")}
+    # Silence alone turned two journeys, by their timers, and one of them returned.
+    assert seen[1]["fails"] == (1, "failure") and seen[1]["back"] == (1, "failure") and seen[1]["open"] == (2, "incomplete")
+    assert seen[2] == {
+        "fails": (1, "failure"), "ships": (2, "success"), "back": (2, "incomplete"), "open": (3, "incomplete"), None: (1, "incomplete"),
+    }
+
+
+def test_copies_in_a_stream_are_dropped_and_forgotten(spark, log):
+    folder, out, state = (scratch_path(spark, n) for n in ("in", "out", "state"))
+    log([("a", "x", 0), ("a", "x", 0), ("a", "y", 0), ("b", "x", 100)]).coalesce(1).write.parquet(folder)
+    log([("a", "x", 5_000), ("b", "x", 100), ("b", "x", 100)]).coalesce(1).write.mode("append").parquet(folder)
+    stream = stream_journeys.deduplicated(stream_events(spark, folder, log([("x", "a", 0)]).schema), delay="1 hour")
+    stream_journeys.run_to_folder(stream, out, state).awaitTermination()
+    got = sorted((r.id, r.event_name, r.event_timestamp.minute) for r in stream_journeys.written_rows(stream, out).collect())
+    assert len(got) == 4 and [g[:2] for g in got] == [("a", "x"), ("a", "x"), ("a", "y"), ("b", "x")]
+    with pytest.raises(ValueError):
+        stream_journeys.deduplicated(stream, ["id"])

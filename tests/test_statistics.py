@@ -211,8 +211,9 @@ def test_infinite_values_have_quantiles(spark):
 
 def test_ranges_are_even_and_grow_in_number(spark, monkeypatch):
     from footfall.operators import quantiles as qn
+    from footfall.operators import spread
 
-    monkeypatch.setattr(qn, "PART_ROWS", 4_000)
+    monkeypatch.setattr(spread, "PART_ROWS", 4_000)
     df = spark.range(200_000).select((0.02 + F.col("id") * 5e-9).alias("v")).repartition(5)
     ranged, parts = qn.in_range_parts(df, ["v"])
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("z"))
@@ -223,11 +224,12 @@ def test_ranges_are_even_and_grow_in_number(spark, monkeypatch):
 
 def test_many_ranges_rank_like_one(spark, monkeypatch):
     from footfall.operators import quantiles as qn
+    from footfall.operators import spread
 
     rows = [(k % 3 or None, float(k * k % 97), k) for k in range(900)] + [(1, float("inf"), 0), (2, float("-inf"), 0)]
     df = spark.createDataFrame(rows, "g int, v double, k int")
     one = {tuple(r) for r in qn.value_ranks(df, "v", ["g"]).collect()}
-    monkeypatch.setattr(qn, "PART_ROWS", 20)
+    monkeypatch.setattr(spread, "PART_ROWS", 20)
     assert {tuple(r) for r in qn.value_ranks(df, "v", ["g"]).collect()} == one and len(one) > 100
     assert tuple(qn.quantiles(df.where("v < 200"), "v", {"m": 0.5}).first()) == (sorted(r[1] for r in rows if r[1] < 200)[450],)
 
