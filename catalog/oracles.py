@@ -1029,3 +1029,23 @@ ORACLES |= {
         crammed=f"SELECT event_id, event_name, CASE WHEN event_name <> 'error' THEN us % {DAY_US} END AS us FROM log",
     ),
 }
+
+ORACLES |= {
+    "forecast_orders": sql(
+        """SELECT name, n AS n_rows, n AS n_ordered FROM (
+             SELECT 'months' AS name, date_diff('month', max(CAST(ds AS DATE)), DATE '2002-12-01') AS n FROM (
+                 SELECT date_trunc('month', CAST(ds AS DATE)) AS ds FROM daily) WHERE ds > DATE '1995-01-01' AND ds < DATE '2001-11-01'
+             UNION ALL SELECT 'year', 1
+             UNION ALL SELECT 'weeks', count(DISTINCT ds) + date_diff('day', max(CAST(ds AS DATE)), DATE '2002-12-01') // 7 FROM (
+                 SELECT date_trunc('week', CAST(ds AS DATE)) AS ds FROM warm))""",
+        "daily",
+        "warm",
+    ),
+    "forest_checks": sql(
+        f"""SELECT count(*) AS n, count(*) AS n_in_range, 1::BIGINT AS better FROM (
+             SELECT (row_number() OVER (PARTITION BY label ORDER BY {hashed("id || '_42'")}, id) - 1) % 5 AS fold FROM (
+                 SELECT id, target_us IS NOT NULL AS label FROM status
+                 WHERE CASE WHEN target_us IS NOT NULL THEN first_us < target_us ELSE last_us < as_of - 7 * {DAY_US} END)) WHERE fold = 0""",
+        "status",
+    ),
+}

@@ -1674,3 +1674,24 @@ def timeline_within_a_day(spark, sf_dir):
     parts = events.groupBy(spread.DAY).agg(F.count("*").alias("n"))
     ordered = numbered.select(TIE, "before", "event_number").join(running, TIE)
     return ordered.withColumn("spread_out", parts.agg((F.count("*") > 4) & (F.max("n") < 3 * rows)).scalar())
+
+
+@query
+def forecast_orders(spark, sf_dir):
+    """Rows of forecasts and how many of them keep their bounds in order."""
+
+    def checked(name: str, df: DataFrame, lower: str, middle: str, upper: str) -> DataFrame:
+        kept = (F.col(lower) <= F.col(middle)) & (F.col(middle) <= F.col(upper))
+        return df.agg(F.lit(name).alias("name"), F.count("*").alias("n_rows"), F.count_if(kept).alias("n_ordered"))
+
+    months, fit = _poisson(spark, sf_dir)
+    ahead = series.future_frame(months, "2002-12-01", "month", history=False)
+    by_month = forecast.forecast_poisson(fit, ahead)
+    year = forecast.annual_interval(fit, ahead.where(F.year("ds") == 2002))
+    names = ("ci_lower", "predicted_mean", "ci_upper")
+    weekly = ("yhat_lower", "yhat", "yhat_upper")
+    return (
+        checked("months", by_month.where("ci_lower >= 0"), *names)
+        .unionByName(checked("year", year, *names))
+        .unionByName(checked("weeks", weekly_forecast(spark, sf_dir), *weekly))
+    )
