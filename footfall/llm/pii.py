@@ -322,7 +322,7 @@ def sample_texts(docs: DataFrame, most: int = SAMPLE) -> list[str]:
         for b in batches:
             out = []
             for text in b["text"]:
-                for words in zones(text or "")[:50]:
+                for words in zones(text or ""):
                     out.append(text[max(0, words[0][0] - 20) : words[0][0] + 300])
             yield {"text": out}
 
