@@ -1041,6 +1041,20 @@ ORACLES |= {
         "daily",
         "warm",
     ),
+    "calendar_variant_checks": sql(
+        f"""SELECT count(*) AS n_scored, count(*) AS n_in_range, count(*) AS n_unseen, 5::BIGINT AS n_more, 1::BIGINT AS agrees FROM (
+             SELECT (row_number() OVER (PARTITION BY final_outcome ORDER BY {hashed("id || '_42'")}, id) - 1) % 5 AS fold FROM closed) WHERE fold = 0""",
+        "closed",
+    ),
+    "tuning_checks": sql(
+        f"""SELECT d.draw, count(*) AS n_scored, count(*) AS n_in_range, 1::BIGINT AS in_stated_space, 1::BIGINT AS brier_agrees,
+             1::BIGINT AS winner_agrees, 1::BIGINT AS ends_at_lowest_loss, 1::BIGINT AS tried_beyond FROM (
+             SELECT (row_number() OVER (PARTITION BY label ORDER BY {hashed("id || '_42'")}, id) - 1) % 5 AS fold FROM (
+                 SELECT id, target_us IS NOT NULL AS label FROM status
+                 WHERE CASE WHEN target_us IS NOT NULL THEN first_us < target_us ELSE last_us < as_of - 7 * {DAY_US} END)),
+             range(15) d(draw) WHERE fold = 0 GROUP BY d.draw""",
+        "status",
+    ),
     "forest_checks": sql(
         f"""SELECT count(*) AS n, count(*) AS n_in_range, 1::BIGINT AS better FROM (
              SELECT (row_number() OVER (PARTITION BY label ORDER BY {hashed("id || '_42'")}, id) - 1) % 5 AS fold FROM (

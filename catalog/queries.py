@@ -1122,8 +1122,39 @@ def cross_validation(spark, sf_dir):
 @query
 def boosted_tuning(spark, sf_dir):
     df = _model_table(spark, sf_dir)
-    settings = [{**s, "maxIter": 3, "maxDepth": min(s["maxDepth"], 4)} for s in models.draw_settings(3)]
-    return models.tune_gbt(df, _baseline_columns(df), settings)[0]
+    return models.tune_gbt(df, _baseline_columns(df))[0]
+
+
+@query
+def tuning_checks(spark, sf_dir):
+    """Per draw of the search: held-out rows scored, and whether Brier score, winner and
+    rounds follow from the stored scores and error paths."""
+    df = _model_table(spark, sf_dir)
+    found = models.search_gbt(df, _baseline_columns(df))
+    again = found.scores.groupBy("draw").agg(
+        F.count("*").alias("n_scored"),
+        F.count_if((F.col("p") >= 0) & (F.col("p") <= 1)).alias("n_in_range"),
+        (F.sum((F.col("p") - F.col("label")) * (F.col("p") - F.col("label"))) / F.count("*")).alias("_again"),
+    )
+    ends = found.path.groupBy("draw").agg(
+        F.max("round").alias("_last"), F.min_by("round", F.struct("log_loss", "round")).alias("_lowest")
+    )
+    top = again.agg(F.min(F.struct("_again", "draw"))["draw"]).scalar()
+    stated = F.col("max_iter").between(50, 300) & F.col("step_size").between(0.05, 0.3) & F.col("max_depth").between(3, 8)
+    return (
+        found.results.join(again, "draw")
+        .join(ends, "draw")
+        .select(
+            F.col("draw").cast("long").alias("draw"),
+            "n_scored",
+            "n_in_range",
+            stated.alias("in_stated_space"),
+            (F.abs(F.col("brier") - F.col("_again")) < 1e-12).alias("brier_agrees"),
+            (F.col("best") == (F.col("draw") == top)).alias("winner_agrees"),
+            (F.col("rounds") == F.col("_lowest")).alias("ends_at_lowest_loss"),
+            (F.col("_last") >= F.least("max_iter", F.col("rounds") + 20)).alias("tried_beyond"),
+        )
+    )
 
 
 def _profile_inputs(spark, sf_dir):
@@ -1261,21 +1292,86 @@ def poisson_year(spark, sf_dir):
     return forecast.annual_interval(fit, ahead)
 
 
-@query
-def variant_metrics(spark, sf_dir):
-    """Boosted trees with and without the count columns on the same fold."""
+def _count_variants(spark, sf_dir):
+    """Boosted trees with and without the count columns, at the stated settings: fitted on
+    folds 1 to 4, of which 1 validates, and scored on the journeys of fold 0."""
     df = _model_table(spark, sf_dir)
     columns = _baseline_columns(df)
     short = [c for c in columns if not c.startswith("n_") or c in ("n_events", "n_unique_events")]
-    return comparison.compare_variants(df, df, {"short": short, "full": columns}, maxIter=5, maxDepth=3)[0]
+    return comparison.compare_variants(
+        df.where("fold <> 0"),
+        df.where("fold = 0"),
+        {"short": short, "full": columns},
+        fold=1,
+        **models.BOOST_SETTINGS["calendar"],
+    )
+
+
+@query
+def variant_metrics(spark, sf_dir):
+    return _count_variants(spark, sf_dir)[0]
 
 
 @query
 def variant_predictions(spark, sf_dir):
-    df = _model_table(spark, sf_dir)
-    columns = _baseline_columns(df)
-    short = [c for c in columns if not c.startswith("n_") or c in ("n_events", "n_unique_events")]
-    return comparison.compare_variants(df, df, {"short": short, "full": columns}, maxIter=5, maxDepth=3)[1]
+    return _count_variants(spark, sf_dir)[1]
+
+
+def _calendar_variants(spark, sf_dir):
+    """Snapshots with and without the forecast of their last day, compared on other journeys."""
+    events = materialize(log(spark, sf_dir), "log")
+    flat = features.with_label(journeys.single_snapshot_features(events, NAMES, TARGET, DAYS))
+    days = materialize(series.daily_counts(events, TARGET), "daily")
+    by_day = forecast.calendar_features(forecast.forecast_additive(forecast.fit_additive(days, changepoints=5), days))
+    known = forecast.with_calendar_features(features.fill_zero(flat), materialize(by_day, "calendar"))
+    table = materialize(sampling.with_folds(known, "final_outcome"), "calendar-training")
+    # Outcomes are the target's, so its own count would give them away.
+    plain = [c for c in models.feature_columns(flat) if c != f"n_{TARGET}"]
+    return table, comparison.compare_variants(
+        table.where("fold <> 0"),
+        table.where("fold = 0"),
+        {"plain": plain, "calendar": [*plain, *forecast.CALENDAR_COLUMNS]},
+        fold=1,
+        **models.BOOST_SETTINGS["calendar"],
+    )
+
+
+@query
+def calendar_variants(spark, sf_dir):
+    """Metrics of boosted trees without and with calendar features on the same journeys."""
+    return _calendar_variants(spark, sf_dir)[1][0]
+
+
+@query
+def calendar_variant_checks(spark, sf_dir):
+    """Which journeys the calendar variants are scored on, and whether the figures agree
+    with the stored scores."""
+    table, (metrics, both) = _calendar_variants(spark, sf_dir)
+    facts = metrics.groupBy().agg(
+        F.max(F.when(F.col("variant") == "plain", F.col("pred_mean"))).alias("_plain"),
+        F.max(F.when(F.col("variant") == "calendar", F.col("pred_mean"))).alias("_calendar"),
+        F.max("n_features").alias("_most"),
+        F.min("n_features").alias("_least"),
+        F.max("corr").alias("_corr"),
+    )
+    means = both.agg(F.struct(F.avg("p_a").alias("a"), F.avg("p_b").alias("b"), F.corr("p_a", "p_b").alias("c")).alias("m"))
+    seen = facts.withColumn("_m", means.scalar())
+
+    def near(x, y):
+        return (F.coalesce(F.abs(F.col(x) - F.col(y)), F.lit(0.0)) < 1e-9).cast("int")
+
+    checks = F.struct(
+        (F.col("_most") - F.col("_least")).cast("long").alias("n_more"),
+        (near("_plain", "_m.a") * near("_calendar", "_m.b") * near("_corr", "_m.c")).alias("agrees"),
+    )
+    trained = table.where("fold <> 0").select(ID)
+    unseen = both.join(trained, ID, "left_anti").agg(F.count("*")).scalar()
+    bounded = ((F.col("p_a") >= 0) & (F.col("p_a") <= 1) & (F.col("p_b") >= 0) & (F.col("p_b") <= 1))
+    return both.agg(
+        F.count("*").alias("n_scored"), F.count_if(bounded).alias("n_in_range")
+    ).select("*", unseen.alias("n_unseen"), seen.select(checks).scalar().alias("c")).select(
+        "n_scored", "n_in_range", "n_unseen", "c.*"
+    )
 
 
 # --- the same steps with formulas in place of fitted models, so that SQL can follow

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from footfall.functions.scalars import to_class
@@ -70,7 +70,8 @@ def classification_report(df: DataFrame, label: str = "label", p: str = "p", t:
     return base.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def brier(df: DataFrame, label: str = "label", p: str = "p") -> DataFrame:
+def brier(df: DataFrame | GroupedData, label: str = "label", p: str = "p") -> DataFrame:
+    """Mean squared difference of score and class, of a table or of each of its groups."""
     return df.agg(F.avg(F.pow(F.col(p) - F.col(label), 2)).alias("brier"))
 
 

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassifier
+from pyspark.ml.feature import QuantileDiscretizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +19,8 @@ from pyspark.sql import functions as F
 from footfall.functions.scalars import to_class
 from footfall.operators.clean import numeric_columns
 from footfall.operators.metrics import brier, evaluate
-from footfall.schema import LEAKY_COLUMNS
+from footfall.schema import ID, LEAKY_COLUMNS
+from footfall.session import materialize
 
 NOT_FEATURES = ("id", "snapshot_id", "final_outcome", "label", "fold", "is_valid", "p")
 
@@ -107,23 +112,119 @@ def draw_settings(n: int = 15, seed: int = 42) -> list[dict]:
     ]
 
 
-def tune_gbt(
-    df: DataFrame, features: Sequence[str], settings: Sequence[dict] | None = None, fold: int = 0, seed: int = 42
-) -> tuple[DataFrame, PipelineModel]:
-    """Try each setting on one held-out fold by Brier score and refit the best on all rows.
+@dataclass(frozen=True)
+class Tuning:
+    """What a random search found.
+
+    ``results`` has one row per draw, ``scores`` the held-out rows as each draw scores
+    them (``draw, <key>, label, p``), ``path`` the held-out log loss of every draw after
+    every round that was tried (``draw, round, log_loss``); ``model`` is the best draw,
+    fitted again on all rows.
+    """
 
-    The holdout is a whole fold of ids, so snapshots of one journey never stand
-    on both sides.
+    results: DataFrame
+    scores: DataFrame
+    path: DataFrame
+    model: PipelineModel
+
+
+def fit_until_worse(
+    fit: Callable[[int], GBTClassificationModel], held: DataFrame, most: int, patience: int
+) -> tuple[GBTClassificationModel, list[float]]:
+    """The model of ``fit(rounds)`` with the lowest held-out loss, and the loss after every round.
+
+    More rounds are tried, twice as many each time, until the lowest loss lies
+    ``patience`` rounds back or ``most`` rounds are done. Boosting with one seed repeats
+    its first trees, so a longer fit continues the path of a shorter one.
+    """
+    rounds = min(most, 2 * patience)
+    while True:
+        model = fit(rounds)
+        errors = model.evaluateEachIteration(held)
+        lowest = min(range(rounds), key=errors.__getitem__) + 1
+        if rounds == most or lowest + patience <= rounds:
+            break
+        rounds = min(most, 2 * rounds)
+    return (model if lowest == rounds else fit(lowest)), errors
+
+
+def search_gbt(
+    df: DataFrame,
+    features: Sequence[str],
+    settings: Sequence[dict] | None = None,
+    fold: int = 0,
+    seed: int = 42,
+    bins: int = 32,
+    patience: int = 20,
+    at_once: int = 8,
+    label: str = "label",
+    key: str = ID,
+) -> Tuning:
+    """Random search for boosting settings on one held-out fold, by Brier score.
+
+    The features are cut into ``bins`` quantile ranges once and written as one table of
+    vectors that all draws share, so no draw goes back to the features. The holdout is a
+    whole fold of ids, so snapshots of one journey never stand on both sides. A draw
+    keeps its rounds up to the lowest held-out loss (:func:`fit_until_worse`). ``at_once``
+    fits run side by side, since the jobs of a single fit are short. The best draw is
+    fitted again on all rows with the rounds it kept. A fold without rows is refused.
     """
+    spark = df.sparkSession
     settings = draw_settings(seed=seed) if settings is None else list(settings)
-    train, valid = df.where(F.col("fold") != fold), df.where(F.col("fold") == fold)
-    results = []
-    for i, s in enumerate(settings):
-        loss = brier(score(fit_gbt(train, features, seed=seed, **s), valid)).first()[0]
-        results.append((i, s["maxIter"], float(s["stepSize"]), s["maxDepth"], loss))
-    best = min(results, key=lambda r: (r[-1], r[0]))[0]
-    table = df.sparkSession.createDataFrame(
-        [(*r, r[0] == best) for r in results],
-        "draw int, max_iter int, step_size double, max_depth int, brier double, best boolean",
+    cut = QuantileDiscretizer(
+        inputCols=list(features),
+        outputCols=[f"_bin_{i}" for i in range(len(features))],
+        numBuckets=bins,
+        handleInvalid="keep",
+    ).fit(df)
+    together = VectorAssembler(inputCols=cut.getOutputCols(), outputCol="_x")
+    vectors = together.transform(cut.transform(df)).select(
+        key, F.col(label).alias("label"), "_x", (F.col("fold") == fold).alias("_held")
     )
-    return table, fit_gbt(df, features, seed=seed, **settings[best])
+    shared = materialize(vectors, "tuning-vectors")
+    held, train = shared.where("_held"), shared.where("NOT _held")
+    if held.isEmpty():
+        raise ValueError(f"fold {fold} has no rows to hold out")
+
+    def booster(s: dict, rounds: int) -> GBTClassifier:
+        return GBTClassifier(
+            labelCol="label", featuresCol="_x", seed=seed, maxBins=bins + 1, **{**s, "maxIter": rounds}
+        )
+
+    def attempt(numbered: tuple[int, dict]):
+        i, s = numbered
+        model, errors = fit_until_worse(lambda n: booster(s, n).fit(train), held, s["maxIter"], patience)
+        scored = model.transform(held).select(
+            F.lit(i).alias("draw"), key, "label", vector_to_array("probability")[1].alias("p")
+        )
+        return materialize(scored, "tuning-scores"), errors, model.getNumTrees
+
+    with ThreadPool(at_once) as pool:
+        tried = pool.map(inheritable_thread_target(spark)(attempt), list(enumerate(settings)), chunksize=1)
+    scores = reduce(DataFrame.unionByName, [t for t, _, _ in tried])
+    path = spark.createDataFrame(
+        [(i, r, float(e)) for i, (_, errors, _) in enumerate(tried) for r, e in enumerate(errors, start=1)],
+        "draw int, round int, log_loss double",
+    )
+    loss = {r["draw"]: r["brier"] for r in brier(scores.groupBy("draw")).collect()}
+    rows = [
+        (i, s["maxIter"], float(s["stepSize"]), s["maxDepth"], kept, loss[i])
+        for i, (s, (_, _, kept)) in enumerate(zip(settings, tried))
+    ]
+    best = min(rows, key=lambda r: (r[-1], r[0]))[0]
+    results = spark.createDataFrame(
+        [(*r, r[0] == best) for r in rows],
+        "draw int, max_iter int, step_size double, max_depth int, rounds int, brier double, best boolean",
+    )
+    final = booster(settings[best], rows[best][4]).fit(shared)
+    model = PipelineModel([cut, together, final])
+    model.feature_names = list(features)
+    return Tuning(results, scores, path, model)
+
+
+def tune_gbt(
+    df: DataFrame, features: Sequence[str], settings: Sequence[dict] | None = None, fold: int = 0, seed: int = 42
+) -> tuple[DataFrame, PipelineModel]:
+    """The results and the refitted best model of :func:`search_gbt`."""
+    found = search_gbt(df, features, settings, fold, seed)
+    return found.results, found.model

@@ -12,7 +12,7 @@ from footfall.functions.scalars import hash_uniform
 from footfall.functions.times import epoch_seconds, micros
 from footfall.operators.quantiles import value_ranks
 from footfall.operators.spread import DAY, day_window, null_safe_join, with_day
-from footfall.schema import ID, TS
+from footfall.schema import ID, NAME, TARGET_EVENT, TS
 
 
 def journey_bounds(events: DataFrame) -> DataFrame:
@@ -91,21 +91,103 @@ def expand_snapshots(events: DataFrame, cutoffs: DataFrame, days: DataFrame | No
     return null_safe_join(events, routed, [ID, DAY]).where(F.col(TS) <= F.col("cutoff_time")).drop(DAY)
 
 
-def expand_with_gaps(events: DataFrame, cutoffs: DataFrame, days: DataFrame) -> DataFrame:
-    """:func:`expand_snapshots` with ``gap_s``, the whole seconds since the previous event.
+def day_states(events: DataFrame, names: Sequence[str], target: str = TARGET_EVENT) -> DataFrame:
+    """Mergeable states of every journey and active day, one row per value of the gap.
 
-    The journey-day table carries both the last time of the day before and the
-    cutoffs, so the events meet it in a single join. A gap needs no second look
-    after the cut: the predecessor of a visible event is visible too.
+    A row holds how many events of the day followed their predecessor of the same day
+    after ``gap_s`` whole seconds, their first and last time, the first target time and
+    the counts ``n_<event>``. A day's first event has no predecessor in it; its row is
+    the one marked ``opens``. A day of a journey has at most 86,400 distinct gaps, so
+    the table stays small however many events one journey holds. Gap and states share
+    the shuffle on (journey, day).
     """
-    by_day = Window.partitionBy(ID).orderBy(DAY)
-    linked = days.select(ID, DAY, F.lag("last_ts").over(by_day).alias("_carry_ts"))
-    routed = null_safe_join(linked, cutoffs, [ID]).where(F.col(DAY) <= F.to_date("cutoff_time"))
     events = with_day(events)
-    inside = events.withColumn("_inner_ts", F.lag(TS).over(day_window(events)))
-    visible = null_safe_join(inside, routed, [ID, DAY]).where(F.col(TS) <= F.col("cutoff_time"))
-    before = F.coalesce("_inner_ts", "_carry_ts")
-    return visible.withColumn("gap_s", epoch_seconds(TS) - epoch_seconds(before)).drop("_inner_ts", "_carry_ts", DAY)
+    before = F.lag(TS).over(Window.partitionBy(ID, DAY).orderBy(TS))
+    timed = events.withColumn("_before_ts", before).withColumns(
+        {"gap_s": epoch_seconds(TS) - epoch_seconds("_before_ts"), "opens": F.col("_before_ts").isNull()}
+    )
+    return timed.groupBy(ID, DAY, "opens", "gap_s").agg(
+        F.count("*").alias("n"),
+        F.min(TS).alias("first_ts"),
+        F.max(TS).alias("last_ts"),
+        F.min(F.when(F.col(NAME) == target, F.col(TS))).alias("first_target_ts"),
+        *[F.count_if(F.col(NAME) == n).alias(f"n_{n}") for n in names],
+    )
+
+
+def days_of_states(states: DataFrame) -> DataFrame:
+    """The journey-day table (:func:`spread.journey_days`) from :func:`day_states`."""
+    return states.groupBy(ID, DAY).agg(
+        F.sum("n").alias("n"),
+        F.min("first_ts").alias("first_ts"),
+        F.max("last_ts").alias("last_ts"),
+        F.min("first_target_ts").alias("first_target_ts"),
+    )
+
+
+def features_at(
+    events: DataFrame,
+    states: DataFrame,
+    days: DataFrame,
+    cutoffs: DataFrame,
+    names: Sequence[str],
+    by: Sequence[str] = (ID,),
+) -> DataFrame:
+    """:func:`features.flatten_journeys` as of each cutoff, without expanding the events.
+
+    Days before the cutoff's own come in as their states; only events of a cutoff's own
+    day are compared with it one by one. Events without a time are visible at no cutoff.
+    ``by`` names columns of ``cutoffs`` that tell snapshots apart, the id among them.
+    ``states`` and ``days`` are tables of :func:`day_states` and :func:`days_of_states`
+    of the same events.
+    """
+    own = F.to_date("cutoff_time")
+    keys = [*by, "cutoff_time"]
+    by_day = Window.partitionBy(ID).orderBy(DAY)
+    linked = days.select(
+        ID, DAY, "first_ts", epoch_seconds(F.lag("last_ts").over(by_day)).alias("_carry_s")
+    ).where(F.col("first_ts").isNotNull())
+    routed = null_safe_join(linked.drop("first_ts"), cutoffs.select(*keys), [ID]).where(F.col(DAY) <= own)
+    counts = [F.col(f"`n_{n}`") for n in names]
+
+    def first_gap(opens: Column, ts: str) -> Column:
+        return F.when(opens, epoch_seconds(ts) - F.col("_carry_s")).otherwise(F.col("gap_s")).alias("gap_s")
+
+    earlier = null_safe_join(states, routed.where(F.col(DAY) < own), [ID, DAY]).select(
+        *keys, first_gap(F.col("opens"), "first_ts"), "n", "first_ts", "last_ts", *counts
+    )
+    visible = null_safe_join(with_day(events), routed.where(F.col(DAY) == own), [ID, DAY]).where(
+        F.col(TS) <= F.col("cutoff_time")
+    )
+    # One snapshot sees at most one day here, so the window holds a part of a day.
+    before = F.lag(TS).over(Window.partitionBy(*by, DAY).orderBy(TS))
+    timed = visible.withColumn("_before_ts", before).withColumn("gap_s", epoch_seconds(TS) - epoch_seconds("_before_ts"))
+    last_day = timed.select(
+        *keys,
+        first_gap(F.col("_before_ts").isNull(), TS),
+        F.lit(1).cast("long").alias("n"),
+        F.col(TS).alias("first_ts"),
+        F.col(TS).alias("last_ts"),
+        *[(F.col(NAME) == n).cast("long").alias(f"n_{n}") for n in names],
+    )
+    start, end = F.min("first_ts"), F.max("last_ts")
+    return (
+        earlier.unionByName(last_day)
+        .groupBy(*by)
+        .agg(
+            start.alias("first_action_ts"),
+            end.alias("last_action_ts"),
+            (epoch_seconds(end) - epoch_seconds(start)).alias("journey_length_s"),
+            ((epoch_seconds(F.max("cutoff_time")) - epoch_seconds(end)) / 86400).cast("int").alias("days_inactive"),
+            F.sum("n").alias("total_actions"),
+            (F.sum(F.col("gap_s") * F.col("n")) / F.sum(F.when(F.col("gap_s").isNotNull(), F.col("n")))).alias(
+                "mean_gap_sec"
+            ),
+            F.percentile("gap_s", 0.5, F.col("n")).alias("median_gap_sec"),
+            F.max("gap_s").alias("max_gap_sec"),
+            *[F.coalesce(F.sum(c), F.lit(0)).alias(f"n_{n}") for n, c in zip(names, counts)],
+        )
+    )
 
 
 def truncate_at(events: DataFrame, cutoffs: DataFrame) -> DataFrame:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.operators.metrics import compare_predictions, correlation, evaluate, prediction_summary
 from footfall.operators.models import fit_gbt, score
 from footfall.schema import ID
+from footfall.session import materialize
 
 
 def compare_variants(
@@ -23,15 +26,21 @@ def compare_variants(
     """Metrics per variant, and the two variants' predictions side by side.
 
     ``train`` carries ``label`` and ``fold``. Each variant is validated on the
-    held-out fold, refitted on all rows and applied to ``test``.
+    held-out fold, refitted on all rows of ``train`` and applied to ``test``, which
+    should hold other journeys, one row each. The four fits run side by side.
     """
     if len(variants) != 2:
         raise ValueError("give exactly two variants")
+    known = train.where(F.col("fold") != fold)
+    jobs = [(rows, features) for features in variants.values() for rows in (known, train)]
+    with ThreadPool(len(jobs)) as pool:
+        fit = inheritable_thread_target(train.sparkSession)(lambda job: fit_gbt(*job, seed=seed, **params))
+        fitted = pool.map(fit, jobs, chunksize=1)
     rows, predictions = [], []
-    for name, features in variants.items():
-        checked = fit_gbt(train.where(F.col("fold") != fold), features, seed=seed, **params)
+    for i, (name, features) in enumerate(variants.items()):
+        checked, refitted = fitted[2 * i : 2 * i + 2]
         quality = evaluate(score(checked, train.where(F.col("fold") == fold)))
-        final = score(fit_gbt(train, features, seed=seed, **params), test).select(ID, "p")
+        final = materialize(score(refitted, test).select(ID, "p"), "variant-scores")
         predictions.append(final)
         summary = prediction_summary(final)
         rows.append(

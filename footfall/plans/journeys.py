@@ -21,7 +21,15 @@ from footfall.operators.outcomes import (
     status_from_days,
 )
 from footfall.operators.sampling import balance_classes, downsample_success, with_folds
-from footfall.operators.snapshots import bounds_from_status, expand_with_gaps, k_cutoffs, single_cutoff, snapshot_k
+from footfall.operators.snapshots import (
+    bounds_from_status,
+    day_states,
+    days_of_states,
+    features_at,
+    k_cutoffs,
+    single_cutoff,
+    snapshot_k,
+)
 from footfall.operators.spread import attach_journey, journey_days
 from footfall.schema import FEATURE_EVENTS, ID, INACTIVITY_DAYS, LEAKY_COLUMNS, TARGET_EVENT, TS
 from footfall.session import materialize
@@ -49,15 +57,16 @@ def snapshot_features(
 ) -> DataFrame:
     """Features of up to five random past moments per closed journey, with its outcome.
 
-    The log is read twice: once for the journey-day table, which is written and
-    yields outcomes, bounds, cutoffs and day links, and once for the features.
-    The exploded events feed the aggregation directly and are never stored.
+    The log is read twice: once for the states of every journey and day, which are
+    written and yield outcomes, bounds, cutoffs and the features of whole days, and once
+    for the events of the days that hold a cutoff.
     """
-    days = materialize(journey_days(events, target), "journey-days")
+    states = materialize(day_states(events, names, target), "day-states")
+    days = materialize(days_of_states(states), "journey-days")
     bounds = closed_bounds(days, inactivity_days)
-    cutoffs = k_cutoffs(snapshot_k(bounds, by), seed, keep=("final_outcome",)).drop("k_no")
-    visible = expand_with_gaps(events, cutoffs, days)
-    return flatten_journeys(visible, names, by=(ID, "snapshot_id", "final_outcome"))
+    chosen = k_cutoffs(snapshot_k(bounds, by), seed, keep=("final_outcome",)).drop("k_no")
+    cutoffs = materialize(chosen, "cutoffs")
+    return features_at(events, states, days, cutoffs, names, by=(ID, "snapshot_id", "final_outcome"))
 
 
 def closed_bounds(days: DataFrame, inactivity_days: int = INACTIVITY_DAYS) -> DataFrame:
@@ -74,10 +83,11 @@ def single_snapshot_features(
     seed: int = 42,
 ) -> DataFrame:
     """Features of one random past moment per closed journey, with its outcome."""
-    days = materialize(journey_days(events, target), "journey-days")
-    cutoffs = single_cutoff(closed_bounds(days, inactivity_days), seed, keep=("final_outcome",))
-    visible = expand_with_gaps(events, cutoffs, days)
-    return flatten_journeys(visible, names, by=(ID, "final_outcome"))
+    states = materialize(day_states(events, names, target), "day-states")
+    days = materialize(days_of_states(states), "journey-days")
+    chosen = single_cutoff(closed_bounds(days, inactivity_days), seed, keep=("final_outcome",))
+    cutoffs = materialize(chosen, "cutoffs")
+    return features_at(events, states, days, cutoffs, names, by=(ID, "final_outcome"))
 
 
 def snapshot_model(
@@ -100,7 +110,9 @@ def snapshot_model(
     def forest(df, columns):
         return fit_rf(df, columns, **FOREST_SETTINGS["snapshot"])
 
-    sampled = downsample_success(snapshot_features(events, names, target, inactivity_days))
+    # Written, since the sample counts the rows before it draws them.
+    flat = materialize(snapshot_features(events, names, target, inactivity_days), "snapshot-features")
+    sampled = downsample_success(flat)
     table = materialize(with_folds(with_label(sampled), "final_outcome"), "snapshot-training")
     # Gaps are null for snapshots of one event.
     table = fill_zero(table)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import random
 from collections import defaultdict
+from datetime import timedelta
 from statistics import median
 
 import pytest
-from conftest import records
+from conftest import START, records
 from pyspark.sql import functions as F
 
 from footfall.operators import features, funnel, sequences, snapshots, spread, timeline
@@ -178,6 +179,32 @@ def test_snapshots_never_look_ahead(log, rows):
     assert seen.select("snapshot_id").distinct().count() == cuts.count() == sum(ks.values())
 
 
+def test_features_from_day_states_equal_those_of_expanded_events(spark, log):
+    day = 86_400
+    rows = [("busy", NAMES[k % len(NAMES)], day + k // 3) for k in range(600)]
+    rows += [("busy", NAMES[0], 5 * day + 60 * k) for k in range(50)]
+    rows += [("lone", NAMES[1], 0), (None, NAMES[0], 10), (None, NAMES[1], 2 * day)]
+    df = log(rows).unionByName(
+        spark.createDataFrame([("busy", NAMES[0], None, 9000)], "id string, event_name string, event_timestamp timestamp, event_id long")
+    )
+    cuts = spark.createDataFrame(
+        [("busy", f"busy_{k}", START + timedelta(seconds=s)) for k, s in enumerate((day, day + 100, 4 * day, 5 * day + 90, 9 * day))]
+        + [("lone", "lone_1", START), (None, "1", START + timedelta(seconds=3 * day)), ("gone", "gone_1", START)],
+        "id string, snapshot_id string, cutoff_time timestamp",
+    )
+    states = snapshots.day_states(df, NAMES)
+    by = ("id", "snapshot_id")
+    got = records(snapshots.features_at(df, states, snapshots.days_of_states(states), cuts, NAMES, by), "snapshot_id")
+    timed = features.with_gaps(df.where("event_timestamp IS NOT NULL"))
+    want = records(features.flatten_journeys(snapshots.expand_snapshots(timed, cuts), NAMES, by=by), "snapshot_id")
+    assert got == want and [r["snapshot_id"] for r in got] == ["1", *[f"busy_{k}" for k in range(5)], "lone_1"]
+    # Rows of the busy day are its distinct gaps, not its events.
+    assert states.where("id = 'busy'").count() < 10
+    assert spark.createDataFrame([], df.schema).transform(
+        lambda e: snapshots.features_at(e, snapshots.day_states(e, NAMES), snapshots.days_of_states(snapshots.day_states(e, NAMES)), cuts, NAMES, by)
+    ).isEmpty()
+
+
 def test_snapshot_features_match_recomputed_rows(log, rows):
     df = log(rows + [("won", "z", 5), ("won", "order_shipped", 9)])
     got = journeys.snapshot_features(df, NAMES, inactivity_days=10)

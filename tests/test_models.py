@@ -64,6 +64,45 @@ def test_tuning_marks_the_best(table, columns):
     assert models.score(model, table).where("p is null").count() == 0
 
 
+def test_search_follows_the_error_paths(table, columns):
+    settings = [{"maxIter": 3, "stepSize": 0.3, "maxDepth": 2}, {"maxIter": 9, "stepSize": 0.3, "maxDepth": 3}]
+    found = models.search_gbt(table, columns, settings, fold=1, patience=2, bins=8)
+    held = records(table.where("fold = 1").select("id", "label"), "id")
+    paths = records(found.path, "draw", "round")
+    for r in found.results.collect():
+        scored = records(found.scores.where(F.col("draw") == r["draw"]), "id")
+        assert [(x["id"], x["label"]) for x in scored] == [(x["id"], x["label"]) for x in held]
+        assert r["brier"] == pytest.approx(sum((x["p"] - x["label"]) ** 2 for x in scored) / len(scored))
+        losses = [x["log_loss"] for x in paths if x["draw"] == r["draw"]]
+        assert losses[r["rounds"] - 1] == min(losses)
+        assert len(losses) >= min(r["max_iter"], r["rounds"] + 2)
+    best = found.results.where("best").first()
+    assert found.model.stages[-1].getNumTrees == best["rounds"]
+    with pytest.raises(ValueError, match="no rows"):
+        models.search_gbt(table, columns, settings, fold=99)
+
+
+def test_rounds_double_until_the_loss_has_risen_for_long():
+    class Fitted:
+        def __init__(self, rounds):
+            self.rounds = rounds
+
+        def evaluateEachIteration(self, _):
+            return [abs(r - 7) + 1.0 for r in range(1, self.rounds + 1)]
+
+    asked = []
+
+    def fit(rounds):
+        asked.append(rounds)
+        return Fitted(rounds)
+
+    model, losses = models.fit_until_worse(fit, None, 100, 3)
+    assert (asked, model.rounds, len(losses)) == ([6, 12, 7], 7, 12)
+    asked.clear()
+    model, losses = models.fit_until_worse(fit, None, 5, 3)
+    assert (asked, model.rounds) == ([5], 5)
+
+
 def test_random_settings_stay_in_range():
     drawn = models.draw_settings()
     assert len(drawn) == 15 and drawn == models.draw_settings()
@@ -121,9 +160,13 @@ def test_plotted_feature_must_exist(spark, table, forest):
 
 
 def test_variants(table, columns):
-    metrics, both = comparison.compare_variants(table, table, {"one": columns[:2], "all": columns}, maxIter=2, maxDepth=2)
+    train, test = table.where("fold <> 0"), table.where("fold = 0")
+    metrics, both = comparison.compare_variants(
+        train, test, {"one": columns[:2], "all": columns}, fold=1, maxIter=2, maxDepth=2
+    )
     rows = records(metrics, "n_features")
-    assert [r["variant"] for r in rows] == ["one", "all"] and rows[0]["pred_n"] == table.count()
+    assert [r["variant"] for r in rows] == ["one", "all"] and rows[0]["pred_n"] == test.count()
+    assert both.join(train, "id", "left_semi").isEmpty()
     assert both.where("abs(delta - (p_b - p_a)) > 1e-12").count() == 0
 
 
