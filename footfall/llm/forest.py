@@ -10,7 +10,7 @@ Dense groups are not cut. Where sampled vectors have more near partners than a l
 holds, some become centres. Vectors near a centre (its core) leave the node and form
 one set with all vectors within twice the angle, hence with all their partners in the
 node. This is done once over all vectors, before there are trees, and again in every
-node. Sets and leaves above the leaf size are compared block against block, in as many
+node. Sets and leaves above ``WIDE`` rows are compared block against block, in up to as many
 tasks as there are pairs of blocks: the cost is quadratic in the size of such a group.
 
 A pair that meets in several leaves counts only in the smallest one they share,
@@ -38,6 +38,8 @@ FIT_ROWS = 4_096
 DEPTH = 6
 SEED = 11
 BLOCK = 512
+# Rows of a block of a large leaf; every row is sent once per block of its leaf.
+WIDE = 4_096
 # Near partners in the sample that make a vector a centre; most centres of a node.
 LEAST_SEEN = 8
 SETS = 8_192
@@ -197,15 +199,29 @@ def grown(vectors: DataFrame, kind: str, trees: int, leaf: int, spill: float, le
     return rows if done is None else done.unionByName(rows)
 
 
+def joined(label, i, j):
+    """``label``, which gives every row the smallest row of its set, after linking rows i and j."""
+    while True:
+        u, v = label[i], label[j]
+        apart = u != v
+        if not apart.any():
+            return label
+        i, j, u, v = i[apart], j[apart], u[apart], v[apart]
+        label = label.copy()
+        np.minimum.at(label, np.maximum(u, v), np.minimum(u, v))
+        while (label[label] != label).any():
+            label = label[label]
+
+
 def leaf_links(rep, weight, x, leaves, here: int, least: float, side=None):
-    """Weighted links of each vector and a spanning forest, from owned pairs.
+    """Weighted links of each vector and the smallest row it is linked to, from owned pairs.
 
     ``leaves`` holds the codes of all leaves of every row, padded with -1. With a
-    sorted ``side``, only pairs of different sides are compared.
+    sorted ``side``, only pairs of different sides are compared. Links are merged block
+    by block, so no pair is kept.
     """
     n = len(rep)
     links, label = np.zeros(n, np.int64), np.arange(n)
-    pairs = []
     for a in range(0, n, BLOCK):
         for b in range(a, n, BLOCK):
             if side is not None and side[a] == side[min(b + BLOCK, n) - 1]:
@@ -214,29 +230,21 @@ def leaf_links(rep, weight, x, leaves, here: int, least: float, side=None):
             i, j = i + a, j + b
             ok = i < j if side is None else (i < j) & (side[i] != side[j])
             i, j = i[ok], j[ok]
+            label = joined(label, i, j)
             for k in range(0, len(i), 20_000):
                 p, q = i[k : k + 20_000], j[k : k + 20_000]
-                shared = (leaves[p][:, :, None] == leaves[q][:, None, :]) & (leaves[p] >= 0)[:, :, None]
-                first = np.where(shared.any(axis=2), leaves[p], np.iinfo(np.int64).max).min(axis=1)
-                own = first == here
-                np.add.at(links, p[own], weight[q[own]])
-                np.add.at(links, q[own], weight[p[own]])
-            pairs.append((i, j))
-    if not any(len(i) for i, _ in pairs):
-        return links, label
-    while True:
-        before = label.copy()
-        for i, j in pairs:
-            m = np.minimum(label[i], label[j])
-            np.minimum.at(label, i, m)
-            np.minimum.at(label, j, m)
-        label = label[label]
-        if (label == before).all():
-            return links, label
+                # Rows in one leaf only can meet nowhere else.
+                if leaves.shape[1] > 1:
+                    shared = (leaves[p][:, :, None] == leaves[q][:, None, :]) & (leaves[p] >= 0)[:, :, None]
+                    first = np.where(shared.any(axis=2), leaves[p], np.iinfo(np.int64).max).min(axis=1)
+                    p, q = p[first == here], q[first == here]
+                for one, other in ((p, q), (q, p)):
+                    links += np.bincount(one, weight[other], n).astype(np.int64)
+    return links, label
 
 
 def near_vectors(
-    vectors: DataFrame, least: float = 0.9, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL
+    vectors: DataFrame, least: float = 0.9, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, wide: int = WIDE
 ) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row."""
     held = dict(vectors.dtypes)["embedding"]
@@ -269,11 +277,26 @@ def near_vectors(
             }
 
     classes = written(map_columns(classes, pack, "k1 long, k2 long, rep long, n long, dim int, vec binary"), "classes")
+    # Different vectors may share an id: all but one of them get a name from their hash, and
+    # sets that hold such names are named after the smallest id in the end.
+    shared = written(
+        classes.groupBy("rep").agg(F.count("*").alias("classes"), F.min(F.struct("k1", "k2")).alias("first"))
+        .where("classes > 1").select("rep", "first"),
+        "shared-ids",
+    )
+    own = F.col("first").isNull() | (F.struct("k1", "k2") == F.col("first"))
+    name = F.xxhash64("k1", "k2").bitwiseAND(F.lit(2**62 - 1)).bitwiseOR(F.lit(2**62))
+    classes = classes.join(shared, "rep", "left").select(
+        "k1", "k2", F.when(own, F.col("rep")).otherwise(name).alias("rep"), F.col("rep").alias("id"), "n", "dim", "vec"
+    )
     code = F.xxhash64("tree", "dim", "path").bitwiseAND(F.lit(2**62 - 1)).alias("leaf")
     leaves = written(grown(classes, kind, trees, leaf, spill, least).select(code, "dim", "rep", "n", "vec"), "leaves")
     reached = leaves.groupBy("rep").agg(F.array_sort(F.collect_set("leaf")).alias("leaves"))
-    # Large leaves in blocks of about ``leaf`` rows: a row goes to every pair of its block.
-    sizes = leaves.groupBy("leaf").agg(F.ceil(F.count("*") / leaf).cast("int").alias("blocks")).where("blocks > 2")
+    # Large leaves in blocks of about ``wide`` rows: a row goes to every pair of its block.
+    wide = max(leaf, wide)
+    # A number of its own, since adaptive execution would put these small rows into few tasks.
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = leaves.groupBy("leaf").agg(F.ceil(F.count("*") / wide).cast("int").alias("blocks")).where("blocks > 1")
     cell = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda o: F.struct(F.least(o, F.col("block")).alias("a"), F.greatest(o, F.col("block")).alias("b")),
@@ -282,7 +305,7 @@ def near_vectors(
         leaves.join(reached, "rep").join(sizes, "leaf", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("cell", F.explode(cell)).select("leaf", "cell.a", "cell.b", "block", "rep", "n", "vec", "leaves")
-        .repartition("leaf", "a", "b").sortWithinPartitions("leaf", "a", "b", "block", "rep")
+        .repartition(tasks, "leaf", "a", "b").sortWithinPartitions("leaf", "a", "b", "block", "rep")
     )
 
     def compare(batches):
@@ -313,10 +336,15 @@ def near_vectors(
     found = written(map_columns(together, compare, "rep long, links long, u long"), "links")
     parts = connected(found.select("u", F.col("rep").alias("v")), "forest").withColumnRenamed("node", "rep")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    renamed = (
+        parts.join(classes.where("rep <> id").select("rep", "id"), "rep")
+        .groupBy("component_id").agg(F.min("id").alias("least_id"))
+    )
     known = (
-        classes.select("k1", "k2", "rep", "n").join(links, "rep", "left").join(parts, "rep", "left")
+        classes.select("k1", "k2", "rep", "id", "n").join(links, "rep", "left").join(parts, "rep", "left")
+        .join(renamed, "component_id", "left")
         .select("k1", "k2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-                F.coalesce("component_id", "rep").alias("component_id"), F.lit(True).alias("valid"))
+                F.coalesce(F.least("component_id", "least_id"), "id").alias("component_id"), F.lit(True).alias("valid"))
     )
     component = F.coalesce("component_id", "vec_id")
     return marked.select("vec_id", "valid", "k1", "k2").join(known, ["k1", "k2", "valid"], "left").select(

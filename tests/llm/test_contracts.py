@@ -249,12 +249,34 @@ def test_forest_against_all_pairs(spark):
     exact = forest.near_vectors(df).collect()
     assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in exact} == {(i, len(near[i]), top[i], top[i] == i) for i, _, _ in rows}
     # Small leaves: links may be missed but never counted twice or invented.
-    split = forest.near_vectors(df, leaf=32, spill=0.1).collect()
+    split = forest.near_vectors(df, leaf=32, spill=0.1, wide=40).collect()
     assert all(r.n_links <= len(near[r.vec_id]) for r in split)
     assert sum(r.n_links for r in split) >= 0.9 * sum(map(len, near.values()))
     assert forest.near_vectors(df.where("false")).count() == 0
 
 
+def test_forest_sets_are_joined_like_a_plain_search():
+    rng = np.random.default_rng(4)
+    label, plain = np.arange(300), list(range(300))
+    for _ in range(6):
+        i, j = rng.integers(0, 300, 40), rng.integers(0, 300, 40)
+        label = forest.joined(label, i, j)
+        for a, b in zip(i, j):
+            low, high = sorted((plain[a], plain[b]))
+            plain = [low if p == high else p for p in plain]
+        assert label.tolist() == plain
+
+
+def test_forest_rows_without_an_id_and_rows_that_share_one(spark):
+    rows = [(None, [1.0, 0.0]), (None, [1.0, 0.0]), (5, [1.0, 0.0]), (5, [1.0, 0.01]), (6, [0.0, 1.0])]
+    rows += [(8, [-1.0, 0.0]), (8, [0.0, -1.0]), (9, [0.0, -1.01]), (7, [-1.01, 0.0]), (7, [-1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = forest.near_vectors(df).collect()
+    want = [(None, 0, None, False)] * 2 + [(5, 1, 5, True)] * 2 + [(6, 0, 6, True), (7, 0, 7, True), (7, 1, 7, True)]
+    want += [(8, 1, 7, False), (8, 1, 8, True), (9, 1, 8, False)]
+    assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_forest_on_a_noisy_dense_group(spark):
     rng = np.random.default_rng(15)
     centre = rng.standard_normal(64)
