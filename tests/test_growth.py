@@ -284,3 +284,29 @@ def test_copies_in_a_stream_are_dropped_and_forgotten(spark, log):
     assert len(got) == 4 and [g[:2] for g in got] == [("a", "x"), ("a", "x"), ("a", "y"), ("b", "x")]
     with pytest.raises(ValueError):
         stream_journeys.deduplicated(stream, ["id"])
+
+
+def test_journeys_share_state_rows(spark, log):
+    day = 86_400
+    folder, out, state = (scratch_path(spark, n) for n in ("in", "out", "state"))
+    ids = [f"j{i}" for i in range(200)]
+    pieces = [
+        [(i, "buy" if k % 4 == 0 else "a", k) for k, i in enumerate(ids)],
+        [(i, "a", 5 * day + k) for k, i in enumerate(ids) if k % 4 == 1],
+        [(None, "a", 9 * day)],
+    ]
+    for piece in pieces:
+        log(piece).coalesce(1).write.mode("append").parquet(folder)
+    stream = stream_events(spark, folder, log([("x", "a", 0)]).schema)
+    changes = stream_journeys.journey_changes(stream, "buy", 7, groups=5)
+    running = stream_journeys.run_to_folder(changes, out, state, "update")
+    running.awaitTermination()
+    # Python is called per state row, so their number must not follow that of journeys.
+    assert running.lastProgress.stateOperators[0].numRowsTotal <= 5
+    wanted = {None: (1, "incomplete", 1)} | {
+        i: [(1, "success", 1), (2, "incomplete", 2), (1, "failure", 2), (1, "failure", 2)][k % 4] for k, i in enumerate(ids)
+    }
+    got = {r.id: (r.n_events, r.final_outcome, r.version) for r in stream_journeys.latest_states(changes, out).collect()}
+    assert got == wanted
+    targets = {r.id: r.first_target_us is not None for r in stream_journeys.latest_states(changes, out).collect()}
+    assert targets == {i: w[1] == "success" for i, w in wanted.items()}
