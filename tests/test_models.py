@@ -138,6 +138,19 @@ def test_probability_timeline(spark, forest):
         before[r["id"]] = r["p"]
 
 
+def test_timeline_scores_every_event_once(spark):
+    events = dt.event_log(spark, SF_SMALL)
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def p(n):
+        calls.add(1)
+        return 1 / (n + 1)
+
+    rows = explain.probability_timeline(lambda df: df.withColumn("p", p("n_events")), events, dt.NAMES).collect()
+    assert len(rows) == calls.value == events.count()
+
+
 def test_open_journeys_are_all_scored(spark, forest):
     events = dt.event_log(spark, SF_SMALL)
     ids = q.labels(events).where("final_outcome = 'incomplete'").select("id")
