@@ -183,6 +183,25 @@ def test_variants(table, columns):
     assert both.where("abs(delta - (p_b - p_a)) > 1e-12").count() == 0
 
 
+@pytest.mark.parametrize("part_rows, most", [(10**6, 1), (150, 2), (1, 6)])
+def test_variant_fits_have_parts_by_rows(spark, monkeypatch, part_rows, most):
+    train = spark.range(0, 300, 1, 6).selectExpr(
+        "CAST(id AS STRING) AS id", "CAST(id % 2 AS INT) AS label", "CAST(1 + id % 4 AS INT) AS fold", "id * 1.5D AS x"
+    )
+    seen, fit = [], comparison.fit_gbt
+
+    def watched(rows, features, **params):
+        seen.append((rows.count(), rows.rdd.getNumPartitions()))
+        return fit(rows, features, **params)
+
+    monkeypatch.setattr(comparison, "FIT_ROWS", part_rows)
+    monkeypatch.setattr(comparison, "fit_gbt", watched)
+    test = train.selectExpr("concat('t', id) AS id", "label", "fold", "x")
+    _, both = comparison.compare_variants(train, test, {"a": ["x"], "b": ["x"]}, fold=1, maxIter=1, maxDepth=1)
+    assert sorted(seen) == [(225, most)] * 2 + [(300, most)] * 2
+    assert both.count() == 300
+
+
 def test_picked_journey_prefers_the_ranges(spark, log):
     df = log([("in", "x", i * 3600) for i in range(10)] + [("out", "x", i) for i in range(40)])
     labels = spark.createDataFrame([("in", "failure"), ("out", "failure")], "id string, final_outcome string")
