@@ -17,6 +17,9 @@ from it, make its suffix.
    largest extension left and right over windows shared with another suffix.
 5. Extensions return to their documents, where their union is cut out.
 
+Several lengths can be sought at once. Texts are then hashed and shuffled once for
+all of them; suffixes of different lengths are kept apart.
+
 Defined results: a null text is an empty one; texts shorter than ``length`` keep
 all bytes; rows are documents, so repeated rows repeat each other; an empty table
 gives an empty table. Very long texts are scanned in pieces that overlap.
@@ -42,16 +45,11 @@ PAIRWISE = 24
 NO_ID = -(2**63)
 
 _MULTIPLY = np.uint64(0xD6E8FEB86659FD93)
+_PLACE = np.uint64(0xFFFFFF)
 
 
-def window_anchors(raw: bytes, ends: np.ndarray, length: int, gram: int):
-    """First window, last window and anchor of every run of windows with one anchor.
-
-    ``raw`` holds documents one after the other, ``ends`` where each one ends.
-    """
-    n = len(raw) - length + 1
-    if n <= 0:
-        return (np.empty(0, np.int64),) * 3
+def gram_hashes(raw: bytes, gram: int) -> np.ndarray:
+    """A hash of the ``gram`` bytes from every position, with the position in its low bits."""
     h = (np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     size, power = 1, _MULTIPLY
     # Double the grams; the last step may overlap.
@@ -62,14 +60,24 @@ def window_anchors(raw: bytes, ends: np.ndarray, length: int, gram: int):
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    low = np.uint64(0xFFFFFF)
-    least = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+    return (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
+
+
+def window_anchors(least: np.ndarray, ends: np.ndarray, length: int, gram: int):
+    """First window, last window and anchor of every run of windows with one anchor.
+
+    ``least`` are the ``gram_hashes`` of documents one after the other, ``ends`` where
+    each one ends.
+    """
+    n = int(ends[-1]) - length + 1
+    if n <= 0:
+        return (np.empty(0, np.int64),) * 3
     wide, step = length - gram + 1, 1
     while step * 2 <= wide:
         least, step = np.minimum(least[:-step], least[step:]), step * 2
     if step < wide:
         least = np.minimum(least[: len(least) - (wide - step)], least[wide - step :])
-    anchor = (least & low).astype(np.int64)
+    anchor = (least & _PLACE).astype(np.int64)
     inside = np.ones(n, bool)
     for end in ends[:-1].tolist():
         inside[max(0, end - length + 1) : end] = False
@@ -82,12 +90,15 @@ def window_anchors(raw: bytes, ends: np.ndarray, length: int, gram: int):
     return at[first], at[last], a[first]
 
 
-def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``id, code, place, gram, whole``: anchors with hashes of gram and suffix.
+def anchors(docs: DataFrame, lengths=(LENGTH,), gram: int = GRAM) -> DataFrame:
+    """``id, code, place, gram`` and per length ``span`` and ``whole``: anchors with
+    hashes of gram and suffix.
 
-    ``place`` packs the position and the distances from the anchor to the start
-    of its last and first window, ten bits each.
+    ``place`` is the position, shifted by 24 bits for the number of a length and
+    ``span``: the distances from the anchor to the start of its last and first
+    window, ten bits each. They are null for a length that has no window there.
     """
+    least, most = min(lengths), max(lengths)
 
     def step(batches):
         import xxhash
@@ -99,30 +110,39 @@ def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
             raw = b"".join(p[3] for p in parts)
             ends = np.cumsum([len(p[3]) for p in parts])
             starts = ends - np.array([len(p[3]) for p in parts])
-            first, last, at = window_anchors(raw, ends, length, gram)
-            owner = np.searchsorted(ends, first, side="right")
             base = np.array([p[2] for p in parts]) - starts
-            near, far = at - last, at - first
-            place = ((at + base[owner]) << 20) | (near << 10) | far
             ids, codes = [p[0] for p in parts], [p[1] for p in parts]
-            return {
+            hashes = gram_hashes(raw, gram)
+            runs = []
+            for length in lengths:
+                first, last, at = window_anchors(hashes, ends, length, gram)
+                stop = starts[np.searchsorted(ends, first, side="right")] + PIECE
+                # Windows from ``PIECE`` on are those of the next piece.
+                own = first < stop
+                runs.append((first[own], np.minimum(last, stop - 1)[own], at[own]))
+            places = np.unique(np.concatenate([at for _, _, at in runs]))
+            owner = np.searchsorted(ends, places, side="right")
+            out = {
                 "id": [ids[o] for o in owner.tolist()],
                 "code": [codes[o] for o in owner.tolist()],
-                "place": place,
-                "gram": [signed(digest(raw[a : a + gram])) for a in at.tolist()],
-                "whole": [
-                    signed(digest(raw[s : e + length], int(f)))
-                    for s, e, f in zip(first.tolist(), last.tolist(), far.tolist())
-                ],
+                "place": (places + base[owner]) << 24,
+                "gram": [signed(digest(raw[a : a + gram])) for a in places.tolist()],
             }
+            for kind, (length, (first, last, at)) in enumerate(zip(lengths, runs)):
+                near, far = at - last, at - first
+                spans, wholes = [None] * len(places), [None] * len(places)
+                for i, s, e, n, f in zip(*(x.tolist() for x in (np.searchsorted(places, at), first, last, near, far))):
+                    spans[i], wholes[i] = (n << 10) | f, signed(digest(raw[s : e + length], (kind << 10) | f))
+                out[f"span{kind}"], out[f"whole{kind}"] = spans, wholes
+            return out
 
         for b in batches:
             held, parts = 0, []
             for key, code, text in zip(b["id"], b["code"], b["text"]):
                 raw = text.encode()
-                for start in range(0, max(1, len(raw) - length + 1), PIECE):
-                    part = raw[start : start + PIECE + length - 1]
-                    if len(part) >= length:
+                for start in range(0, max(1, len(raw) - least + 1), PIECE):
+                    part = raw[start : start + PIECE + most - 1]
+                    if len(part) >= least:
                         parts.append((key, code, start, part))
                         held += len(part)
                     if held >= PIECE:
@@ -131,9 +151,9 @@ def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
             if parts:
                 yield found(parts)
 
-    return map_columns(
-        docs.where(F.octet_length("text") >= length), step, "id long, code long, place long, gram long, whole long"
-    )
+    schema = "id long, code long, place long, gram long"
+    schema += "".join(f", span{k} int, whole{k} long" for k in range(len(lengths)))
+    return map_columns(docs.where(F.octet_length("text") >= least), step, schema)
 
 
 def lcp(a: bytes, b: bytes, at: int = 0) -> int:
@@ -288,16 +308,26 @@ def resolve(group: list[tuple[bytes, int, int]], length: int):
     return [o or (tuple(f) if f[0] >= 0 else None) for o, f in zip(out, far)]
 
 
-def repeats(found: DataFrame, docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """``id, code, start, stop``: bytes of each document covered by repeats."""
+def repeats(found: DataFrame, docs: DataFrame, lengths, gram: int) -> DataFrame:
+    """``id, code, kind, start, stop``: bytes of each document covered by repeats of
+    ``lengths[kind]`` bytes."""
     # Grams that occur twice. Written, so that both sides of the join are shuffled
     # for it and Spark can split a gram that many anchors share.
     twice = written(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
-    kept = written(found.join(twice, "gram"), "anchors-kept")
-    texts = _packed_texts(docs.where(F.octet_length("text") >= length))
+    # One row per anchor and length from here on.
+    each = [
+        F.struct(
+            F.col("place").bitwiseOR(F.lit(k << 20)).bitwiseOR(F.col(f"span{k}").cast("long")).alias("place"),
+            F.col(f"whole{k}").alias("whole"),
+        )
+        for k in range(len(lengths))
+    ]
+    rows = found.join(twice, "gram").select("id", "code", "gram", F.explode(F.array(*each)).alias("a"))
+    kept = written(rows.select("id", "code", "gram", "a.*").where("place IS NOT NULL"), "anchors-kept")
+    texts = _packed_texts(docs.where(F.octet_length("text") >= min(lengths)))
     wanted = kept.groupBy("id", "code").agg(F.collect_set("place").alias("places"))
     rows = texts.join(wanted.hint("shuffle_hash"), ["id", "code"]).select("packed", "places")
-    buckets = max(1, -(-kept.count() * (length + length // 3) // BUCKET_BYTES))
+    buckets = max(1, -(-kept.count() * (max(lengths) + max(lengths) // 3) // BUCKET_BYTES))
 
     def make_runs(batches):
         import xxhash
@@ -308,7 +338,7 @@ def repeats(found: DataFrame, docs: DataFrame, length: int, gram: int) -> DataFr
 
         def flush():
             number[0] += 1
-            order = sorted((digest(t[:gram]) % buckets, t, c) for t, c in texts.items())
+            order = sorted((digest(t[1 : gram + 1]) % buckets, t, c) for t, c in texts.items())
             at = 0
             while at < len(order):
                 end, size = at, 0
@@ -330,9 +360,10 @@ def repeats(found: DataFrame, docs: DataFrame, length: int, gram: int) -> DataFr
             for packed, places in zip(b["packed"], b["places"]):
                 raw = zstandard.decompress(packed)
                 for p in places:
-                    at, near, far = p >> 20, (p >> 10) & 1023, p & 1023
-                    right = raw[at : at + length - near]
-                    t = right + raw[at - far : at][::-1] + len(right).to_bytes(2)
+                    at, kind, near, far = p >> 24, (p >> 20) & 15, (p >> 10) & 1023, p & 1023
+                    right = raw[at : at + lengths[kind] - near]
+                    # The number of the length goes first, so lengths are sorted apart.
+                    t = bytes((kind,)) + right + raw[at - far : at][::-1] + len(right).to_bytes(2)
                     n = texts.get(t, 0)
                     texts[t] = n + 1
                     held += 0 if n else len(t) + 100
@@ -353,24 +384,27 @@ def repeats(found: DataFrame, docs: DataFrame, length: int, gram: int) -> DataFr
         def merged(blocks):
             out = {k: [] for k in ("gram", "whole", "left", "right")}
             group: list[tuple[bytes, int, int]] = []
+            kind = 0
 
             def close():
-                for (t, _, _), reach in zip(group, resolve(group, length)):
+                for (t, _, _), reach in zip(group, resolve(group, lengths[kind])):
                     if reach:
                         r = int.from_bytes(t[-2:])
                         far = len(t) - 2 - r
                         out["gram"].append(signed(digest(t[:gram])))
-                        out["whole"].append(signed(digest(t[r:-2][::-1] + t[:r], far)))
+                        out["whole"].append(signed(digest(t[r:-2][::-1] + t[:r], (kind << 10) | far)))
                         out["left"].append(reach[0])
                         out["right"].append(reach[1])
 
-            for text, shared, count in LoserTree(_runs(blocks)):
-                if group and text == group[-1][0]:
+            for named, shared, count in LoserTree(_runs(blocks)):
+                text, shared = named[1:], shared - 1
+                if group and named[0] == kind and text == group[-1][0]:
                     group[-1] = (text, group[-1][1], group[-1][2] + count)
                     continue
                 if group and shared < gram:
                     close()
                     group = []
+                kind = named[0]
                 group.append((text, shared, count))
             if group:
                 close()
@@ -389,12 +423,13 @@ def repeats(found: DataFrame, docs: DataFrame, length: int, gram: int) -> DataFr
 
     exchanged = runs.repartition(buckets, "bucket").sortWithinPartitions("bucket", "run", "place")
     reach = written(map_columns(exchanged, merge, "gram long, whole long, left long, right long"), "reach")
-    at = F.shiftright("place", 20)
+    at = F.shiftright("place", 24)
     # ``reach`` has one row per suffix, so there are as many spans as anchors; those of
     # anchors in no repeat are empty.
     spans = kept.join(reach, ["gram", "whole"], "left").select(
         "id",
         "code",
+        F.shiftright("place", 20).bitwiseAND(F.lit(15)).alias("kind"),
         (at - F.coalesce("left", F.lit(0))).alias("start"),
         (at + F.coalesce("right", F.lit(0))).alias("stop"),
     )
@@ -429,28 +464,36 @@ def merged_spans(spans) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``id, code, starts, stops`` of the bytes to remove, per id and text hash."""
-    if length < gram or length > 1023:
+def repeated_spans(docs: DataFrame, lengths=(LENGTH,), gram: int = GRAM) -> DataFrame:
+    """``id, code, spans``: per id and text hash, the ``kind, start, stop`` of bytes in
+    strings of ``lengths[kind]`` bytes that also start elsewhere."""
+    if min(lengths) < gram or max(lengths) > 1023:
         raise ValueError("the length must lie between the gram and 1023")
     keyed = docs.select(
         F.coalesce("doc_id", F.lit(NO_ID)).alias("id"),
         F.coalesce("text", F.lit("")).alias("text"),
     ).withColumn("code", F.xxhash64("text"))
-    found = written(anchors(keyed, length, gram), "anchors")
-    spans = repeats(found, keyed, length, gram)
-    return spans.groupBy("id", "code").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    found = written(anchors(keyed, lengths, gram), "anchors")
+    spans = repeats(found, keyed, lengths, gram)
+    return spans.groupBy("id", "code").agg(F.collect_set(F.struct("kind", "start", "stop")).alias("spans"))
 
 
 def deduplicated(
-    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry=(), as_text: bool = False
+    docs: DataFrame,
+    length: int = LENGTH,
+    gram: int = GRAM,
+    carry=(),
+    as_text: bool = False,
+    passage: int | None = None,
 ) -> DataFrame:
     """Every document with what is kept of its bytes.
 
     ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, the carried columns and,
-    with ``as_text``, the kept bytes as ``text`` without broken characters.
+    with ``as_text``, the kept bytes as ``text`` without broken characters. With
+    ``passage``, ``n_passage_bytes`` counts the bytes in strings of that many bytes
+    that also start elsewhere; they are reported, and removed only as ``length`` says.
     """
-    spans = removed_spans(docs, length, gram)
+    spans = repeated_spans(docs, (length, passage) if passage else (length,), gram)
     named = [f"c{i}" for i in range(len(carry))]
     keyed = docs.select(
         "doc_id",
@@ -471,15 +514,18 @@ def deduplicated(
     packed = map_columns(keyed, squeeze, "doc_id long, id long, code long, packed binary" + more)
     rows = packed.join(spans.hint("shuffle_hash"), ["id", "code"], "left").drop("id", "code")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    schema += ", n_passage_bytes long" * bool(passage)
 
     def cut(batches):
         import zstandard
 
         for b in batches:
-            out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")}
+            out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes", "text")}
             for doc, packed, spans in zip(b["doc_id"], b["packed"], b["spans"]):
                 raw = zstandard.decompress(packed)
-                gone = merged_spans((s["start"], s["stop"]) for s in spans or ())
+                gone, passages = (
+                    merged_spans((s["start"], s["stop"]) for s in spans or () if s["kind"] == kind) for kind in (0, 1)
+                )
                 if gone:
                     edges = [0, *[x for s in gone for x in s], len(raw)]
                     left = b"".join(raw[a:z] for a, z in zip(edges[::2], edges[1::2]))
@@ -490,6 +536,7 @@ def deduplicated(
                 out["n_removed"].append(len(raw) - len(left))
                 out["n_spans"].append(len(gone))
                 out["kept_sha256"].append(hashlib.sha256(left).hexdigest())
+                out["n_passage_bytes"].append(sum(z - a for a, z in passages))
                 if as_text:
                     out["text"].append(left.decode(errors="ignore"))
             yield out | {n: b[n] for n in named}

@@ -353,6 +353,48 @@ def test_repeats_with_overlaps(spark, monkeypatch):
     assert reach.count() > 50 and reach.where("count > 1").count() == 0
 
 
+def check_passages(df, length, passage, gram):
+    """Bytes of shorter passages are counted; what is removed stays that of the length alone."""
+    rows = df.collect()
+    texts = [(r.text or "").encode() for r in rows]
+    alone = Counter(map(tuple, suffixes.deduplicated(df, length=length, gram=gram).collect()))
+    found = suffixes.deduplicated(df, length=length, gram=gram, passage=passage).collect()
+    assert Counter(tuple(r)[:5] for r in found) == alone
+    want = Counter((r.doc_id, int(gone.sum())) for r, gone in zip(rows, plain_repeats(texts, passage)))
+    assert Counter((r.doc_id, r.n_passage_bytes) for r in found) == want
+    return found
+
+
+def test_passages_shorter_than_the_length(spark, edges, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+    # A passage of 52 words and 311 bytes in two documents, one of 90 words in two others.
+    short, long = words(52), words(90)
+    texts = [f"{words(40)} {p} {words(30)}" for p in (short, short, long, long)] + [words(150) for _ in range(4)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_removed > 0, r.n_passage_bytes >= 311) for r in check_passages(df, 400, 240, 64)}
+    assert got == {i: (i in (2, 3), i < 4) for i in range(8)}
+    check_passages(edges, 400, 240, 64)
+    # Pieces shorter than the windows, many buckets, large groups.
+    letters = lambda n: "".join(rng.choice(list("abc"), n))
+    shared = [letters(n) for n in (30, 60, 130)]
+    texts = [letters(rng.integers(60)) + shared[rng.integers(3)][rng.integers(9) :] + letters(rng.integers(60)) for _ in range(90)]
+    df = spark.createDataFrame(list(enumerate([*texts, "a" * 200, "ab" * 90])), "doc_id long, text string").repartition(4)
+    for name, value in (("PIECE", 32), ("RUN_BYTES", 3_000), ("BLOCK_BYTES", 400), ("PAIRWISE", 3), ("BUCKET_BYTES", 3_000)):
+        monkeypatch.setattr(suffixes, name, value)
+    check_passages(df, 40, 24, 16)
+
+
+def test_the_query_reports_short_passages(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+    short = words(52)
+    rows = [(i, f"{words(40)} {short if i < 2 else words(52)} {words(30)}") for i in range(6)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op5_suffix_dedup"](spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got if r.n_passage_bytes} == {0, 1} and not any(r.n_removed for r in got)
+
+
 def test_loser_tree_merges_without_losing_prefixes():
     rng = np.random.default_rng(2)
     runs = [sorted(bytes(rng.integers(97, 99, rng.integers(1, 12)).tolist()) for _ in range(k)) for k in (0, 1, 7, 30, 5)]
