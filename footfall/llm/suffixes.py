@@ -465,8 +465,9 @@ def merged_spans(spans) -> list[tuple[int, int]]:
 
 
 def repeated_spans(docs: DataFrame, lengths=(LENGTH,), gram: int = GRAM) -> DataFrame:
-    """``id, code, spans``: per id and text hash, the ``kind, start, stop`` of bytes in
-    strings of ``lengths[kind]`` bytes that also start elsewhere."""
+    """``id, code, spans``: per id and text hash, the bytes in strings of ``lengths[kind]``
+    bytes that also start elsewhere. A span packs its start, its kind in four bits and
+    its size in eleven."""
     if min(lengths) < gram or max(lengths) > 1023:
         raise ValueError("the length must lie between the gram and 1023")
     keyed = docs.select(
@@ -475,7 +476,8 @@ def repeated_spans(docs: DataFrame, lengths=(LENGTH,), gram: int = GRAM) -> Data
     ).withColumn("code", F.xxhash64("text"))
     found = written(anchors(keyed, lengths, gram), "anchors")
     spans = repeats(found, keyed, lengths, gram)
-    return spans.groupBy("id", "code").agg(F.collect_set(F.struct("kind", "start", "stop")).alias("spans"))
+    packed = F.shiftleft("start", 15).bitwiseOR(F.shiftleft("kind", 11)).bitwiseOR(F.col("stop") - F.col("start"))
+    return spans.groupBy("id", "code").agg(F.collect_set(packed).alias("spans"))
 
 
 def deduplicated(
@@ -524,7 +526,8 @@ def deduplicated(
             for doc, packed, spans in zip(b["doc_id"], b["packed"], b["spans"]):
                 raw = zstandard.decompress(packed)
                 gone, passages = (
-                    merged_spans((s["start"], s["stop"]) for s in spans or () if s["kind"] == kind) for kind in (0, 1)
+                    merged_spans((s >> 15, (s >> 15) + (s & 2047)) for s in spans or () if (s >> 11) & 15 == kind)
+                    for kind in (0, 1)
                 )
                 if gone:
                     edges = [0, *[x for s in gone for x in s], len(raw)]
