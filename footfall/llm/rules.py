@@ -20,6 +20,7 @@ cutoffs and an empty result.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -149,6 +150,11 @@ def certified(good: list[int], bad: list[int], n_good: int, n_bad: int, allowed:
     return best
 
 
+def ratio(rule: str):
+    """The ratio a rule looks at; null where any of its divisors is 0, as in a text without words."""
+    return F.expr(reduce(lambda a, b: f"try_divide({a}, {b})", RATIOS[rule].split(" / ")))
+
+
 def choose_cutoffs(
     statistics: DataFrame,
     labels: DataFrame,
@@ -166,8 +172,8 @@ def choose_cutoffs(
     steps = F.array(*[F.lit(g) for g in sorted(GRID)])
     ratios = F.array(
         *[
-            F.struct(F.lit(name).alias("rule"), F.coalesce(F.expr(f"try_divide({e.rpartition(' / ')[0]}, {e.rpartition(' / ')[2]})"), F.lit(0.0)).alias("ratio"))
-            for name, e in RATIOS.items()
+            F.struct(F.lit(rule).alias("rule"), F.coalesce(ratio(rule), F.lit(0.0)).alias("ratio"))
+            for rule in RATIOS
         ]
     )
     rows = (
@@ -212,9 +218,8 @@ def judged(
     cutoffs = choose_cutoffs(stats, labels, false_rejections, error_level)
     stratum = F.coalesce("lang", F.lit(NO_VALUE))
     fails = [
-        F.when((stratum == s) & (F.expr(f"try_divide({e.rpartition(' / ')[0]}, {e.rpartition(' / ')[2]})") > cut), F.lit(rule))
+        F.when((stratum == s) & (ratio(rule) > cut), F.lit(rule))
         for (s, rule), cut in sorted(cutoffs.items())
-        for e in [RATIOS[rule]]
     ]
     failed = F.array_compact(F.array(*fails)) if fails else F.array().cast("array<string>")
     return stats.select(

@@ -196,6 +196,20 @@ def test_cutoffs_are_certified(spark):
     assert all(r.kept for r in few)
 
 
+def test_texts_without_words_meet_every_certified_rule(spark):
+    # Each language has words of 60 letters as its bad texts, so the rule on letters per word is certified in both.
+    good, bad = (" ".join(f"{w}{j}" for j in range(30)) for w in ("w", "x" * 60))
+    rows = [(i, good if i % 900 < 700 else bad, "en" if i < 900 else "fr") for i in range(1800)]
+    odd = [(1800, None, "en"), (1801, "", "fr"), (1802, " \n\t", "en"), (1803, None, None), (1804, "one", "fr")]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 900 < 700)) for i in range(1800)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in rules.judged(docs, labels).collect()}
+    assert len(got) == 1805
+    assert all(got[i].failed_rules == ([] if got[i].kept else ["chars_per_word"]) for i in range(1800))
+    assert all(got[i].kept == (i % 900 < 700) for i in range(1800))
+    assert all(got[i].base_failed and not got[i].kept and got[i].failed_rules == [] for i in range(1800, 1805))
+
+
 def test_binomial_bound():
     assert abs(rules.upper_bound(0, 100, 0.05) - (1 - 0.05 ** 0.01)) < 1e-9
     p = rules.upper_bound(3, 50, 0.01)
