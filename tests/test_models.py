@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 import pytest
 from conftest import SF_SMALL, records
 from pyspark.sql import functions as F
@@ -55,6 +57,22 @@ def test_cross_validation(table, columns):
     assert rows[0]["brier"] == pytest.approx(sum(r["brier"] for r in rows[1:]) / 3)
 
 
+def test_folds_are_fitted_side_by_side(table, columns):
+    meet = threading.Barrier(3)
+
+    def fit(d):
+        return models.fit_rf(d, columns, numTrees=3, maxDepth=3)
+
+    def fit_together(d):
+        meet.wait(30)
+        return fit(d)
+
+    rows = records(models.cross_validate(fit_together, table, 3), "fold")
+    for i, r in enumerate(rows[1:]):
+        held = models.score(fit(table.where(F.col("fold") != i)), table.where(F.col("fold") == i))
+        assert r == pytest.approx({**models.evaluate(held).first().asDict(), "fold": i})
+
+
 def test_tuning_marks_the_best(table, columns):
     settings = [{"maxIter": 2, "stepSize": 0.1, "maxDepth": 2}, {"maxIter": 3, "stepSize": 0.2, "maxDepth": 3}]
     results, model = models.tune_gbt(table, columns, settings)
